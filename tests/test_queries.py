@@ -1,0 +1,67 @@
+"""Every registered query against its SQL in DuckDB, on the generated tables."""
+
+import math
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+
+SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings "
+    "pages benchmark labels conversations"
+).split()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    connection = duckdb.connect()
+    for name in TABLES:
+        connection.execute(
+            f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF_DIR}/{name}.parquet')"
+        )
+    return connection
+
+
+def cell(value):
+    if isinstance(value, float):
+        return "nan" if math.isnan(value) else repr(value + 0.0)
+    return repr(value)
+
+
+def sorted_rows(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(tuple(cell(row[i]) for i in order) for row in rows)
+
+
+def kind(spark_type):
+    names = {
+        "string": "VARCHAR", "double": "DOUBLE", "bigint": "BIGINT", "int": "INTEGER",
+        "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP",
+    }
+    return names.get(spark_type, spark_type)
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_query(spark, duck, name):
+    df = entry.queries()[name](spark, SF_DIR)
+    rows = df.collect()
+    assert rows
+    sql = entry.oracle_sql().get(name)
+    if sql is None:
+        return
+    result = duck.execute(sql)
+    described = result.description
+    expected = result.fetchall()
+    assert sorted(df.columns) == sorted(d[0] for d in described)
+    assert {c: kind(t) for c, t in df.dtypes} == {d[0]: str(d[1]) for d in described}
+    assert len(rows) == len(expected)
+    assert sorted_rows(df.columns, rows) == sorted_rows([d[0] for d in described], expected)
+
+
+def test_entry_gives_the_training_table(spark):
+    table = entry.entry(spark)
+    assert table.columns == ["1-URGENT", "2-HIGH", "quarter", "y"]
+    assert table.count() == 10
