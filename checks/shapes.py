@@ -1,7 +1,8 @@
 """Inputs of the operators, derived from the test tables by projection alone.
 
 Each shape is defined twice, as a DataFrame and as a SQL subquery. Models and
-countries are skewed on purpose: one key holds a third of all rows.
+countries are skewed on purpose: one key holds a third of all rows. Indicator
+values are roots, so that rounded means never lie halfway between two numbers.
 """
 
 import uuid
@@ -38,7 +39,7 @@ def long(spark, sf_dir):
         F.when(usa, "USA").otherwise("DZA").alias("iso_code"),
         F.date_format(F.trunc("o_orderdate", "month"), "yyyy-MM-dd").alias("date"),
         F.col("o_orderpriority").alias("indicator"),
-        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("value"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.sqrt("o_totalprice")).alias("value"),
     )
 
 
@@ -47,7 +48,7 @@ LONG = """
         CASE WHEN o_orderstatus = 'F' THEN 'USA' ELSE 'DZA' END AS iso_code,
         strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS "date",
         o_orderpriority AS indicator,
-        CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS value
+        CASE WHEN o_orderkey % 7 <> 0 THEN sqrt(o_totalprice) END AS value
  FROM orders)"""
 
 
@@ -62,7 +63,7 @@ def long_countries(spark, sf_dir):
         F.when(status == "F", "USA").when(status == "O", "DZA").otherwise("FRA").alias("iso_code"),
         F.date_format(F.trunc("o_orderdate", "month"), "yyyy-MM-dd").alias("date"),
         F.col("o_orderpriority").alias("indicator"),
-        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("value"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.sqrt("o_totalprice")).alias("value"),
     )
 
 
@@ -70,7 +71,7 @@ LONG_COUNTRIES = """
 (SELECT CASE o_orderstatus WHEN 'F' THEN 'USA' WHEN 'O' THEN 'DZA' ELSE 'FRA' END AS iso_code,
         strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS "date",
         o_orderpriority AS indicator,
-        CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS value
+        CASE WHEN o_orderkey % 7 <> 0 THEN sqrt(o_totalprice) END AS value
  FROM orders WHERE o_orderstatus <> 'P' OR o_orderpriority <> '4-NOT SPECIFIED')"""
 
 
@@ -83,13 +84,13 @@ def long_daily(spark, sf_dir):
         F.concat(F.lit("C"), code.cast("string")).alias("iso_code"),
         F.date_format("ts", "yyyy-MM-dd").alias("date"),
         F.col("event_type").alias("indicator"),
-        "value",
+        F.sqrt("value").alias("value"),
     )
 
 
 LONG_DAILY = """
 (SELECT 'C' || CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id % 5 END AS VARCHAR) AS iso_code,
-        strftime(ts, '%Y-%m-%d') AS "date", event_type AS indicator, value
+        strftime(ts, '%Y-%m-%d') AS "date", event_type AS indicator, sqrt(value) AS value
  FROM events)"""
 
 
