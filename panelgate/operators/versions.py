@@ -1,7 +1,7 @@
 """Model-version tables: newest, previous and not yet exported versions, and stages.
 
 The table holds one row per ``(name, version)`` with ``stage``, ``description``
-and ``run_id``. Every operator handles all models at once. Models are reduced to
+and ``run_id``; versions are whole numbers kept as text. Every operator handles all models at once. Models are reduced to
 one row each before anything is joined on the name, so a model that owns a third
 of all versions does not slow a join down.
 """
@@ -48,10 +48,16 @@ def versions_in_stage(versions: DataFrame, stage: str = PRODUCTION) -> DataFrame
     return in_stage(versions, stage).select("name", _number().alias("version"))
 
 
+def _latest_number(versions, stage):
+    newest = in_stage(versions, stage).groupBy("name").agg(F.max(_number()).alias("v"))
+    return newest.filter(F.col("v") > 0)
+
+
 def latest_version(versions: DataFrame, stage: str = NONE) -> DataFrame:
     """Largest version of every model in a stage, as text. Version 0 counts as none."""
-    newest = in_stage(versions, stage).groupBy("name").agg(F.max(_number()).alias("v"))
-    return newest.filter(F.col("v") > 0).select("name", F.col("v").cast("string").alias("version"))
+    return _latest_number(versions, stage).select(
+        "name", F.col("v").cast("string").alias("version")
+    )
 
 
 def newest_version_of(versions: DataFrame, name: str, stage: str = NONE) -> str:
@@ -120,16 +126,19 @@ def previous_version(versions: DataFrame) -> DataFrame:
     The one below may be in any stage. Where that number does not exist,
     ``previous_found`` is false.
     """
-    newest = latest_version(versions, PRODUCTION).select(
-        "name", "version", (_number() - 1).alias("previous")
+    newest = _latest_number(versions, PRODUCTION).filter(F.col("v") >= 2)
+    pairs = newest.select(
+        "name",
+        F.col("v").cast("string").alias("version"),
+        (F.col("v") - 1).cast("string").alias("previous_version"),
     )
-    candidates = newest.filter(F.col("previous") >= 1)
-    below = versions.select("name", _number().alias("previous"), F.lit(True).alias("found"))
-    paired = candidates.join(below, ["name", "previous"], "left")
-    return paired.select(
+    below = versions.select(
+        "name", F.col("version").alias("previous_version"), F.lit(True).alias("found")
+    )
+    return pairs.join(below, ["name", "previous_version"], "left").select(
         "name",
         "version",
-        F.col("previous").cast("string").alias("previous_version"),
+        "previous_version",
         F.coalesce("found", F.lit(False)).alias("previous_found"),
     )
 
@@ -149,8 +158,9 @@ def assert_stage(versions: DataFrame, name: str, stage: str = PRODUCTION) -> Non
 
 def require_two_versions(versions: DataFrame) -> DataFrame:
     """Per model with a Production version: whether the newest is 2 or above."""
-    newest = latest_version(versions, PRODUCTION)
-    return newest.withColumn("ok", _number() >= 2)
+    return _latest_number(versions, PRODUCTION).select(
+        "name", F.col("v").cast("string").alias("version"), (F.col("v") >= 2).alias("ok")
+    )
 
 
 def assert_two_versions(versions: DataFrame, name: str) -> None:
@@ -161,10 +171,8 @@ def assert_two_versions(versions: DataFrame, name: str) -> None:
 
 def _rewrite(versions, targets, **changes):
     """All versions, with some columns changed on the rows ``targets`` lists."""
-    marked = targets.select(
-        "name", _number().alias("_v"), F.lit(True).alias("_hit")
-    ).dropDuplicates(["name", "_v"])
-    joined = versions.withColumn("_v", _number()).join(marked, ["name", "_v"], "left")
+    marked = targets.select("name", "version", F.lit(True).alias("_hit")).dropDuplicates()
+    joined = versions.join(marked, ["name", "version"], "left")
     return joined.select(
         *[
             F.when(F.col("_hit"), changes[c]).otherwise(F.col(c)).alias(c)

@@ -9,8 +9,8 @@ from panelgate.columns import named
 from panelgate.operators import features as ft
 from panelgate.operators.joins import SALTS
 
-# Presence rows up to this number are shipped to every task as a local table.
-LOCAL_PRESENCE_ROWS = 10_000
+# Up to this many (country, indicator) pairs, a few megabytes, are broadcast.
+LOCAL_PRESENCE_PAIRS = 100_000
 
 
 def build_training_table(
@@ -60,16 +60,21 @@ def build_training_tables(
 def indicators_by_country(long: DataFrame) -> tuple[DataFrame, list[str], int]:
     """``(iso_code, used)`` with each country's indicators, all indicators, and salts.
 
-    A table of few countries is returned as local data, which Spark broadcasts.
-    A larger one stays distributed and is to be joined with salted keys.
+    A short table is counted out on the driver and broadcast. A longer one stays
+    distributed and is to be joined with salted keys.
     """
     pairs = long.select("iso_code", "indicator").distinct()
-    used = pairs.groupBy("iso_code").agg(F.array_sort(F.collect_list("indicator")).alias("used"))
-    found = used.limit(LOCAL_PRESENCE_ROWS + 1).collect()
-    if len(found) > LOCAL_PRESENCE_ROWS:
+    found = pairs.limit(LOCAL_PRESENCE_PAIRS + 1).collect()
+    if len(found) > LOCAL_PRESENCE_PAIRS:
+        used = pairs.groupBy("iso_code").agg(F.collect_list("indicator").alias("used"))
         return used, ft.indicator_names(long), SALTS
-    keys = sorted({name for row in found for name in row["used"]})
-    return long.sparkSession.createDataFrame(found, used.schema), keys, 1
+    by_country = {}
+    for code, indicator in found:
+        by_country.setdefault(code, []).append(indicator)
+    used = long.sparkSession.createDataFrame(
+        list(by_country.items()), "iso_code string, used array<string>"
+    )
+    return F.broadcast(used), sorted({indicator for _, indicator in found}), 1
 
 
 def _only_known(long, keys):

@@ -32,9 +32,14 @@ def explode_split_json(
         places.alias("_places"),
         F.col("_doc.data").alias("_data"),
     )
+    # The outer form keeps Spark from parsing every document once more in a filter
+    # on its size; documents without rows are dropped right after.
     rows = located.select(
-        *[named(c) for c in kept], "_width", "_places", F.posexplode("_data").alias("_pos", "_row")
-    )
+        *[named(c) for c in kept],
+        "_width",
+        "_places",
+        F.posexplode_outer("_data").alias("_pos", "_row"),
+    ).filter(F.col("_pos").isNotNull())
     fits = F.size("_row") == F.col("_width")
     cells = []
     for i, c in enumerate(columns):
