@@ -15,8 +15,15 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 LONG_FEATURES, LONG_LABEL = ["1-URGENT", "2-HIGH", "quarter"], "5-LOW"
 
 
+_SCHEMAS = {}
+
+
 def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Test table; the job that looks its schema up runs once per file."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def scratch(spark):

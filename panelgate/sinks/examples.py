@@ -39,15 +39,13 @@ def to_split_json(
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = {group: [], json_col: []}
-            for key, rows in batch.groupby(group, sort=False, dropna=False):
-                cells = rows[wanted].astype(object)
-                cells = cells.where(rows[wanted].notna(), None)
-                out[group].append(key)
-                out[json_col].append(
-                    json.dumps({"columns": wanted, "data": cells.to_numpy().tolist()})
-                )
-            yield pd.DataFrame(out)
+            cells = batch[wanted].astype(object)
+            cells = cells.where(batch[wanted].notna(), None)
+            by_key = {}
+            for key, row in zip(batch[group], cells.to_numpy().tolist()):
+                by_key.setdefault(key, []).append(row)
+            texts = [json.dumps({"columns": wanted, "data": d}) for d in by_key.values()]
+            yield pd.DataFrame({group: list(by_key), json_col: texts})
 
     kind = df.schema[group].dataType.simpleString()
     return df.select(named(group), *numbers).mapInPandas(
