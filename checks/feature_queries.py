@@ -218,8 +218,7 @@ _SORT_KEYS = ["Daily_ICU_occupancy", "Daily_hospital_occupancy"]
     FROM {shapes.WIDE}""")
 def so1_sort_features(spark, sf_dir):
     wide = ft.clean_columns(shapes.wide(spark, sf_dir)).select(*_SORT_KEYS, "row_id")
-    keys = [F.col(c).asc_nulls_last() for c in (*_SORT_KEYS, "row_id")]
-    return with_position(sort_features(wide, [*_SORT_KEYS, "row_id"]), *keys)
+    return with_position(sort_features(wide, [*_SORT_KEYS, "row_id"]))
 
 
 @query(f"""

@@ -151,7 +151,7 @@ _NEWEST_FIRST = '"timestamp" DESC, exported_model_name, exported_model_version'
     FROM {shapes.LEDGER}""")
 def so2_newest_first(spark, sf_dir):
     ledger = ordering.newest_first(shapes.ledger(spark, sf_dir), "timestamp", *_TIES)
-    return _naive(ordering.with_position(ledger, F.col("timestamp").desc(), *_TIES))
+    return _naive(ordering.with_position(ledger))
 
 
 @query(f"SELECT * FROM {shapes.LEDGER} ORDER BY {_NEWEST_FIRST} LIMIT 1")

@@ -9,6 +9,11 @@ from panelgate.columns import as_column, named, require_columns
 from panelgate.storage import shared_dir
 
 
+def _row_hash(df):
+    """Last sort key: splits rows with equal keys over partitions, copies excepted."""
+    return F.xxhash64(*[named(c) for c in df.columns])
+
+
 def sort_features(df: DataFrame, cols: Sequence[str], hot_copies: bool = False) -> DataFrame:
     """Ascending sort on several columns, nulls last.
 
@@ -19,7 +24,7 @@ def sort_features(df: DataFrame, cols: Sequence[str], hot_copies: bool = False)
     """
     require_columns(df, *cols)
     keys = [named(c).asc_nulls_last() for c in cols]
-    whole_row = F.xxhash64(*[named(c) for c in df.columns])
+    whole_row = _row_hash(df)
     if not hot_copies:
         return df.orderBy(*keys, whole_row)
     piece = 100_000
@@ -38,15 +43,17 @@ def sort_features(df: DataFrame, cols: Sequence[str], hot_copies: bool = False)
 
 
 def with_position(df: DataFrame, *order: str | Column, name: str = "position") -> DataFrame:
-    """Exact 0-based position of every row under ``order``, without a single-task window.
+    """Exact 0-based position of every row, without a single-task window.
 
-    The sorted table is written to the checkpoint folder once. Counting its
-    partitions gives each one's offset; inside a partition rows are numbered in
-    place. Only the partition counts come to the driver.
+    Rows are put in ``order``; without one, ``df`` has to be sorted already. The
+    sorted table is written to the checkpoint folder once. Counting its partitions
+    gives each one's offset; inside a partition rows are numbered in place. Only
+    the partition counts come to the driver.
     """
     shared_dir(df.sparkSession)
-    ties = F.xxhash64(*[named(c) for c in df.columns])
-    ranked = df.orderBy(*[as_column(c) for c in order], ties).checkpoint()
+    if order:
+        df = df.orderBy(*[as_column(c) for c in order], _row_hash(df))
+    ranked = df.checkpoint()
     part = F.spark_partition_id()
     sizes = dict(ranked.groupBy(part.alias("part")).count().collect())
     offsets, total = [], 0
@@ -63,7 +70,7 @@ def with_position(df: DataFrame, *order: str | Column, name: str = "position") -
 
 def newest_first(df: DataFrame, time: str = "timestamp", *ties: str) -> DataFrame:
     """Ledger rows by time, latest first; ``ties`` order rows of one moment."""
-    return df.orderBy(named(time).desc_nulls_last(), *[named(t) for t in ties])
+    return df.orderBy(named(time).desc_nulls_last(), *[named(t) for t in ties], _row_hash(df))
 
 
 def latest_row(df: DataFrame, time: str = "timestamp", *ties: str) -> DataFrame:

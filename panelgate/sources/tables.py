@@ -18,15 +18,20 @@ NA_TOKENS = [
 
 
 def read_indicators(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = None
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str] | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Indicator CSV with a header; every column as text, NA tokens as null.
 
     Columns go by name: without ``columns`` the header of the first file is looked
     up, and files with another header are an error. Dates stay text, numbers are
-    made by ``to_numeric``. Files are split, so a record must fit on one line.
+    made by ``to_numeric``. Files are split, so a record must fit on one line;
+    ``multi_line`` allows line breaks inside quotes and reads each file in one task.
     """
     reader = spark.read.option("header", True).option("escape", '"')
+    reader = reader.option("multiLine", multi_line)
     if columns is None:
         columns = reader.csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])

@@ -260,9 +260,11 @@ def test_sort_puts_nulls_last_and_keeps_copies(spark):
 
 def test_positions_are_exact_over_many_partitions(spark):
     df = spark.range(0, 10_000, 1, 16).select((F.col("id") * 7919 % 10_007).alias("k"))
-    ranked = with_position(df, F.col("k").desc())
     keys = sorted((r.k for r in df.collect()), reverse=True)
-    assert {r.k: r.position for r in ranked.collect()} == {k: i for i, k in enumerate(keys)}
+    for ranked in (
+        with_position(df, F.col("k").desc()), with_position(df.orderBy(F.col("k").desc()))
+    ):
+        assert {r.k: r.position for r in ranked.collect()} == {k: i for i, k in enumerate(keys)}
 
 
 def test_indicator_file(spark, tmp_path):
@@ -282,6 +284,15 @@ def test_indicator_file(spark, tmp_path):
     ]
 
 
+def test_indicator_file_with_line_breaks(spark, tmp_path):
+    path = tmp_path / "indicators.csv"
+    path.write_text('date,indicator,value\n2022-01-01,"a\nb",1\n2022-01-02,c,nan\n')
+    df = read_indicators(spark, str(path), multi_line=True)
+    assert [tuple(r) for r in df.collect()] == [
+        ("2022-01-01", "a\nb", "1"), ("2022-01-02", "c", None),
+    ]
+
+
 def test_indicator_files_with_other_headers_are_an_error(spark, tmp_path):
     (tmp_path / "a.csv").write_text("date,indicator,value\n2022-01-01,a,1\n")
     (tmp_path / "b.csv").write_text("indicator,date,value\na,2022-01-01,1\n")
