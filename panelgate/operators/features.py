@@ -15,9 +15,9 @@ from panelgate.operators.ordering import with_position
 FEATURES = sorted(["Daily_ICU_occupancy", "Daily_hospital_occupancy", "quarter"])
 LABEL = "Weekly_new_hospital_admissions"
 
-# Up to this many pivot columns one conditional aggregate (a single shuffle) is
-# used; its buffers then still fit whole-stage code generation.
-SINGLE_SHUFFLE_COLUMNS = 40
+# Up to this many pivot columns one conditional aggregate (a single shuffle) is at
+# least as fast as Spark's two-phase pivot; every row is tested against each column.
+SINGLE_SHUFFLE_COLUMNS = 20
 
 # Same bound as Spark's own pivot: more columns than this is a mistake in the data.
 MAX_PIVOT_COLUMNS = 10_000
@@ -88,7 +88,9 @@ def pivot_mean(
         present = present & named(name).isNotNull()
     rows = df.filter(present)
     groups = rows.groupBy(*[named(name) for name in by])
-    if 0 < len(keys) <= SINGLE_SHUFFLE_COLUMNS:
+    if not keys:
+        wide = rows.select(*[named(name) for name in by]).distinct()
+    elif len(keys) <= SINGLE_SHUFFLE_COLUMNS:
         wide = groups.agg(*[F.avg(F.when(key == k, value)).alias(k) for k in keys])
     else:
         wide = groups.pivot(columns, list(keys)).agg(F.avg(value))

@@ -41,10 +41,13 @@ def log_values(
     spark: SparkSession,
     table: str,
     run_id: str,
-    params: Mapping[str, float] = {},
-    metrics: Mapping[str, float] = {},
+    params: Mapping[str, float] | None = None,
+    metrics: Mapping[str, float] | None = None,
 ) -> DataFrame:
     """Append the values of one run."""
-    rows = [(run_id, "param", k, float(v)) for k, v in params.items()]
-    rows += [(run_id, "metric", k, float(v)) for k, v in metrics.items()]
+    rows = [
+        (run_id, kind, key, float(value))
+        for kind, values in (("param", params), ("metric", metrics))
+        for key, value in (values or {}).items()
+    ]
     return append_merge(spark.createDataFrame(rows, RUN_VALUES), table)

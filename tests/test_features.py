@@ -161,6 +161,12 @@ def test_many_columns_pivot_gives_the_same(spark, monkeypatch):
     assert few.collect() == many.collect()
 
 
+def test_pivot_of_nothing_has_only_its_index(spark):
+    wide = ft.pivot_and_clean(long(spark, []), 0)
+    assert wide.columns == ["date"]
+    assert wide.collect() == []
+
+
 def test_colliding_names_are_an_error(spark):
     with pytest.raises(ValueError):
         ft.clean_columns(spark.createDataFrame([(1, 2)], ["a b", "a_b"]))
