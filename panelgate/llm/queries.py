@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelgate.llm import simhash
+from panelgate.llm import line_labels, mixing, packing, secrets, simhash
 
 QUERIES, SQL = {}, {}
 
@@ -32,3 +32,35 @@ def op8_simhash(spark, sf_dir):
     return found.select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+@query()
+def op3_packing(spark, sf_dir):
+    """Every document's pieces in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(documents(spark, sf_dir), path)
+
+
+@query()
+def op5_mixing(spark, sf_dir):
+    """Per document what the mix takes of it."""
+    found = mixing.mix(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+    )
+
+
+@query()
+def op4_line_labels(spark, sf_dir):
+    """Base counts and verdict of every document."""
+    docs = documents(spark, sf_dir)
+    field = line_labels.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return line_labels.quality(docs, field)
+
+
+@query()
+def op9_secrets(spark, sf_dir):
+    """Secrets of every document: base spans and what linking adds."""
+    return secrets.scan(documents(spark, sf_dir))
