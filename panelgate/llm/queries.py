@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelgate.llm import line_labels, mixing, packing, secrets, simhash
+from panelgate.llm import capture_index, line_labels, mixing, packing, secrets, simhash
 
 QUERIES, SQL = {}, {}
 
@@ -64,3 +64,9 @@ def op4_line_labels(spark, sf_dir):
 def op9_secrets(spark, sf_dir):
     """Secrets of every document: base spans and what linking adds."""
     return secrets.scan(documents(spark, sf_dir))
+
+
+@query()
+def op6_warc(spark, sf_dir):
+    """Every page as its archive record tells it."""
+    return capture_index.archive(pages(spark, sf_dir))
