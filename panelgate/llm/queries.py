@@ -2,7 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from panelgate.llm import capture_index, line_labels, mixing, packing, secrets, simhash
+from panelgate.llm import (
+    capture_index,
+    line_labels,
+    mixing,
+    order_minhash,
+    packing,
+    secrets,
+    simhash,
+)
 
 QUERIES, SQL = {}, {}
 
@@ -70,3 +78,9 @@ def op9_secrets(spark, sf_dir):
 def op6_warc(spark, sf_dir):
     """Every page as its archive record tells it."""
     return capture_index.archive(pages(spark, sf_dir))
+
+
+@query()
+def op10_order_minhash(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts."""
+    return order_minhash.edit_report(documents(spark, sf_dir))
