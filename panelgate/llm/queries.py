@@ -8,6 +8,7 @@ from panelgate.llm import (
     mixing,
     order_minhash,
     packing,
+    repeats,
     secrets,
     simhash,
 )
@@ -84,3 +85,9 @@ def op6_warc(spark, sf_dir):
 def op10_order_minhash(spark, sf_dir):
     """Fingerprints of all documents and of their edited texts."""
     return order_minhash.edit_report(documents(spark, sf_dir))
+
+
+@query()
+def op7_repeats(spark, sf_dir):
+    """Every document without strings of 100 bytes that an earlier place has."""
+    return repeats.strip_repeats(documents(spark, sf_dir))
