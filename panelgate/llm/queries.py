@@ -11,6 +11,7 @@ from panelgate.llm import (
     repeats,
     secrets,
     simhash,
+    site_style,
 )
 
 QUERIES, SQL = {}, {}
@@ -91,3 +92,9 @@ def op10_order_minhash(spark, sf_dir):
 def op7_repeats(spark, sf_dir):
     """Every document without strings of 100 bytes that an earlier place has."""
     return repeats.strip_repeats(documents(spark, sf_dir))
+
+
+@query()
+def op2_site_style(spark, sf_dir):
+    """Main text of every page."""
+    return site_style.main_texts(pages(spark, sf_dir))
