@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from panelgate.llm import (
     capture_index,
+    licences,
     line_labels,
     mixing,
     order_minhash,
@@ -98,3 +99,9 @@ def op7_repeats(spark, sf_dir):
 def op2_site_style(spark, sf_dir):
     """Main text of every page."""
     return site_style.main_texts(pages(spark, sf_dir))
+
+
+@query()
+def op1_licences(spark, sf_dir):
+    """Licences of every document."""
+    return licences.scan(documents(spark, sf_dir))
