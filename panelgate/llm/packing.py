@@ -7,7 +7,10 @@ length, reaches the driver. Pieces get their place from their rank among the
 pieces of their length, joined with the patterns' runs of ranks.
 """
 
+import array
 import heapq
+import itertools
+import os
 import zlib
 from collections import Counter
 
@@ -25,40 +28,125 @@ CAPACITY = 2048
 END_ID = 1
 SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 
-# Words remembered per task; beyond it the memory starts anew.
-REMEMBERED = 400_000
+# ASCII signs that a tokenizer splits from a letter or digit before them. The apostrophe
+# is not among them, as it may start a token of its own with what follows.
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+# The tokenizer writes bytes as signs: visible Latin-1 ones as themselves, the others
+# in order as the signs from 256 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_SIGNS = {
+    b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)
+}
+
+# Words remembered per worker, some 150 MB; beyond it the memory starts anew.
+REMEMBERED = 1_000_000
+
+# Words that are encoded as one text.
+JOINED = 1000
+
+
+class _Numbers(dict):
+    """Numbers words in the order of their first appearance."""
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
 
 
 class WordIds:
-    """Token ids of a text as little-endian unsigned 32-bit bytes, word by word.
+    """Token ids of texts, word by word.
 
-    The tokenizer never joins characters across ASCII white space, so the ids of a
-    text are those of its words in turn, and frequent words are encoded once.
+    The tokenizer lowers letters and never joins characters across ASCII white space,
+    nor a letter or digit and signs behind it. So the ids of a text are those of its
+    words in turn, and a word, or its letters and signs, is encoded once. Sent as a
+    broadcast, one memory serves all tasks of a worker; it starts empty in each.
     """
 
     def __init__(self, path):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, text: bytes) -> bytes:
-        if any(s in text for s in SPECIAL):
-            return self._encode([text])[0]
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = list(set(words) - self.known.keys())
-            self.known.update(zip(new, self._encode(new)))
-            return b"".join(map(self.known.__getitem__, words))
-
-    def _encode(self, texts):
-        found = self.tokenizer.encode_batch(
-            [t.decode() for t in texts], add_special_tokens=False
-        )
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        self.path, self.tokenizer = path, None
+
+    def __getstate__(self):
+        return {"path": self.path, "tokenizer": None}
+
+    def _forget(self):
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            # Each task works on its own core.
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            self.tokenizer = Tokenizer.from_file(self.path)
+        self.words, self.parts = _Numbers(), {b"": b""}
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        if self.tokenizer is None or len(self.words) > REMEMBERED:
+            self._forget()
+        number, known = self.words.__getitem__, len(self.words)
+        numbered = []
+        for text in texts:
+            if any(s in text for s in SPECIAL):
+                numbered.append(None)
+                continue
+            words = text.lower().split()
+            numbered.append(np.fromiter(map(number, words), np.int64, len(words)))
+        self._learn(list(itertools.islice(self.words, known, None)))
+        return [
+            self._whole(text) if n is None else self._joined(n)
+            for text, n in zip(texts, numbered)
+        ]
+
+    def _joined(self, numbers):
+        starts, ends = self.ends[numbers], self.ends[numbers + 1]
+        lengths = ends - starts
+        upto = np.cumsum(lengths)
+        total = int(upto[-1]) if len(upto) else 0
+        return self.ids[np.arange(total) + np.repeat(starts - upto + lengths, lengths)]
+
+    def _learn(self, new):
+        if not new:
+            return
+        cut = []
+        for word in new:
+            stem = word.rstrip(SIGNS)
+            plain = stem and (stem[-1:].isalnum() or stem == word)
+            cut.append((stem, word[len(stem) :]) if plain else (word, b""))
+        if len(self.parts) > REMEMBERED:
+            self.parts = {b"": b""}
+        parts = self.parts
+        unknown = [p for p in dict.fromkeys(p for pair in cut for p in pair) if p not in parts]
+        mixed, tokens = [], self.tokenizer.model.tokenize
+        for part in unknown:
+            text = part.decode()
+            if text.isalpha() and max(text) < "\u0130":
+                # Letters of Western Europe are one piece that only has to be lowered.
+                signs = text.lower().encode().decode("latin-1").translate(BYTE_SIGNS)
+                parts[part] = array.array("I", [t.id for t in tokens(signs)]).tobytes()
+            else:
+                mixed.append(part)
+        parts.update(zip(mixed, self._encode(mixed)))
+        found = [parts[stem] + parts[signs] for stem, signs in cut]
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+
+    def _whole(self, text):
+        ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+        return np.array(ids, np.uint32)
+
+    def _encode(self, words):
+        """Ids of each word. Many are encoded as one text and told apart by their places."""
+        out = []
+        for at in range(0, len(words), JOINED):
+            some = [w.decode() for w in words[at : at + JOINED]]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            data = np.array(found.ids, "<u4").tobytes()
+            lengths = np.fromiter(map(len, some), np.int64, len(some))
+            starts = np.cumsum(lengths + 1) - lengths - 1
+            places = np.array([o[0] for o in found.offsets], np.int64)
+            cuts = (4 * np.append(np.searchsorted(places, starts), len(places))).tolist()
+            out += [data[i:j] for i, j in zip(cuts, cuts[1:])]
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool = False):
@@ -74,12 +162,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool
     schema = f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:])
     schema += ", ids array<long>" if ids else ""
 
+    words = docs.sparkSession.sparkContext.broadcast(WordIds(tokenizer))
+
     def run(batches):
-        encode, part, counted = WordIds(tokenizer), TaskContext.get().partitionId(), Counter()
+        encode, part, counted = words.value, TaskContext.get().partitionId(), Counter()
         for batch in batches:
             of, out, own_ids = [], [], []
-            for i, text in enumerate(batch.column("text").cast(pa.binary())):
-                data = encode(text.as_py()) + END_ID.to_bytes(4, "little")
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for i, found in enumerate(encode(texts)):
+                data = np.append(found, END_ID).astype("<u4").tobytes()
                 for at in range(0, len(data), 4 * capacity):
                     piece = data[at : at + 4 * capacity]
                     n = len(piece) // 4

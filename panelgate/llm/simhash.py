@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelgate.llm.common import materialize, star_components, text_rows
+from panelgate.llm.common import free_name, materialize, star_components, text_rows
 
 # Fixed values of the fingerprint.
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -47,17 +47,22 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` of every row; null and empty texts have fingerprint 0."""
+    """``(doc_id, fp, key)`` of every row; null and empty texts have fingerprint 0.
+
+    ``key`` is a hash of the text that tells rows of one id apart.
+    """
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             fps = pa.array([fingerprint(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), fps, batch.column("key")], ["doc_id", "fp", "key"]
+            )
 
-    rows = text_rows(docs)
+    rows = text_rows(docs, F.xxhash64("text").alias("key"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(run, f"doc_id {kind}, fp long, key long")
 
 
 def block_count(n: int) -> int:
@@ -235,11 +240,12 @@ def bucket_links(fps: np.ndarray, equal: int = 0) -> np.ndarray:
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row of ``docs``.
+    """``doc_id, fp, key, root, component_id`` for every row of ``docs``.
 
-    ``component_id`` is the smallest ``doc_id`` that links reach. Rows without an id
-    take part and never name a component unless it has no other rows: then it is
-    null. Repeated rows are repeated in the result; an empty table gives none.
+    ``component_id`` is the smallest ``doc_id`` that links reach, ``root`` the smallest
+    fingerprint of the component. Rows without an id take part and name a component
+    only by null, where it has no other rows. Repeated rows are repeated in the result;
+    an empty table gives none.
     """
     rows = materialize(fingerprints(docs), "fingerprints")
     firsts = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
@@ -248,26 +254,32 @@ def components(docs: DataFrame) -> DataFrame:
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = rooted.join(named, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = rooted.join(named, "root").select("fp", "root", "component_id")
+    return rows.join(of_fp, "fp").select("doc_id", "fp", "key", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without those near an earlier one: one row of each component stays.
 
-    It is the row with the component's smallest id; of several rows with this id the
-    one with the smallest (fingerprint, text hash), and one of equal rows.
+    It is the row with the component's smallest id, rows without an id coming last; of
+    several rows with this id the one with the smallest text hash, and one of equal rows.
     """
     ids = components(docs)
-    kept = ids.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    single = kept.distinct()
-    left = docs.join(single.filter("doc_id is not null"), "doc_id", "left_semi")
-    if single.filter("doc_id is null").count():
-        left = left.union(docs.filter("doc_id is null"))
-    if kept.count() == single.count():
-        return left.select(*docs.columns)
-    # Some ids have several rows: only then are whole rows gathered by their id.
-    ranked = left.groupBy("doc_id").agg(
-        F.min_by(F.struct(*left.columns), F.xxhash64("text")).alias("row")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("r")
+    of, of_key = free_name(docs, "of"), free_name(docs, "of_key")
+    single = materialize(
+        ids.groupBy("root").agg(least).select("r.doc_id", "r.key").withColumnsRenamed(
+            {"doc_id": of, "key": of_key}
+        ),
+        "kept",
     )
-    return ranked.select("row.*")
+    same = F.col("doc_id").eqNullSafe(F.col(of)) & (F.col("key") == F.col(of_key))
+    kept = ids.select("doc_id", "key").join(single, same, "left_semi").count()
+    this = F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(of_key))
+    left = docs.join(single, this, "left_semi")
+    if kept == single.count():
+        return left
+    # Only where kept rows repeat are whole rows gathered.
+    return left.groupBy("doc_id", F.xxhash64("text")).agg(
+        F.first(F.struct(*left.columns)).alias("row")
+    ).select("row.*")

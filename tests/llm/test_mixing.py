@@ -1,0 +1,86 @@
+"""Mixing: shared targets, fair queueing and the budget's cut against plain Python."""
+
+import re
+
+import pytest
+
+from panelgate.llm import mixing
+
+
+def plain_targets(sizes, weights=(3, 1, 2), budget=1.5):
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, fixed = budget * sum(sizes.values()), {}
+    while True:
+        open_ = [s for s in order if s not in fixed]
+        total = sum(w[s] for s in open_)
+        share = {s: left * w[s] / total for s in open_}
+        above = [s for s in open_ if share[s] > 2 * sizes[s]]
+        if not above:
+            return fixed | share
+        for s in above:
+            fixed[s] = 2.0 * sizes[s]
+            left -= fixed[s]
+
+
+def test_targets_and_takes(docs, corpus):
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == len(corpus)
+    sizes = {c[0]: len(re.findall(r"[^\x20\x09-\x0D]+", c[1] or "")) for c in corpus}
+    assert {r.doc_id: r.size for r in rows} == sizes
+    by_source = {}
+    for c in corpus:
+        by_source[c[3]] = by_source.get(c[3], 0) + sizes[c[0]]
+    wanted = plain_targets(by_source)
+    largest = max(sizes.values())
+    taken = {}
+    for r in rows:
+        assert r.source_size == by_source[r.source]
+        assert r.target == pytest.approx(wanted[r.source])
+        assert 0 <= r.copies <= 2
+        taken[r.source] = taken.get(r.source, 0) + r.copies * r.size
+    for source, target in wanted.items():
+        assert abs(taken[source] - target) <= largest
+    assert sum(taken.values()) <= 1.5 * sum(sizes.values())
+
+
+def test_cut_is_the_longest_prefix_of_the_global_order(docs, corpus):
+    rows = mixing.mix(docs).collect()
+    copies = []
+    for r in rows:
+        if r.size:
+            for nth in range(2):
+                finish = (r.finish * r.target + nth * r.source_size) / r.target
+                copies.append((finish, r.source or "", nth, r.turn, r.size, nth < r.copies))
+    copies.sort()
+    budget, total, prefix = sum({r.source: r.target for r in rows}.values()), 0, True
+    for *_, size, taken in copies:
+        total += size
+        prefix = prefix and total <= budget + 1e-6
+        assert taken == prefix
+
+
+def test_reruns_and_layouts_agree(docs):
+    once = {(r.doc_id, r.copies) for r in mixing.mix(docs).collect()}
+    again = {(r.doc_id, r.copies) for r in mixing.mix(docs.repartition(7)).collect()}
+    assert once == again
+
+
+def test_mixed_repeats_rows(docs):
+    copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    counted = {}
+    for r in out.collect():
+        counted[r.doc_id] = counted.get(r.doc_id, 0) + 1
+    assert counted == {k: v for k, v in copies.items() if v}
+
+
+def test_odd_rows(odd_docs, no_docs):
+    rows = mixing.mix(odd_docs).collect()
+    assert len(rows) == 7
+    assert len({r.copies for r in rows if r.doc_id == 5}) == 1
+    assert all(r.copies == 0 for r in rows if not r.size)
+    assert mixing.mixed(odd_docs).columns == odd_docs.columns
+    assert mixing.mix(no_docs).collect() == []
+    assert mixing.mixed(no_docs).collect() == []
