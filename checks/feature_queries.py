@@ -7,6 +7,7 @@ from checks.registry import query
 from panelgate.operators import features as ft
 from panelgate.operators.ordering import sort_features, with_position
 from panelgate.plans import build_training_table, build_training_tables
+from panelgate.plans.training import countries_lacking
 from panelgate.sinks import save_training_table
 from panelgate.sources import read_indicators
 
@@ -59,7 +60,8 @@ def pl1_build_training_table_known_keys(spark, sf_dir):
       FROM {shapes.LONG_COUNTRIES} GROUP BY iso_code)
     SELECT iso_code, round("1-URGENT", 4) AS "1-URGENT", round("2-HIGH", 4) AS "2-HIGH",
            CAST(quarter(CAST("date" AS DATE)) AS INTEGER) AS quarter, round("5-LOW", 4) AS y
-    FROM wide JOIN used USING (iso_code, n)""")
+    FROM wide JOIN used USING (iso_code, n)
+    WHERE "1-URGENT" IS NOT NULL AND "2-HIGH" IS NOT NULL AND "5-LOW" IS NOT NULL""")
 def pl1_build_training_tables_all_countries(spark, sf_dir):
     table = build_training_tables(
         shapes.long_countries(spark, sf_dir),
@@ -69,6 +71,16 @@ def pl1_build_training_tables_all_countries(spark, sf_dir):
     return _rounded(table, ["1-URGENT", "2-HIGH", "y"])
 
 
+@query(f"""
+    SELECT iso_code, '5-LOW' AS missing FROM {shapes.LONG_COUNTRIES}
+    GROUP BY iso_code HAVING count(*) FILTER (WHERE indicator = '5-LOW') = 0""")
+def pl1_countries_lacking(spark, sf_dir):
+    lacking = countries_lacking(
+        shapes.long_countries(spark, sf_dir), shapes.LONG_FEATURES, shapes.LONG_LABEL
+    )
+    return lacking.select("iso_code", F.array_join("missing", ",").alias("missing"))
+
+
 @query(f"SELECT * FROM {shapes.LONG} WHERE iso_code = 'USA'")
 def pf1_filter_country(spark, sf_dir):
     return ft.filter_country(shapes.long(spark, sf_dir))
@@ -222,10 +234,19 @@ def so1_sort_features(spark, sf_dir):
 
 
 @query(f"""
-    SELECT "date", indicator, iso_code, value FROM {shapes.LONG}""")
+    SELECT "date", indicator, iso_code, value,
+           rank() OVER (ORDER BY iso_code, indicator) - 1 AS first,
+           rank() OVER (ORDER BY iso_code, indicator) - 2
+             + count(*) OVER (PARTITION BY iso_code, indicator) AS last
+    FROM {shapes.LONG}""")
 def so1_sort_features_hot_copies(spark, sf_dir):
+    """Every row with the first and the last position of the rows with its keys."""
     long = shapes.long(spark, sf_dir).drop("entity")
-    return sort_features(long, ["iso_code", "indicator"], hot_copies=True)
+    placed = with_position(sort_features(long, ["iso_code", "indicator"], hot_copies=True))
+    ends = placed.groupBy("iso_code", "indicator").agg(
+        F.min("position").alias("first"), F.max("position").alias("last")
+    )
+    return placed.drop("position").join(ends, ["iso_code", "indicator"])
 
 
 @query(f"SELECT * FROM {shapes.LONG}")

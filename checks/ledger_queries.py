@@ -8,7 +8,7 @@ from panelgate import sinks, sources
 from panelgate.functions import text
 from panelgate.operators import ordering
 from panelgate.plans import export_ledger_rows, import_ledger_rows, import_locations
-from panelgate.plans.ledgers import as_imported
+from panelgate.plans.ledgers import as_imported, due_imports
 from panelgate.schemas import EXPORT_LEDGER
 
 _AS_OF = "2023-05-01 12:00:00"
@@ -172,7 +172,7 @@ def _runs(spark, sf_dir):
       SELECT 'run_of_' || CAST(o_custkey AS VARCHAR) AS run_name,
              'r' || CAST(o_orderkey AS VARCHAR) AS run_id, o_orderdate AS start_time,
              row_number() OVER (PARTITION BY o_custkey
-               ORDER BY o_orderdate DESC, 'r' || CAST(o_orderkey AS VARCHAR) DESC) AS rn
+               ORDER BY o_orderdate DESC, 'r' || CAST(o_orderkey AS VARCHAR)) AS rn
       FROM orders) WHERE rn = 1""")
 def so4_latest_runs(spark, sf_dir):
     return ordering.latest_runs(_runs(spark, sf_dir))
@@ -267,6 +267,23 @@ def pl3_import_ledger_rows(spark, sf_dir):
     return _naive(import_ledger_rows(shapes.ledger(spark, sf_dir), as_of=_AS_OF))
 
 
+_DONE = "CAST(exported_model_version AS BIGINT) % 4 = 1"
+
+
+@query(f"""
+    SELECT from_workspace, exported_model_name, exported_model_version, external_location,
+           "timestamp"
+    FROM (SELECT *, row_number() OVER (PARTITION BY from_workspace, exported_model_name
+            ORDER BY "timestamp" DESC, CAST(exported_model_version AS BIGINT) DESC) AS rn
+          FROM {shapes.LEDGER})
+    WHERE rn = 1 AND NOT ({_DONE})""")
+def pl3_due_imports(spark, sf_dir):
+    """Newest exports, of which every fourth version is imported already."""
+    ledger = shapes.ledger(spark, sf_dir)
+    done = as_imported(ledger.filter(F.col("exported_model_version").cast("bigint") % 4 == 1))
+    return _naive(due_imports(ledger, done))
+
+
 @query(f"SELECT {_IMPORTED} FROM {shapes.LEDGER}")
 def pl3_as_imported(spark, sf_dir):
     return as_imported(shapes.ledger(spark, sf_dir))
@@ -276,9 +293,9 @@ def pl3_as_imported(spark, sf_dir):
     SELECT 'imported_' || exported_model_name AS name,
            regexp_replace(external_location, '/[^/]*$', '') AS input_dir,
            split_part(external_location, '/', -1) AS run_id,
-           'dbfs:/tmp/workspace_' || split_part(from_workspace, '_', 2) || '/'
+           's3a://scratch/workspace_' || split_part(from_workspace, '_', 2) || '/'
              || exported_model_name AS scratch_dir,
            '/Shared/mlflow_experiments/exp_imported_' || exported_model_name AS experiment_name
     FROM {shapes.LEDGER}""")
 def pl3_import_locations(spark, sf_dir):
-    return import_locations(shapes.ledger(spark, sf_dir), "dbfs:/tmp")
+    return import_locations(shapes.ledger(spark, sf_dir), "s3a://scratch")

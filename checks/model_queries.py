@@ -35,11 +35,25 @@ def ml1_fit_regressor(spark, sf_dir):
     )
 
 
-@query()
+@query("""
+    SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_null, CAST(0 AS BIGINT) AS n_different,
+           true AS better_than_mean
+    FROM lineitem""")
 def ml2_predict(spark, sf_dir):
+    """Rows, nulls, differences after the model is stored and read again, and the error."""
     lines = _lines(spark, sf_dir)
     model = models.fit_regressor(lines, _FEATURES, **_FEW_ROUNDS)
-    return models.predict(ft.drop_label(lines), model)
+    path = models.save_version(model, shapes.scratch(spark), "m", "1")
+    loaded = models.load_version(None, path.rsplit("/", 2)[0], "m", "1")
+    scored = models.predict(ft.drop_label(lines), model, "y_hat1")
+    both = models.predict(scored, loaded, "y_hat2")
+    error = metrics.mse(models.predict(lines, model)).scalar()
+    variance = lines.agg(F.var_pop("y")).scalar()
+    return both.agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(F.col("y_hat1").isNull()).alias("n_null"),
+        F.count_if(F.col("y_hat1") != F.col("y_hat2")).alias("n_different"),
+    ).withColumn("better_than_mean", error < variance)
 
 
 @query("""
@@ -106,3 +120,18 @@ def ml4_check_contract(spark, sf_dir):
     lines = _lines(spark, sf_dir)
     contract = models.infer_contract(lines.select(*_FEATURES))
     return models.check_contract(lines, contract)
+
+
+@query("""
+    SELECT problem, n_rows FROM (SELECT count(*) AS n_rows FROM lineitem),
+      (SELECT unnest(['l_discount: expected double, found string',
+                      'l_tax: expected double, found nothing']) AS problem)""")
+def ml4_contract_problems(spark, sf_dir):
+    """A row per column that does not fit the contract."""
+    lines = _lines(spark, sf_dir)
+    contract = models.infer_contract(lines.select(*_FEATURES))
+    other = lines.withColumn("l_discount", F.col("l_discount").cast("string")).drop("l_tax")
+    problems = models.contract_problems(other, contract)
+    counted = other.agg(F.count("*").alias("n_rows"))
+    found = F.array(*[F.lit(p) for p in problems])
+    return counted.select(F.explode(found).alias("problem"), "n_rows")

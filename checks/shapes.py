@@ -59,27 +59,33 @@ LONG = """
  FROM orders)"""
 
 
-# Indicators per month, three countries of which one never reports an indicator.
+# Indicators per month, four countries: FRA never reports an indicator that is not
+# selected, ITA never reports the label; their orders count as other indicators.
 
 def long_countries(spark, sf_dir):
-    status = F.col("o_orderstatus")
-    orders = table(spark, sf_dir, "orders").filter(
-        (status != "P") | (F.col("o_orderpriority") != "4-NOT SPECIFIED")
-    )
-    return orders.select(
-        F.when(status == "F", "USA").when(status == "O", "DZA").otherwise("FRA").alias("iso_code"),
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    italy = (status == "O") & (F.col("o_custkey") % 5 == 0)
+    return table(spark, sf_dir, "orders").select(
+        F.when(status == "F", "USA").when(italy, "ITA").when(status == "O", "DZA")
+        .otherwise("FRA").alias("iso_code"),
         F.date_format(F.trunc("o_orderdate", "month"), "yyyy-MM-dd").alias("date"),
-        F.col("o_orderpriority").alias("indicator"),
+        F.when((status == "P") & (priority == "4-NOT SPECIFIED"), "1-URGENT")
+        .when(italy & (priority == LONG_LABEL), "2-HIGH").otherwise(priority).alias("indicator"),
         F.when(F.col("o_orderkey") % 7 != 0, F.sqrt("o_totalprice")).alias("value"),
     )
 
 
 LONG_COUNTRIES = """
-(SELECT CASE o_orderstatus WHEN 'F' THEN 'USA' WHEN 'O' THEN 'DZA' ELSE 'FRA' END AS iso_code,
+(SELECT CASE WHEN o_orderstatus = 'F' THEN 'USA'
+             WHEN o_orderstatus = 'O' AND o_custkey % 5 = 0 THEN 'ITA'
+             WHEN o_orderstatus = 'O' THEN 'DZA' ELSE 'FRA' END AS iso_code,
         strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS "date",
-        o_orderpriority AS indicator,
+        CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '4-NOT SPECIFIED' THEN '1-URGENT'
+             WHEN o_orderstatus = 'O' AND o_custkey % 5 = 0 AND o_orderpriority = '5-LOW'
+               THEN '2-HIGH'
+             ELSE o_orderpriority END AS indicator,
         CASE WHEN o_orderkey % 7 <> 0 THEN sqrt(o_totalprice) END AS value
- FROM orders WHERE o_orderstatus <> 'P' OR o_orderpriority <> '4-NOT SPECIFIED')"""
+ FROM orders)"""
 
 
 # Indicators per day, with one country that holds a third of the rows and more.
@@ -136,27 +142,40 @@ def _model():
 _MODEL = "CASE WHEN o_orderkey % 3 = 0 THEN 'hot' ELSE 'm' || CAST(o_orderkey // 24 AS VARCHAR) END"
 
 
+# Some models have no Production version, some only version 0 or 1, and some keep
+# their numbers with zeros in front.
+
 def versions(spark, sf_dir):
-    key = F.col("o_orderkey")
-    number = F.when(key % 3 == 0, F.expr("o_orderkey div 3")).otherwise(key % 24) + 1
+    key, block = F.col("o_orderkey"), F.expr("o_orderkey div 24")
+    hot, single = key % 3 == 0, block % 11 == 4
+    number = F.when(hot, F.expr("o_orderkey div 3") + 1).when(single, key % 2).otherwise(key % 24 + 1)
+    text = number.cast("string")
     status = F.col("o_orderstatus")
+    produced = F.when(~hot & (block % 7 == 3), "Archived").otherwise("Production")
     exported = F.concat(F.lit("Already Exported "), F.col("o_orderpriority"))
     return table(spark, sf_dir, "orders").select(
-        _model().alias("name"),
-        number.cast("string").alias("version"),
+        F.when(~hot & single, F.concat(_model(), F.lit("_"), key.cast("string")))
+        .otherwise(_model()).alias("name"),
+        F.when(~hot & (block % 13 == 6), F.concat(F.lit("00"), text)).otherwise(text).alias("version"),
         F.when(status == "O", "None").when(status == "F", "Staging")
-        .otherwise("Production").alias("stage"),
+        .otherwise(produced).alias("stage"),
         F.when(key % 5 == 0, exported)
         .when(key % 11 != 0, F.col("o_orderpriority")).alias("description"),
         F.concat(F.lit("r"), key.cast("string")).alias("run_id"),
     )
 
 
+_BLOCK = "o_orderkey // 24"
+_NUMBER = f"""CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey // 3 + 1
+                        WHEN {_BLOCK} % 11 = 4 THEN o_orderkey % 2 ELSE o_orderkey % 24 + 1 END
+                   AS VARCHAR)"""
 VERSIONS = f"""
-(SELECT {_MODEL} AS name,
-        CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey // 3 ELSE o_orderkey % 24 END + 1
-             AS VARCHAR) AS version,
-        CASE o_orderstatus WHEN 'O' THEN 'None' WHEN 'F' THEN 'Staging' ELSE 'Production' END
+(SELECT CASE WHEN o_orderkey % 3 <> 0 AND {_BLOCK} % 11 = 4
+             THEN {_MODEL} || '_' || CAST(o_orderkey AS VARCHAR) ELSE {_MODEL} END AS name,
+        CASE WHEN o_orderkey % 3 <> 0 AND {_BLOCK} % 13 = 6 THEN '00' ELSE '' END || {_NUMBER}
+          AS version,
+        CASE WHEN o_orderstatus = 'O' THEN 'None' WHEN o_orderstatus = 'F' THEN 'Staging'
+             WHEN o_orderkey % 3 <> 0 AND {_BLOCK} % 7 = 3 THEN 'Archived' ELSE 'Production' END
           AS stage,
         CASE WHEN o_orderkey % 5 = 0 THEN 'Already Exported ' || o_orderpriority
              WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS description,

@@ -6,6 +6,7 @@ from checks import shapes
 from checks.registry import query
 from panelgate.functions.numbers import relative_difference, version_number
 from panelgate.operators import metrics, versions as mv
+from panelgate.operators.models import score_stored
 from panelgate.plans import monitor, validate_and_promote
 from panelgate.sources import explode_split_json
 
@@ -37,7 +38,7 @@ def pf15_version_number(spark, sf_dir):
 
 @query(f"""
     SELECT name, CAST(max({_V}) AS VARCHAR) AS version FROM {shapes.VERSIONS}
-    WHERE stage = 'None' GROUP BY name""")
+    WHERE stage = 'None' GROUP BY name HAVING max({_V}) > 0""")
 def ag4_latest_version(spark, sf_dir):
     return mv.latest_version(shapes.versions(spark, sf_dir))
 
@@ -110,10 +111,10 @@ def jn2_to_archive(spark, sf_dir):
 
 
 _PAIRS = f"""
-    (SELECT n.name, n.version, CAST(n.v - 1 AS VARCHAR) AS previous_version,
+    (SELECT n.name, n.version, coalesce(p.version, CAST(n.v - 1 AS VARCHAR)) AS previous_version,
             p.name IS NOT NULL AS previous_found
      FROM (SELECT name, version, {_V} AS v FROM {_newest('Production')}) n
-     LEFT JOIN (SELECT name, {_V} AS v FROM {shapes.VERSIONS}) p
+     LEFT JOIN (SELECT name, version, {_V} AS v FROM {shapes.VERSIONS}) p
        ON p.name = n.name AND p.v = n.v - 1
      WHERE n.v >= 2)"""
 
@@ -131,7 +132,12 @@ def gt3_require_stage(spark, sf_dir):
     return mv.require_stage(shapes.versions(spark, sf_dir))
 
 
-@query(f"SELECT name, version, {_V} >= 2 AS ok FROM {_newest('Production')}")
+_NEWEST_NUMBER = f"""
+    (SELECT name, coalesce(max({_V}) FILTER (WHERE stage = 'Production'), -1000) AS v
+     FROM {shapes.VERSIONS} GROUP BY name)"""
+
+
+@query(f"SELECT name, CAST(v AS VARCHAR) AS version, v >= 2 AS ok FROM {_NEWEST_NUMBER}")
 def gt4_require_two_versions(spark, sf_dir):
     return mv.require_two_versions(shapes.versions(spark, sf_dir))
 
@@ -285,18 +291,22 @@ def _y_hat_sql(version):
     return f'"Daily_ICU_occupancy" * ((CAST({version} AS BIGINT) // 2 % 5 - 2) * 0.05 + 1)'
 
 
-@query(f"""
+def _monitored(y_hat1, y_hat2):
+    return f"""
     WITH e AS (
-      SELECT name, version, previous_version,
-             avg(pow(y - {_y_hat_sql('version')}, 2)) AS m1,
-             avg(pow(y - {_y_hat_sql('previous_version')}, 2)) AS m2
-      FROM {shapes.EXAMPLES} JOIN {_PAIRS} USING (name)
-      WHERE previous_found GROUP BY name, version, previous_version)
-    SELECT name, version, previous_version, round(m1, 4) AS mse1, round(m2, 4) AS mse2,
-           round(abs((m1 - m2) / m1), 6) AS difference,
-           CASE WHEN abs((m1 - m2) / m1) < 0.01 THEN 'similar'
+      SELECT name, avg(pow(y - {y_hat1}, 2)) AS m1, avg(pow(y - {y_hat2}, 2)) AS m2
+      FROM {shapes.EXAMPLES} JOIN {_PAIRS} USING (name) WHERE previous_found GROUP BY name)
+    SELECT a.name, coalesce(p.version, CAST(a.v AS VARCHAR)) AS version, p.previous_version,
+           round(m1, 4) AS mse1, round(m2, 4) AS mse2, round(abs((m1 - m2) / m1), 6) AS difference,
+           CASE WHEN a.v < 2 THEN 'too few versions'
+                WHEN NOT p.previous_found THEN 'no previous version'
+                WHEN e.name IS NULL THEN 'no examples'
+                WHEN abs((m1 - m2) / m1) < 0.01 THEN 'similar'
                 WHEN m1 > m2 THEN 'worse' ELSE 'better' END AS outcome
-    FROM e""")
+    FROM {_NEWEST_NUMBER} a LEFT JOIN {_PAIRS} p USING (name) LEFT JOIN e USING (name)"""
+
+
+@query(_monitored(_y_hat_sql("version"), _y_hat_sql("previous_version")))
 def pl4_monitor(spark, sf_dir):
     examples = explode_split_json(
         shapes.documents(spark, sf_dir), "document", shapes.EXAMPLE_COLUMNS
@@ -309,3 +319,24 @@ def pl4_monitor(spark, sf_dir):
 
     result = monitor(shapes.versions(spark, sf_dir), examples, score)
     return _rounded(result, {"mse1": 4, "mse2": 4, "difference": 6})
+
+
+@query(_monitored(_y_hat_sql("version"), _y_hat_sql("previous_version")))
+def pl4_monitor_stored_models(spark, sf_dir):
+    """As ``pl4_monitor``, with one Python model per version, loaded in the tasks."""
+    examples = explode_split_json(
+        shapes.documents(spark, sf_dir), "document", shapes.EXAMPLE_COLUMNS
+    )
+
+    def load(name, version):
+        factor = (int(version) // 2 % 5 - 2) * 0.05 + 1
+
+        class Scaled:
+            def predict(self, frame):
+                return frame["Daily_ICU_occupancy"] * factor
+
+        return Scaled()
+
+    score = score_stored(load, ["Daily_ICU_occupancy"])
+    result = monitor(shapes.versions(spark, sf_dir), examples, score)
+    return _rounded(result, {"mse1": 4, "mse2": 4, "difference": 6})

@@ -8,20 +8,12 @@ from pyspark.sql import types as T
 
 from panelgate.columns import named, require_columns
 from panelgate.functions.numbers import quarter_of, strict_double
-from panelgate.operators.joins import spread_join
 from panelgate.operators.ordering import with_position
 
 # Model inputs and label of the training table.
 FEATURES = sorted(["Daily_ICU_occupancy", "Daily_hospital_occupancy", "quarter"])
 LABEL = "Weekly_new_hospital_admissions"
 
-# Up to this many pivot columns one conditional aggregate (a single shuffle) is at
-# least as fast as Spark's two-phase pivot; every row is tested against each column.
-SINGLE_SHUFFLE_COLUMNS = 20
-
-# Same bound as Spark's own pivot: more columns than this is a mistake in the data.
-MAX_PIVOT_COLUMNS = 10_000
-
 
 def filter_country(df: DataFrame, country: str = "USA") -> DataFrame:
     """Rows of one country; rows without a code are dropped."""
@@ -53,14 +45,16 @@ def fill_missing(df: DataFrame, value) -> DataFrame:
 def indicator_names(df: DataFrame, columns: str = "indicator") -> list[str]:
     """Distinct indicators in name order: one job over one column.
 
-    They become column names, so their number is bounded by what a table can hold.
+    They become column names; the session's ``spark.sql.pivotMaxValues`` says how many
+    columns a pivot may have.
     """
+    most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
     found = (
         df.select(named(columns)).filter(named(columns).isNotNull()).distinct()
-        .limit(MAX_PIVOT_COLUMNS + 1).collect()
+        .limit(most + 1).collect()
     )
-    if len(found) > MAX_PIVOT_COLUMNS:
-        raise ValueError(f"{columns} has more than {MAX_PIVOT_COLUMNS} distinct values")
+    if len(found) > most:
+        raise ValueError(f"{columns} has more than {most} distinct values")
     return sorted(row[0] for row in found)
 
 
@@ -71,12 +65,15 @@ def pivot_mean(
     values: str = "value",
     keys: Sequence[str] | None = None,
     ordered: bool = True,
+    two_phase: bool = False,
 ) -> DataFrame:
     """Long to wide; several values of one cell are averaged, absent cells are null.
 
     ``keys`` lists the wanted columns and saves the job that looks them up. Rows
     without index, indicator or value take no part. A hot index or indicator is
-    combined before the shuffle, so it sends one row per input partition.
+    combined before the shuffle, so it sends one row per input partition. One
+    conditional aggregate needs a single shuffle; as it tests every row against each
+    column, ``two_phase`` takes Spark's own pivot, which is ahead from some 40 columns.
     """
     by = [index] if isinstance(index, str) else list(index)
     require_columns(df, *by, columns, values)
@@ -90,7 +87,7 @@ def pivot_mean(
     groups = rows.groupBy(*[named(name) for name in by])
     if not keys:
         wide = rows.select(*[named(name) for name in by]).distinct()
-    elif len(keys) <= SINGLE_SHUFFLE_COLUMNS:
+    elif not two_phase:
         wide = groups.agg(*[F.avg(F.when(key == k, value)).alias(k) for k in keys])
     else:
         wide = groups.pivot(columns, list(keys)).agg(F.avg(value))
@@ -127,28 +124,6 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
     return df.dropna("any")
 
 
-def drop_incomplete_per_group(
-    wide: DataFrame,
-    presence: DataFrame,
-    group: str,
-    cells: dict[str, str],
-    salts: int = 1,
-) -> DataFrame:
-    """``drop_incomplete`` for a pivot of many groups at once.
-
-    A pivot over all groups also has the columns that only other groups use. A
-    row is complete when every indicator its own group uses has a value.
-    ``presence`` has one row per group with an array ``used`` of indicators and
-    ``cells`` maps each indicator to its column in ``wide``. ``salts`` splits the
-    rows of a large group when ``presence`` is too long to broadcast.
-    """
-    complete = F.lit(True)
-    for indicator, column in cells.items():
-        unused = ~F.array_contains("used", F.lit(indicator))
-        complete = complete & (unused | named(column).isNotNull())
-    return spread_join(wide, presence, [group], salts).filter(complete).drop("used")
-
-
 def with_quarter(df: DataFrame, date: str = "date") -> DataFrame:
     """All columns plus ``quarter`` (1-4); a bad date fails the job."""
     require_columns(df, date)

@@ -5,20 +5,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
-
 
 def spread_join(
-    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], salts: int = SALTS
+    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], salts: int | None = None
 ) -> DataFrame:
     """Inner join of ``rows`` with ``lookup`` (unique on ``keys``), split by a salt.
 
     Every input partition of ``rows`` takes one of ``salts`` parts, so a key that
     holds a third of all rows is joined in that many tasks. The salt depends on the
     partition number alone: a task that runs again after a lost executor sends its
-    rows to the same places. ``lookup`` is repeated once per salt; whether it is
-    small enough to broadcast is left to Spark's size check.
+    rows to the same places. There are as many salts as shuffle partitions unless
+    the caller says otherwise, so a part of a hot key is no larger than a part of
+    all rows. ``lookup`` is repeated once per salt; whether it is small enough to
+    broadcast is left to Spark's size check.
     """
+    if salts is None:
+        salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if salts == 1:
         return rows.join(lookup, list(keys))
     salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))

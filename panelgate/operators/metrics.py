@@ -74,7 +74,9 @@ class GateFailed(Exception):
 
 
 def assert_valid(gate: DataFrame) -> None:
-    """Fail unless every pair passed; names up to twenty that did not."""
-    failed = gate.filter(F.col("outcome") != "passed").limit(20).collect()
-    if failed:
-        raise GateFailed(f"models do not match: {[row.asDict() for row in failed]}")
+    """Fail unless every pair passed; counts those that did not and shows up to twenty."""
+    failed = gate.filter(F.col("outcome") != "passed")
+    shown = failed.limit(20).collect()
+    if shown:
+        n = len(shown) if len(shown) < 20 else failed.count()
+        raise GateFailed(f"{n} models do not match: {[row.asDict() for row in shown]}")

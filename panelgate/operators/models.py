@@ -1,6 +1,7 @@
 """Fitting, scoring and loading of regressors on tables."""
 
 import json
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -8,11 +9,11 @@ from pyspark import cloudpickle
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelgate.columns import named, require_columns
+from panelgate.columns import named, require_columns, required
 from panelgate.operators.features import FEATURES
 from panelgate.operators.versions import newest_version_of
 from panelgate.storage import shared_dir
@@ -68,9 +69,10 @@ def predict_python(
     """
     require_columns(df, *features)
     packed = cloudpickle.dumps(model)
+    spark = df.sparkSession
     if len(packed) > LARGEST_BROADCAST_MODEL:
-        raise ValueError(f"model has {len(packed)} bytes, too many to broadcast")
-    shipped = df.sparkSession.sparkContext.broadcast(packed)
+        return _predict_large(df, packed, features, name)
+    shipped = spark.sparkContext.broadcast(packed)
 
     @F.pandas_udf(T.DoubleType())
     def y_hat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
@@ -81,6 +83,28 @@ def predict_python(
     return df.withColumn(name, y_hat(F.struct(*[named(f) for f in sorted(features)])))
 
 
+def _predict_large(df, packed, features, name):
+    """As ``predict_python``; the model lies in the shared folder in pieces, in order."""
+    spark, size = df.sparkSession, 64 * 1024 * 1024
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    pieces = [(i, bytearray(packed[at : at + size])) for i, at in enumerate(range(0, len(packed), size))]
+    spark.createDataFrame(pieces, "i int, piece binary").write.parquet(path)
+
+    @F.pandas_udf(T.DoubleType())
+    def y_hat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        where = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+        system, folder = fs.FileSystem.from_uri(where)
+        table = ds.dataset(folder, filesystem=system).to_table().sort_by("i")
+        loaded = cloudpickle.loads(b"".join(p.as_py() for p in table["piece"]))
+        for batch in batches:
+            yield pd.Series(loaded.predict(batch)).astype("float64")
+
+    return df.withColumn(name, y_hat(F.struct(*[named(f) for f in sorted(features)])))
+
+
 def predict_many(
     df: DataFrame,
     load: Callable[[str, str], object],
@@ -91,33 +115,61 @@ def predict_many(
     """Predictions of each row's own model, for any number of models in one job.
 
     ``load(name, version)`` runs in the tasks and reads a Python model from shared
-    storage. Rows stay where they are: nothing is shuffled, however many rows one
-    model has. A task keeps the models it used last.
+    storage. Rows are ranged by model and spread inside a model by a hash of their
+    features, so a hot model is split and a task holds one model at a time: there is
+    about one load per (partition, model). Rows without name or version are an error.
     """
-    require_columns(df, "name", version, *features)
+    return _by_model(df, load, features, {version: name})
 
-    @F.pandas_udf(T.DoubleType())
-    def y_hat(
-        batches: Iterator[tuple[pd.Series, pd.Series, pd.DataFrame]],
-    ) -> Iterator[pd.Series]:
-        from functools import lru_cache
 
-        cached = lru_cache(maxsize=16)(load)
-        for names, numbers, batch in batches:
-            out = pd.Series(float("nan"), index=batch.index)
-            for key, rows in batch.groupby([names, numbers], sort=False):
-                out.loc[rows.index] = cached(*key).predict(rows)
-            yield out
+def score_stored(
+    load: Callable[[str, str], object], features: Sequence[str] = FEATURES
+) -> Callable[[DataFrame], DataFrame]:
+    """Scorer for ``monitor`` over stored Python models, any number of them.
 
-    inputs = F.struct(*[named(f) for f in sorted(features)])
-    return df.withColumn(name, y_hat("name", named(version), inputs))
+    Rows move once: both versions of a pair score them in the same pass.
+    """
+    names = {"version": "y_hat1", "previous_version": "y_hat2"}
+    return lambda rows: _by_model(rows, load, features, names)
+
+
+def _by_model(df, load, features, names):
+    require_columns(df, "name", *names, *features)
+    keys = ["name", *names]
+    for key in keys:
+        df = df.withColumn(key, required(named(key), f"a row to score has no {key}"))
+    inputs = [named(f) for f in sorted(features)]
+    ranged = df.repartitionByRange(*[named(k) for k in keys], F.xxhash64(*inputs))
+    in_order = ranged.sortWithinPartitions(*[named(k) for k in keys])
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def y_hats(
+        batches: Iterator[tuple[pd.DataFrame, pd.DataFrame]],
+    ) -> Iterator[pd.Series]:
+        current, loaded = None, []
+        for of, batch in batches:
+            out = pd.DataFrame(0.0, index=batch.index, columns=range(of.shape[1] - 1))
+            changed = (of != of.shift()).any(axis=1).cumsum()
+            for _, rows in batch.groupby(changed, sort=False):
+                key = tuple(of.loc[rows.index[0]])
+                if key != current:
+                    current, loaded = key, [load(key[0], v) for v in key[1:]]
+                for i, model in enumerate(loaded):
+                    out.loc[rows.index, i] = model.predict(rows)
+            yield pd.Series(out.to_numpy().tolist(), index=batch.index)
+
+    scores = y_hats(F.struct(*[named(k) for k in keys]), F.struct(*inputs))
+    scored = in_order.withColumn("_y_hats", scores)
+    for i, column in enumerate(names.values()):
+        scored = scored.withColumn(column, F.get("_y_hats", F.lit(i)))
+    return scored.drop("_y_hats")
 
 
 def score_pairs(models: Mapping[tuple[str, str], Model]) -> Callable[[DataFrame], DataFrame]:
     """Scorer for ``monitor`` out of loaded Spark ML models, keyed by (name, version).
 
     Each pair is one transform over its own rows, so this suits a handful of
-    models; ``predict_many`` takes any number.
+    models; ``score_stored`` takes any number.
     """
 
     def score(rows: DataFrame) -> DataFrame:
@@ -168,16 +220,38 @@ def infer_contract(df: DataFrame) -> str:
     return df.schema.json()
 
 
-def check_contract(df: DataFrame, contract: str) -> DataFrame:
-    """``df`` in the contract's columns; missing ones or other types are an error."""
+def contract_problems(df: DataFrame, contract: str) -> list[str]:
+    """Columns of the contract that ``df`` lacks or has in another type."""
     wanted = T.StructType.fromJson(json.loads(contract))
     found = {f.name: f.dataType for f in df.schema.fields}
-    problems = [
+    return [
         f"{f.name}: expected {f.dataType.simpleString()}, found "
         + (found[f.name].simpleString() if f.name in found else "nothing")
         for f in wanted.fields
         if found.get(f.name) != f.dataType
     ]
+
+
+def check_contract(df: DataFrame, contract: str) -> DataFrame:
+    """``df`` in the contract's columns; missing ones or other types are an error."""
+    problems = contract_problems(df, contract)
     if problems:
         raise ValueError("; ".join(problems))
+    wanted = T.StructType.fromJson(json.loads(contract))
     return df.select(*[named(f.name) for f in wanted.fields])
+
+
+def contract_path(root: str, name: str, version: str) -> str:
+    return f"{root}/contracts/{name}/{version}"
+
+
+def save_contract(df: DataFrame, root: str, name: str, version: str) -> str:
+    """Store the contract of a model's inputs beside the model."""
+    path = contract_path(root, name, version)
+    text = df.sparkSession.createDataFrame([(infer_contract(df),)], "contract string")
+    text.coalesce(1).write.mode("overwrite").text(path)
+    return path
+
+
+def load_contract(spark: SparkSession, root: str, name: str, version: str) -> str:
+    return spark.read.text(contract_path(root, name, version), wholetext=True).head()[0].strip()

@@ -79,13 +79,20 @@ def latest_row(df: DataFrame, time: str = "timestamp", *ties: str) -> DataFrame:
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
-    """Newest run of every run name."""
-    newest = F.max_by("run_id", F.struct("start_time", "run_id"))
-    return runs.groupBy("run_name").agg(
-        newest.alias("run_id"), F.max("start_time").alias("start_time")
+    """Newest run of every run name; of runs of one moment the smallest ``run_id``.
+
+    Both steps are combined by hashing before their shuffles.
+    """
+    newest = runs.groupBy("run_name").agg(F.max("start_time").alias("start_time"))
+    same = F.col("r.run_name").eqNullSafe(F.col("n.run_name")) & F.col(
+        "r.start_time"
+    ).eqNullSafe(F.col("n.start_time"))
+    tied = runs.alias("r").join(newest.alias("n"), same).select("r.*")
+    return tied.groupBy("run_name", "start_time").agg(F.min("run_id").alias("run_id")).select(
+        "run_name", "run_id", "start_time"
     )
 
 
 def latest_run(runs: DataFrame, run_name: str) -> DataFrame:
-    """Newest run with this name."""
+    """Newest run with this name, by the order of ``latest_runs``."""
     return latest_row(runs.filter(F.col("run_name") == run_name), "start_time", "run_id")

@@ -48,6 +48,17 @@ def versions_in_stage(versions: DataFrame, stage: str = PRODUCTION) -> DataFrame
     return in_stage(versions, stage).select("name", _number().alias("version"))
 
 
+def _newest(rows, *by):
+    """Rows with the largest version of their group.
+
+    The maximum of a number is combined by hashing; its row is then found by the
+    unique key, so whole rows are neither sorted nor gathered for it.
+    """
+    numbered = rows.withColumn("_number", _number())
+    largest = numbered.groupBy(*by).agg(F.max("_number").alias("_number"))
+    return numbered.join(largest, [*by, "_number"])
+
+
 def _latest_number(versions, stage):
     newest = in_stage(versions, stage).groupBy("name").agg(F.max(_number()).alias("v"))
     return newest.filter(F.col("v") > 0)
@@ -70,11 +81,8 @@ def newest_version_of(versions: DataFrame, name: str, stage: str = NONE) -> str:
 
 def latest_per_stage(versions: DataFrame) -> DataFrame:
     """Newest version of every (model, stage) with its description and run."""
-    fields = ("version", "description", "run_id")
-    newest = versions.groupBy("name", "stage").agg(
-        F.max_by(F.struct(*fields), _number()).alias("newest")
-    )
-    return newest.select("name", "stage", *[f"newest.{f}" for f in fields])
+    fields = ("name", "stage", "version", "description", "run_id")
+    return _newest(versions, "name", "stage").select(*fields)
 
 
 def newest_in_stage(versions: DataFrame, stage: str = PRODUCTION) -> DataFrame:
@@ -88,9 +96,11 @@ def export_candidates(versions: DataFrame, marker: str = EXPORT_MARKER) -> DataF
     A model without one is reported with version ``-1000`` and is not exported.
     """
     number = F.when(F.col("stage") == PRODUCTION, _number())
-    newest = versions.groupBy("name").agg(
-        F.max(number).alias("v"), F.max_by("description", number).alias("d")
+    largest = versions.groupBy("name").agg(F.max(number).alias("v"))
+    described = in_stage(versions, PRODUCTION).select(
+        "name", _number().alias("v"), F.col("description").alias("d")
     )
+    newest = largest.join(described, ["name", "v"], "left")
     missing = F.col("v").isNull()
     return newest.select(
         "name",
@@ -126,20 +136,15 @@ def previous_version(versions: DataFrame) -> DataFrame:
     The one below may be in any stage. Where that number does not exist,
     ``previous_found`` is false.
     """
-    newest = _latest_number(versions, PRODUCTION).filter(F.col("v") >= 2)
-    pairs = newest.select(
-        "name",
-        F.col("v").cast("string").alias("version"),
-        (F.col("v") - 1).cast("string").alias("previous_version"),
-    )
-    below = versions.select(
-        "name", F.col("version").alias("previous_version"), F.lit(True).alias("found")
-    )
-    return pairs.join(below, ["name", "previous_version"], "left").select(
+    number = _number()
+    newest = newest_in_stage(versions, PRODUCTION).filter(number >= 2)
+    pairs = newest.select("name", "version", (number - 1).alias("below"))
+    found = versions.select("name", number.alias("below"), F.col("version").alias("text"))
+    return pairs.join(found, ["name", "below"], "left").select(
         "name",
         "version",
-        "previous_version",
-        F.coalesce("found", F.lit(False)).alias("previous_found"),
+        F.coalesce("text", F.col("below").cast("string")).alias("previous_version"),
+        F.col("text").isNotNull().alias("previous_found"),
     )
 
 
@@ -156,11 +161,18 @@ def assert_stage(versions: DataFrame, name: str, stage: str = PRODUCTION) -> Non
         raise GateFailed(f"model {name} has no version in stage {stage}")
 
 
+def assert_any(versions: DataFrame, stage: str = PRODUCTION) -> None:
+    """Fail unless some model has a version in the stage."""
+    if in_stage(versions, stage).isEmpty():
+        raise GateFailed(f"no model has a version in stage {stage}")
+
+
 def require_two_versions(versions: DataFrame) -> DataFrame:
-    """Per model with a Production version: whether the newest is 2 or above."""
-    return _latest_number(versions, PRODUCTION).select(
-        "name", F.col("v").cast("string").alias("version"), (F.col("v") >= 2).alias("ok")
-    )
+    """Per model: newest Production version, ``-1000`` for none, and whether it is 2 or above."""
+    number = F.when(F.col("stage") == PRODUCTION, _number())
+    newest = versions.groupBy("name").agg(F.max(number).alias("v"))
+    v = F.coalesce(F.col("v"), F.lit(int(NO_PRODUCTION_VERSION)).cast("bigint"))
+    return newest.select("name", v.cast("string").alias("version"), (v >= 2).alias("ok"))
 
 
 def assert_two_versions(versions: DataFrame, name: str) -> None:
@@ -170,9 +182,13 @@ def assert_two_versions(versions: DataFrame, name: str) -> None:
 
 
 def _rewrite(versions, targets, **changes):
-    """All versions, with some columns changed on the rows ``targets`` lists."""
-    marked = targets.select("name", "version", F.lit(True).alias("_hit")).dropDuplicates()
-    joined = versions.join(marked, ["name", "version"], "left")
+    """All versions, with some columns changed on the rows ``targets`` lists.
+
+    Versions are compared as numbers, so ``007`` and ``7`` are the same one.
+    """
+    marked = targets.select("name", _number().alias("_number")).distinct()
+    marked = marked.withColumn("_hit", F.lit(True))
+    joined = versions.withColumn("_number", _number()).join(marked, ["name", "_number"], "left")
     return joined.select(
         *[
             F.when(F.col("_hit"), changes[c]).otherwise(F.col(c)).alias(c)

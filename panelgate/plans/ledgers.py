@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelgate.functions.numbers import version_number
 from panelgate.functions.text import (
     EXPORT_MARKER,
     last_segment,
@@ -51,6 +52,32 @@ def import_ledger_rows(export_ledger: DataFrame, as_of=None) -> DataFrame:
     return stamp(as_imported(newest), as_of)
 
 
+def due_imports(exports: DataFrame, imports: DataFrame) -> DataFrame:
+    """Newest export of every (workspace, model) that the import ledger does not have.
+
+    One plan for all of them; versions of one moment go by their numbers. An export
+    that a newer one of its model has overtaken is not imported any more.
+    """
+    by = ["from_workspace", "exported_model_name"]
+    numbered = exports.withColumn("_number", version_number("exported_model_version"))
+    latest = numbered.groupBy(*by).agg(F.max("timestamp").alias("timestamp"))
+    tied = numbered.join(latest, [*by, "timestamp"])
+    largest = tied.groupBy(*by, "timestamp").agg(F.max("_number").alias("_number"))
+    newest = tied.join(largest, [*by, "timestamp", "_number"]).dropDuplicates(by)
+    rows = newest.select(
+        *exports.columns,
+        prefixed(workspace_id("from_workspace"), WORKSPACE_PREFIX).alias("_workspace"),
+        prefixed("exported_model_name", IMPORT_PREFIX).alias("_name"),
+    )
+    done = imports.select(
+        F.col("from_workspace").alias("_workspace"),
+        F.col("imported_model_name").alias("_name"),
+        F.col("imported_model_version").alias("exported_model_version"),
+    )
+    due = rows.join(done, ["_workspace", "_name", "exported_model_version"], "left_anti")
+    return due.select(*exports.columns)
+
+
 def as_imported(exports: DataFrame) -> DataFrame:
     """Export rows under the names they get in the importing workspace."""
     return exports.select(

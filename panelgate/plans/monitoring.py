@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelgate.operators.joins import spread_join
 from panelgate.operators.metrics import TOLERANCE, monitor_pair, score_two, validate_pair
-from panelgate.operators.versions import previous_version, promote
+from panelgate.operators.versions import previous_version, promote, require_two_versions
 
 
 def validate_and_promote(
@@ -31,10 +31,21 @@ def monitor(
     ``examples`` holds ``name``, the features and ``y``. ``score`` adds ``y_hat1``
     for ``version`` and ``y_hat2`` for ``previous_version``; both models then see
     the same rows, in one pass. Row order plays no part in the errors, so nothing
-    is sorted.
+    is sorted. Every model has a row: where nothing could be compared, the outcome
+    says why (``too few versions``, ``no previous version``, ``no examples``).
     """
-    pairs = previous_version(versions).filter("previous_found").drop("previous_found")
-    scored = score(spread_join(examples, pairs, ["name"]))
-    return monitor_pair(
+    pairs = previous_version(versions)
+    scored = score(spread_join(examples, pairs.filter("previous_found").drop("previous_found"), ["name"]))
+    compared = monitor_pair(
         score_two(scored, by=["name", "version", "previous_version"]), tol
+    ).drop("version", "previous_version")
+    every = require_two_versions(versions).withColumnRenamed("version", "newest")
+    reason = (
+        F.when(~F.col("ok"), "too few versions")
+        .when(~F.col("previous_found"), "no previous version")
+        .otherwise("no examples")
+    )
+    return every.join(pairs, "name", "left").join(compared, "name", "left").select(
+        "name", F.coalesce("version", "newest").alias("version"), "previous_version",
+        "mse1", "mse2", "difference", F.coalesce("outcome", reason).alias("outcome"),
     )

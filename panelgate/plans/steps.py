@@ -11,11 +11,18 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelgate.functions.text import EXPORT_MARKER
 from panelgate.operators import features as ft
 from panelgate.operators import models
 from panelgate.operators import versions as mv
+from panelgate.operators.features import stamp
 from panelgate.operators.metrics import TOLERANCE, assert_valid, mse, score_two, validate_pair
-from panelgate.plans.ledgers import export_ledger_rows, import_ledger_rows
+from panelgate.plans.ledgers import (
+    as_imported,
+    due_imports,
+    export_ledger_rows,
+    import_ledger_rows,
+)
 from panelgate.plans.monitoring import monitor
 from panelgate.plans.training import build_training_table
 from panelgate.schemas import EXPORT_LEDGER, IMPORT_LEDGER
@@ -28,6 +35,7 @@ from panelgate.sinks import (
     save_training_table,
 )
 from panelgate.sources import read_path, read_published, read_table
+from panelgate.storage import shared_dir
 
 
 def example_path(root: str, name: str, version: str) -> str:
@@ -65,6 +73,7 @@ def train(
     )
     model = models.fit_regressor(table, features, **params)
     models.save_version(model, root, name, version)
+    models.save_contract(table.select(*sorted(features)), root, name, version)
     save_example(table, example_path(root, name, version), features)
     error = mse(models.predict(table, model)).head()["mse"]
     rounds = params.get("maxIter", models.ROUNDS)
@@ -90,6 +99,7 @@ def validate(
     versions = read_published(spark, versions_path)
     user = models.load_version(versions, root, *submitted)
     own = models.load_version(versions, root, retrained, stage=mv.NONE)
+    models.check_contract(table, models.load_contract(spark, root, *submitted))
     scored = models.predict(models.predict(table, user, "y_hat1"), own, "y_hat2")
     gate = validate_pair(score_two(scored), tol).withColumn("name", F.lit(retrained))
     result = spark.createDataFrame(gate.collect(), gate.schema)
@@ -105,14 +115,19 @@ def export(
     workspace: str,
     base: str,
     as_of=None,
+    marker: str = EXPORT_MARKER,
 ) -> DataFrame:
-    """Ledger after adding every model that is due; those are marked as exported."""
+    """Ledger after adding every model that is due; those are marked as exported.
+
+    A registry without any Production version is an error.
+    """
     versions = read_published(spark, versions_path)
+    mv.assert_any(versions, mv.PRODUCTION)
     ensure_ledger(spark, ledger_path, EXPORT_LEDGER)
     ledger = append_to_ledger(
-        spark, ledger_path, export_ledger_rows(versions, workspace, base, as_of)
+        spark, ledger_path, export_ledger_rows(versions, workspace, base, as_of, marker)
     )
-    due = mv.not_exported(mv.newest_in_stage(versions))
+    due = mv.not_exported(mv.newest_in_stage(versions), marker)
     publish(mv.mark_exported(versions, due), versions_path)
     return ledger
 
@@ -124,17 +139,45 @@ def import_newest(
     ledger_path: str,
     as_of=None,
 ) -> DataFrame:
-    """Ledger after importing the newest export.
+    """Ledger after importing the newest export, unless the ledger already has it.
 
     The imported model gets its next version, in Production; the version that was
     newest there before is archived.
     """
     rows = import_ledger_rows(read_published(spark, export_ledger_path), as_of)
-    newest = spark.createDataFrame(rows.collect(), IMPORT_LEDGER)
     ensure_ledger(spark, ledger_path, IMPORT_LEDGER)
-    ledger = append_to_ledger(spark, ledger_path, newest)
+    known = ["from_workspace", "imported_model_name", "imported_model_version"]
+    new = rows.join(read_published(spark, ledger_path), known, "left_anti")
+    return _import(spark, new.select(*rows.columns), versions_path, ledger_path)
+
+
+def import_due(
+    spark: SparkSession,
+    export_ledger_path: str,
+    versions_path: str,
+    ledger_path: str,
+    as_of=None,
+) -> DataFrame:
+    """Ledger after importing the newest export of every model that is not imported yet."""
+    ensure_ledger(spark, ledger_path, IMPORT_LEDGER)
+    due = due_imports(
+        read_published(spark, export_ledger_path), read_published(spark, ledger_path)
+    )
+    return _import(spark, stamp(as_imported(due), as_of), versions_path, ledger_path)
+
+
+def _import(spark, rows, versions_path, ledger_path):
+    """Ledger first, then archiving and registration of all imported models at once.
+
+    The rows are written down once, as the ledger they are compared with changes.
+    """
+    shared_dir(spark)
+    due = rows.checkpoint()
+    if due.isEmpty():
+        return read_published(spark, ledger_path)
+    ledger = append_to_ledger(spark, ledger_path, due)
     run_id = F.substring_index("external_location", "/", -1)
-    runs = newest.select(F.col("imported_model_name").alias("name"), run_id.alias("run_id"))
+    runs = due.select(F.col("imported_model_name").alias("name"), run_id.alias("run_id"))
     versions = read_published(spark, versions_path)
     added = mv.register(versions, runs).withColumn("stage", F.lit(mv.PRODUCTION))
     publish(mv.archive_previous(versions, runs).unionByName(added), versions_path)
@@ -148,6 +191,7 @@ def predict_example(
     versions = read_published(spark, versions_path)
     version = mv.newest_version_of(versions, name, mv.PRODUCTION)
     example = read_path(spark, example_path(root, name, version))
+    models.check_contract(example, models.load_contract(spark, root, name, version))
     return models.predict(example, models.load_version(versions, root, name, version))
 
 
@@ -163,6 +207,7 @@ def monitor_model(
         (name, v): models.load_version(versions, root, name, v) for v in (current, previous)
     }
     example = read_path(spark, example_path(root, name, current))
+    models.check_contract(example, models.load_contract(spark, root, name, current))
     rows = example.withColumn("name", F.lit(name))
     score: Callable[[DataFrame], DataFrame] = models.score_pairs(loaded)
     return monitor(versions, rows, score, tol)

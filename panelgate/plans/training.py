@@ -1,16 +1,21 @@
-"""From the long indicator table to training tables."""
+"""From the long indicator table to training tables.
+
+Measurements are combined to one mean per country, date and indicator. From these
+come both a date's selected columns and number of indicators and the number its
+country uses, so the long table is read and shuffled once, no column is made for an
+indicator that is not selected, and nothing passes the driver.
+"""
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelgate.columns import named
+from panelgate.columns import named, required
+from panelgate.functions.numbers import quarter_of
 from panelgate.operators import features as ft
-from panelgate.operators.joins import SALTS
 
-# Up to this many (country, indicator) pairs, a few megabytes, are broadcast.
-LOCAL_PRESENCE_PAIRS = 100_000
+_DERIVED = ("date", "quarter")
 
 
 def build_training_table(
@@ -21,16 +26,17 @@ def build_training_table(
     fillna=0,
     keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Training table of one country.
+    """Training table of one country; a selected column it never reports is an error.
 
-    ``keys`` must list every indicator the country has, because a date counts only
-    when all of them are there; it saves the job that looks them up.
+    A date counts when all indicators of the country are there. ``keys`` may list
+    the indicators that are expected: another one is an error, one that is missing
+    changes nothing.
     """
     long = ft.fill_missing(ft.to_numeric(ft.filter_country(df, country)), fillna)
-    wide = ft.pivot_mean(_only_known(long, keys), keys=keys, ordered=False)
-    dated = ft.index_to_col(ft.clean_columns(wide), "date")
-    complete = ft.with_quarter(ft.drop_incomplete(dated), "date")
-    return ft.rename_label(ft.select_training(complete, features, y), y)
+    complete = _complete_dates(_only_known(long, keys), features, y)
+    return _selected(complete, features, y, lambda c, name: required(
+        c, f"{country} never reports {name}"
+    ))
 
 
 def build_training_tables(
@@ -41,40 +47,76 @@ def build_training_tables(
 ) -> DataFrame:
     """Training rows of every country at once, with ``iso_code`` in front.
 
-    A date counts when all indicators its own country uses are there. Which ones
-    those are comes from one pass over two columns.
+    A date counts when all indicators its own country uses are there. A country that
+    never reports a selected column has no rows; ``countries_lacking`` lists it.
     """
-    coded = df.filter(F.col("iso_code").isNotNull())
-    long = ft.fill_missing(ft.to_numeric(coded), fillna)
-    presence, keys, salts = indicators_by_country(long)
-    wide = ft.pivot_mean(long, index=("iso_code", "date"), keys=keys, ordered=False)
-    cells = dict(zip(keys, [k.replace(" ", "_") for k in keys]))
-    complete = ft.drop_incomplete_per_group(
-        ft.clean_columns(wide), presence, "iso_code", cells, salts
+    complete = _complete_dates(_coded(df, fillna), features, y)
+    there = F.lit(True)
+    for name in _reported(features, y):
+        there = there & named(name).isNotNull()
+    reported = complete.filter(there)
+    return _selected(reported, features, y, lambda c, name: c, "iso_code")
+
+
+def countries_lacking(
+    df: DataFrame, features: Sequence[str] = ft.FEATURES, y: str = ft.LABEL, fillna=0
+) -> DataFrame:
+    """``(iso_code, missing)``: countries without a selected column, and which they lack."""
+    cells = _cells(_coded(df, fillna))
+    wanted = _reported(features, y)
+    found = cells.groupBy("iso_code").agg(
+        *[F.count_if(_clean("indicator") == name).alias(f"n{i}") for i, name in enumerate(wanted)]
     )
-    table = ft.with_quarter(complete, "date")
-    chosen = table.select("iso_code", *[named(f) for f in sorted(features)], named(y))
-    return ft.rename_label(chosen, y)
+    missing = F.array_compact(F.array(
+        *[F.when(F.col(f"n{i}") == 0, name) for i, name in enumerate(wanted)]
+    ))
+    return found.select("iso_code", missing.alias("missing")).filter(F.size("missing") > 0)
 
 
-def indicators_by_country(long: DataFrame) -> tuple[DataFrame, list[str], int]:
-    """``(iso_code, used)`` with each country's indicators, all indicators, and salts.
+def _coded(df, fillna):
+    return ft.fill_missing(ft.to_numeric(df.filter(F.col("iso_code").isNotNull())), fillna)
 
-    A short table is counted out on the driver and broadcast. A longer one stays
-    distributed and is to be joined with salted keys.
-    """
-    pairs = long.select("iso_code", "indicator").distinct()
-    found = pairs.limit(LOCAL_PRESENCE_PAIRS + 1).collect()
-    if len(found) > LOCAL_PRESENCE_PAIRS:
-        used = pairs.groupBy("iso_code").agg(F.collect_list("indicator").alias("used"))
-        return used, ft.indicator_names(long), SALTS
-    by_country = {}
-    for code, indicator in found:
-        by_country.setdefault(code, []).append(indicator)
-    used = long.sparkSession.createDataFrame(
-        list(by_country.items()), "iso_code string, used array<string>"
+
+def _reported(features, y):
+    return [name for name in dict.fromkeys([*sorted(features), y]) if name not in _DERIVED]
+
+
+def _clean(c) -> Column:
+    return F.replace(F.col(c), F.lit(" "), F.lit("_"))
+
+
+def _cells(long):
+    there = F.col("date").isNotNull() & F.col("indicator").isNotNull() & F.col("value").isNotNull()
+    return long.filter(there).groupBy("iso_code", "date", "indicator").agg(
+        F.avg("value").alias("mean")
     )
-    return F.broadcast(used), sorted({indicator for _, indicator in found}), 1
+
+
+def _complete_dates(long, features, y):
+    """``iso_code, date`` and the reported columns of dates with all their country's indicators."""
+    cells = _cells(long)
+    picked = []
+    for name in _reported(features, y):
+        own = _clean("indicator") == name
+        clash = F.raise_error(F.lit(f"cleaned column names collide: {name}"))
+        picked.append(F.when(F.count_if(own) > 1, clash).otherwise(
+            F.max(F.when(own, F.col("mean")))
+        ).alias(name))
+    dates = cells.groupBy("iso_code", "date").agg(F.count("*").alias("_n"), *picked)
+    # A mean is never null here; asking for it keeps both branches on the same shuffle.
+    reported = F.when(F.col("mean").isNotNull(), F.col("indicator"))
+    used = cells.groupBy("iso_code").agg(F.count_distinct(reported).alias("_used"))
+    return dates.join(used, "iso_code").filter(F.col("_n") == F.col("_used"))
+
+
+def _selected(dates, features, y, checked, *front):
+    def column(name):
+        if name == "quarter":
+            return quarter_of("date").alias(name)
+        return named(name) if name in _DERIVED else checked(named(name), name).alias(name)
+
+    label = column(y).alias("y")
+    return dates.select(*front, *[column(f) for f in sorted(features)], label)
 
 
 def _only_known(long, keys):

@@ -1,9 +1,7 @@
 """Example rows stored beside a model version for later scoring and monitoring."""
 
-import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,28 +24,29 @@ def save_example(
 
 
 def to_split_json(
-    df: DataFrame, columns: Sequence[str], group: str = "name", json_col: str = "document"
+    df: DataFrame,
+    columns: Sequence[str],
+    group: str = "name",
+    json_col: str = "document",
+    rows_per_document: int = 1000,
 ) -> DataFrame:
     """Rows as split JSON documents that ``explode_split_json`` reads back.
 
-    Documents are cut at Arrow batches, so a group of any size becomes documents of
-    bounded size, and no rows are moved to be brought together.
+    A group is dealt by a hash of its rows into documents of about
+    ``rows_per_document`` rows, so a hot group becomes many documents and a rerun
+    gives the same ones. Rows keep no order.
     """
     require_columns(df, group, *columns)
-    wanted = list(columns)
-    numbers = [named(c).cast("double").alias(c) for c in wanted]
-
-    def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            cells = batch[wanted].astype(object)
-            cells = cells.where(batch[wanted].notna(), None)
-            by_key = {}
-            for key, row in zip(batch[group], cells.to_numpy().tolist()):
-                by_key.setdefault(key, []).append(row)
-            texts = [json.dumps({"columns": wanted, "data": d}) for d in by_key.values()]
-            yield pd.DataFrame({group: list(by_key), json_col: texts})
-
-    kind = df.schema[group].dataType.simpleString()
-    return df.select(named(group), *numbers).mapInPandas(
-        documents, f"`{group}` {kind}, `{json_col}` string"
+    numbers = [named(c).cast("double") for c in columns]
+    rows = df.select(named(group).alias("_group"), F.array(*numbers).alias("_row"))
+    counted = rows.groupBy("_group").agg(
+        F.ceil(F.count("*") / F.lit(rows_per_document)).alias("_parts")
+    ).withColumnRenamed("_group", "_of")
+    sized = rows.join(counted, F.col("_group").eqNullSafe(F.col("_of")))
+    part = F.pmod(F.xxhash64("_row"), F.col("_parts"))
+    gathered = sized.groupBy("_group", part.alias("_part")).agg(
+        F.array_sort(F.collect_list("_row")).alias("data")
     )
+    names = F.array(*[F.lit(c) for c in columns])
+    document = F.to_json(F.struct(names.alias("columns"), F.col("data")))
+    return gathered.select(F.col("_group").alias(group), document.alias(json_col))

@@ -30,6 +30,8 @@ def append_to_ledger(
 
     Rows that fit the ledger's columns are appended as new files. When they bring
     new columns, old and new rows are published together under the merged schema.
+    A ledger has one writer at a time: when another one replaced it meanwhile, the
+    rows went to the old version, and this is an error.
     """
     old = read_published(spark, path, fmt)
     known = {f.name: f.dataType for f in old.schema.fields}
@@ -43,8 +45,11 @@ def append_to_ledger(
             for c, kind in known.items()
         ]
     )
-    target = path
-    if fmt != "delta":
-        target = f"{path}/v={published_versions(spark, path)[-1]}"
-    in_order.write.format(fmt).mode("append").save(target)
+    if fmt == "delta":
+        in_order.write.format(fmt).mode("append").save(path)
+        return read_published(spark, path, fmt)
+    version = published_versions(spark, path)[-1]
+    in_order.write.format(fmt).mode("append").save(f"{path}/v={version}")
+    if published_versions(spark, path)[-1] != version:
+        raise RuntimeError(f"{path} was replaced while rows were added to v={version}")
     return read_published(spark, path, fmt)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelgate.columns import named
-from panelgate.storage import children
+from panelgate.storage import children, exists
 
 # Texts that mean "no value" in an indicator file.
 NA_TOKENS = [
@@ -50,13 +50,19 @@ def read_path(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
 
 
 def published_versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the completely written ``v=<n>`` folders of a published table."""
+    """Number of the newest completely written ``v=<n>`` folder, as a list of at most one.
+
+    Folders are tried from the largest number down, so older ones are not looked into.
+    """
     numbers = [
         int(match[1])
         for match in (re.fullmatch(r"v=(\d+)", name) for name in children(spark, path))
         if match
     ]
-    return sorted(n for n in numbers if "_SUCCESS" in children(spark, f"{path}/v={n}"))
+    for n in sorted(numbers, reverse=True):
+        if exists(spark, f"{path}/v={n}/_SUCCESS"):
+            return [n]
+    return []
 
 
 def read_published(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

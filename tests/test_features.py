@@ -150,13 +150,12 @@ def test_pivot_without_fill_leaves_out_what_has_no_value(spark):
     assert records(wide) == [("2022-01-01", 1.0)]
 
 
-def test_many_columns_pivot_gives_the_same(spark, monkeypatch):
+def test_two_phase_pivot_gives_the_same(spark):
     rows = [("USA", f"2022-01-{d:02d}", f"i.{i} `x`", str(d * i)) for d in range(1, 6)
             for i in range(1, 8) if (d + i) % 4]
     df = ft.to_numeric(long(spark, rows))
     few = ft.pivot_mean(df)
-    monkeypatch.setattr(ft, "SINGLE_SHUFFLE_COLUMNS", 3)
-    many = ft.pivot_mean(df)
+    many = ft.pivot_mean(df, two_phase=True)
     assert few.columns == many.columns
     assert few.collect() == many.collect()
 
@@ -214,9 +213,7 @@ def three_countries(spark):
     )
 
 
-@pytest.mark.parametrize("local_pairs", [100_000, 1])
-def test_all_countries_equal_each_country_alone(spark, monkeypatch, local_pairs):
-    monkeypatch.setattr(training, "LOCAL_PRESENCE_PAIRS", local_pairs)
+def test_all_countries_equal_each_country_alone(spark):
     df = three_countries(spark)
     together = build_training_tables(df)
     assert together.columns == ["iso_code", *ft.FEATURES, "y"]
@@ -227,6 +224,30 @@ def test_all_countries_equal_each_country_alone(spark, monkeypatch, local_pairs)
         assert records(alone) == records(own)
 
 
+def test_country_without_a_selected_column_has_no_rows(spark):
+    unlabelled = [n for n in NAMES if n.replace(" ", "_") != ft.LABEL]
+    df = long(spark, country("USA", DATES, NAMES) + country("DZA", DATES, unlabelled))
+    together = build_training_tables(df)
+    assert {r.iso_code for r in together.collect()} == {"USA"}
+    assert together.filter("y is null").count() == 0
+    lacking = training.countries_lacking(df).collect()
+    assert [(r.iso_code, r.missing) for r in lacking] == [("DZA", [ft.LABEL])]
+    with pytest.raises(PySparkException, match="DZA never reports"):
+        build_training_table(df, "DZA").collect()
+
+
+def test_selected_names_that_collide_are_an_error(spark):
+    df = long(spark, country("USA", DATES, [*NAMES, ft.LABEL]))
+    with pytest.raises(PySparkException, match="collide"):
+        build_training_table(df).collect()
+
+
+def test_known_keys_may_be_more_than_there_are(spark):
+    df = three_countries(spark)
+    keys = [*NAMES, "never reported"]
+    assert records(build_training_table(df, keys=keys)) == records(build_training_table(df))
+
+
 def test_known_keys_must_be_complete(spark):
     df = three_countries(spark)
     assert records(build_training_table(df, keys=NAMES)) == records(build_training_table(df))
@@ -313,7 +334,10 @@ def test_country_filter_and_columns_reach_the_scan(spark, raw, tmp_path):
     plan = table._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(iso_code,USA)" in plan
     assert "entity" not in plan.split("ReadSchema")[1]
-    assert plan.count("Exchange") == 1
+    table.collect()
+    final = table._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # Dates and the country's number of indicators come from one shuffle of the long table.
+    assert "ReusedExchange" in final
 
 
 cells = st.dictionaries(

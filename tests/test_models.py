@@ -70,8 +70,14 @@ def test_python_model_sees_features_in_order(table):
 
 def test_python_model_that_is_too_large(table, monkeypatch):
     monkeypatch.setattr(models, "LARGEST_BROADCAST_MODEL", 10)
-    with pytest.raises(ValueError):
-        models.predict_python(table, Sum())
+    features = ["Daily_ICU_occupancy", "Daily_hospital_occupancy"]
+
+    class Added:
+        def predict(self, frame):
+            return frame.sum(axis=1)
+
+    scored = models.predict_python(table, Added(), features).collect()
+    assert all(r.y_hat == sum(r[f] for f in features) for r in scored)
 
 
 def test_monitoring_of_stored_models(spark, table, model, tmp_path):
@@ -101,7 +107,49 @@ def test_monitoring_of_stored_models(spark, table, model, tmp_path):
 def test_scorer_without_any_pair(spark, table, model):
     versions = spark.createDataFrame([("m", "1", "Production", "", "r")], MODEL_VERSIONS)
     examples = table.withColumn("name", F.lit("m"))
-    assert monitor(versions, examples, models.score_pairs({("m", "1"): model})).collect() == []
+    rows = monitor(versions, examples, models.score_pairs({("m", "1"): model})).collect()
+    assert [(r.name, r.version, r.outcome) for r in rows] == [("m", "1", "too few versions")]
+
+
+def test_every_model_is_in_the_report(spark, table):
+    rows = [(n, str(v), s, "", f"{n}{v}") for n, v, s in (
+        ("a", 1, "Production"), ("a", 2, "Production"), ("gap", 5, "Production"), ("none", 1, "Staging"),
+        ("zero", 0, "Production"), ("unseen", 1, "Archived"), ("unseen", 2, "Production"))]
+    versions = spark.createDataFrame(rows, MODEL_VERSIONS)
+    examples = table.withColumn("name", F.lit("a"))
+
+    def score(rows):
+        return rows.withColumn("y_hat1", F.col("y") + 1).withColumn("y_hat2", F.col("y") + 1)
+
+    assert {r.name: (r.version, r.outcome) for r in monitor(versions, examples, score).collect()} == {
+        "a": ("2", "similar"), "gap": ("5", "no previous version"), "none": ("-1000", "too few versions"),
+        "zero": ("0", "too few versions"), "unseen": ("2", "no examples"),
+    }
+
+
+def test_each_model_is_loaded_about_once_per_partition(spark, table, tmp_path):
+    folder = str(tmp_path)
+
+    class Added:
+        def predict(self, frame):
+            return frame.sum(axis=1)
+
+    def load(name, version):
+        import tempfile
+
+        tempfile.NamedTemporaryFile(dir=folder, prefix=f"{name}-", delete=False).close()
+        return Added()
+
+    rows = table.withColumn("name", F.concat(F.lit("m"), (F.col("y") % 30).cast("int").cast("string")))
+    rows = rows.withColumn("version", F.lit("1"))
+    features = ["Daily_ICU_occupancy", "Daily_hospital_occupancy"]
+    scored = models.predict_many(rows, load, features).collect()
+    assert len(scored) == 600
+    assert all(r.y_hat == sum(r[f] for f in features) for r in scored)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(list(tmp_path.iterdir())) <= 30 + partitions
+    with pytest.raises(PySparkException, match="no version"):
+        models.predict_many(rows.withColumn("version", F.lit(None).cast("string")), load, features).collect()
 
 
 def test_monitoring_refuses_missing_labels(spark, table):

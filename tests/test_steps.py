@@ -75,19 +75,51 @@ def test_train_validate_export_import_predict_monitor(spark, long, tmp_path):
         ]
 
     imported = "imported_sp_m"
-    for n in (1, 2):
+    for _ in (1, 2):
         ledger = steps.import_newest(spark, exports, registry, imports)
-        assert ledger.count() == n
+        assert ledger.count() == 1
+    assert stages(spark, registry, imported) == {"1": "Production"}
+    versions = sources.read_published(spark, registry)
+    second = (F.col("name") == "sp_m") & (F.col("version") == "2")
+    sinks.publish(
+        versions.withColumn("stage", F.when(second, "Production").otherwise(F.col("stage"))), registry
+    )
+    steps.export(spark, registry, exports, "w", "s3a://base")
+    for _ in (1, 2):
+        # The registry is shared here, so the imported model was exported as well.
+        assert steps.import_due(spark, exports, registry, imports).count() == 3
     assert stages(spark, registry, imported) == {"1": "Archived", "2": "Production"}
 
     with pytest.raises(GateFailed):
-        steps.monitor_model(spark, registry, root, "sp_m")
+        steps.monitor_model(spark, registry, root, "m")
     versions = sources.read_published(spark, registry)
     for version in ("1", "2"):
         model = steps.models.load_version(versions, root, "sp_m", version)
         steps.models.save_version(model, root, imported, version)
         sinks.save_example(table, steps.example_path(root, imported, version))
+        steps.models.save_contract(table.select(*steps.ft.FEATURES), root, imported, version)
     scored = steps.predict_example(spark, registry, root, imported)
     assert scored.columns == table.columns + ["y_hat"]
     assert scored.count() == 400
     assert steps.monitor_model(spark, registry, root, imported).head()["outcome"] == "worse"
+    changed = table.withColumn("quarter", F.col("quarter").cast("string"))
+    sinks.save_example(changed, steps.example_path(root, imported, "2"))
+    with pytest.raises(ValueError, match="quarter: expected int, found string"):
+        steps.predict_example(spark, registry, root, imported)
+
+
+def test_all_due_exports_are_imported_once(spark, tmp_path):
+    registry, exports, imports = (str(tmp_path / n) for n in ("versions", "exports", "imports"))
+    sinks.ensure_ledger(spark, registry, MODEL_VERSIONS)
+    with pytest.raises(GateFailed):
+        steps.export(spark, registry, exports, "w", "s3a://base")
+    rows = [(n, v, "Production", "", f"r{n}{v}") for n, v in (("a", "9"), ("a", "10"), ("b", "1"), ("c", "007"))]
+    sinks.append_to_ledger(spark, registry, spark.createDataFrame(rows, MODEL_VERSIONS))
+    assert steps.export(spark, registry, exports, "w", "s3a://base").count() == 3
+    for _ in (1, 2):
+        ledger = steps.import_due(spark, exports, registry, imports)
+        assert sorted((r.imported_model_name, r.imported_model_version) for r in ledger.collect()) == [
+            ("imported_a", "10"), ("imported_b", "1"), ("imported_c", "007")
+        ]
+    for name in "abc":
+        assert stages(spark, registry, f"imported_{name}") == {"1": "Production"}
