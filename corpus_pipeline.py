@@ -6,16 +6,11 @@ documents, so a lost executor never costs more than the stage it worked on. All
 stages but the last return the columns of the documents they were given.
 """
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from panelgate.llm import line_labels, mixing, packing, secrets, simhash
 from panelgate.llm.common import materialize
 
-#: The packing tokenizer's file; without it the packaged public vocabulary is taken.
-TOKENIZER = os.environ.get("PACKING_TOKENIZER")
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the line labels reject go."""
@@ -38,14 +33,18 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
-def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces with their places in sequences of 2048 tokens."""
-    path = TOKENIZER
-    if path is None:
+def sequence_packing(
+    spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer: str | None = None
+) -> DataFrame:
+    """The documents' pieces with their places in sequences of 2048 tokens.
+
+    ``tokenizer`` is the vocabulary's file, by default the packaged public one.
+    """
+    if tokenizer is None:
         import public_tokenizers
 
-        path = public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack(docs, path)
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(docs, tokenizer)
 
 
 STAGES = [
