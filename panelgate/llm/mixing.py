@@ -177,7 +177,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     counted = mix(docs, **options).filter("copies > 0").groupBy("turn").agg(
         F.max("copies").alias(copies)
     ).withColumnRenamed("turn", turn)
-    joined = docs.withColumn(turn, turn_of(options.get("seed", 0))).join(counted, turn)
+    # What is taken grows with the documents: the same join at every size.
+    turned = docs.withColumn(turn, turn_of(options.get("seed", 0)))
+    joined = turned.join(counted.hint("merge"), turn)
     repeated = joined.select(
         *[F.col(c) for c in docs.columns],
         F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copies),

@@ -92,8 +92,8 @@ def links(fps: DataFrame, blocks: int) -> DataFrame:
     ``fps`` holds distinct values ``fp``. From a bucket come only the edges of a
     tree for each connected part. A bucket above ``BUCKET`` members is dealt out
     again on further bits: within it at most four of the free bits differ, so of
-    six blocks of these two agree. After five rounds at most 2^11 values share a
-    bucket, so the rounds end whatever the data.
+    six blocks of these two agree. Once twelve bits are free a bucket has no more than
+    ``BUCKET`` = 2^12 values, so the rounds end whatever the data.
     """
     tables = np.array(masks(blocks), np.uint64)
 
@@ -276,7 +276,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col(of)) & (F.col("key") == F.col(of_key))
     kept = ids.select("doc_id", "key").join(single, same, "left_semi").count()
     this = F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(of_key))
-    left = docs.join(single, this, "left_semi")
+    # The list grows with the documents: the same join at every size, never a broadcast.
+    left = docs.join(single.hint("merge"), this, "left_semi")
     if kept == single.count():
         return left
     # Only where kept rows repeat are whole rows gathered.

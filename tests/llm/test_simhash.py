@@ -65,10 +65,10 @@ def test_bit_sliced_links_equal_brute_force():
 
 
 def test_hot_bucket_is_dealt_out_again(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BUCKET", 8)
+    monkeypatch.setattr(simhash, "BUCKET", 64)
     rng = random.Random(2)
     values = {0}
-    for _ in range(120):
+    for _ in range(300):
         x = 0
         for _ in range(rng.randint(1, 9)):
             x ^= 1 << rng.randrange(40)
