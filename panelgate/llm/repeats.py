@@ -28,7 +28,7 @@ GRAM = 24
 
 # Bytes of text whose anchors are gathered before they are combined, and anchors with one
 # gram and different surroundings that one task compares; beyond it Spark ranks windows.
-TEXT_BYTES, GROUP = 8 << 20, 20_000
+TEXT_BYTES, GROUP = 8 << 20, 2_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _PLACES = 20  # low bits that hold a position while minima are sought
@@ -246,14 +246,18 @@ def _window_batch(doc, start, stop, gram=None, rank=None):
     )
 
 
-def _repeated_windows(rows, length):
-    """Runs of starts whose windows stand earlier too, among the surroundings of some grams."""
+def _ranked_windows(rows, length):
+    """Windows of the given surroundings in rank order, and which of them stand earlier too."""
     gram, rank, doc, start = _windows(rows, length)
     order = np.lexsort((start, doc, rank, gram))
     gram, rank, doc, start = (x[order] for x in (gram, rank, doc, start))
     again = np.zeros(len(gram), bool)
     again[1:] = (gram[1:] == gram[:-1]) & (rank[1:] == rank[:-1])
-    doc, start = doc[again], start[again]
+    return gram, rank, doc, start, again
+
+
+def _runs(doc, start):
+    """Neighbouring starts of one document as runs."""
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
     new = np.ones(len(doc), bool)
@@ -263,6 +267,12 @@ def _repeated_windows(rows, length):
     return _window_batch(doc[at], start[at], stop)
 
 
+def _repeated_windows(rows, length):
+    """Runs of starts whose windows stand earlier too, among the surroundings of some grams."""
+    _, _, doc, start, again = _ranked_windows(rows, length)
+    return _runs(doc[again], start[again])
+
+
 def _compare(length):
     """Groups of one gram, many at a time; windows of too large ones are passed on."""
 
@@ -277,17 +287,17 @@ def _compare(length):
                         held += group
                         size += len(group)
                     elif group:
-                        yield _passed(group, length)
+                        yield from _passed(group, length)
                     if size >= GROUP:
                         yield _repeated_windows(held, length)
                         held, size = [], 0
                     group, gram0, passed = [], row[0], False
                 group.append(row)
                 if len(group) >= GROUP:
-                    yield _passed(group, length)
+                    yield from _passed(group, length)
                     group, passed = [], True
         if passed and group:
-            yield _passed(group, length)
+            yield from _passed(group, length)
         elif not passed:
             held += group
         if held:
@@ -297,8 +307,11 @@ def _compare(length):
 
 
 def _passed(group, length):
-    gram, rank, doc, start = _windows(group, length)
-    return _window_batch(doc, start, start, gram, rank)
+    """A piece of a large group: what repeats inside it is settled, the rest is passed on."""
+    gram, rank, doc, start, again = _ranked_windows(group, length)
+    yield _runs(doc[again], start[again])
+    open_ = ~again
+    yield _window_batch(doc[open_], start[open_], start[open_], gram[open_], rank[open_])
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
