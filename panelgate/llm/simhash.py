@@ -141,11 +141,19 @@ def _rows(a, b, mask):
 
 def _compared(batches):
     """Links of each bucket of the sorted rows; members of too large ones with their mask."""
-    held, held_key, passed = [], None, False
+    held, held_key, passed, before = [], None, False, None
     for batch in batches:
         mask, key, fp = (np.asarray(batch.column(c)) for c in ("mask", "key", "fp"))
         if not len(fp):
             continue
+        # Two coarser masks may have been refined to one: its members then come twice.
+        new = np.ones(len(fp), bool)
+        new[1:] = (np.diff(mask) != 0) | (np.diff(key) != 0) | (np.diff(fp) != 0)
+        new[0] = before != (mask[0], key[0], fp[0])
+        before = (mask[-1], key[-1], fp[-1])
+        if not new.any():
+            continue
+        mask, key, fp = mask[new], key[new], fp[new]
         cut = np.flatnonzero((np.diff(mask) != 0) | (np.diff(key) != 0)) + 1
         bounds = [0, *cut.tolist(), len(fp)]
         a, b = [], []
@@ -200,6 +208,7 @@ def near(fps: np.ndarray, equal: int = 0) -> tuple[np.ndarray, np.ndarray]:
     one, two, four = (np.zeros((n, width), np.uint64) for _ in range(3))
     own = np.where(bits.astype(bool), np.uint64(2**64 - 1), np.uint64(0))
     free = [b for b in range(64) if not equal >> b & 1]
+    open_ = ~over
     for done, b in enumerate(free, 1):
         carry = planes[b] ^ own[alive, b][:, None]
         one, carry = one ^ carry, one & carry
