@@ -3,9 +3,10 @@
 A logistic regression over sparse word n-grams tells licence families from each other
 and from other text. It is trained here, on varied licence notices and a bounded
 sample of paragraphs; its probabilities are calibrated on notices held out, and the
-bound above which a family is believed on notices of families it never saw. What
-looks like a licence without reaching the bound, or without resembling a template of
-its family, is unknown.
+bound above which a family is believed on notices of families it never saw. Unknown
+is a class of its own, trained on some notices of other families; what looks like a
+licence without reaching the bound, or without resembling a template of its family,
+is unknown too.
 """
 
 import re
@@ -87,6 +88,7 @@ FOREIGN = [
 
 FAMILIES = sorted(TEMPLATES)
 NONE = len(FAMILIES)  # class of other text
+UNKNOWN = NONE + 1  # class of licences outside the list
 
 # Production parameters: bounds of the sample of other text (documents, lines of each),
 # varied copies of a notice, longest n-gram, and the share of a template's word pairs
@@ -135,7 +137,7 @@ class Classifier:
             F.broadcast(self.table()), "gram"
         )
         sums = hit.groupBy(*keys).agg(*[
-            F.sum(F.get("weight", F.lit(c))).alias(f"s{c}") for c in range(NONE + 1)
+            F.sum(F.get("weight", F.lit(c))).alias(f"s{c}") for c in range(UNKNOWN + 1)
         ])
         joined = rows.select(*keys).join(sums, keys, "left")
         return joined.select(*keys, F.array(*[
@@ -153,10 +155,11 @@ def probabilities(score: Column, temperature) -> Column:
 def _notices(spark) -> DataFrame:
     """``(label, variant, words)``: the notices with some of their words left out.
 
-    Which words go follows from a hash. Labels count the families; foreign notices are -1.
+    Which words go follows from a hash. Labels count the families; every other foreign
+    notice is of the class unknown, the rest, labelled -1, stays unseen for the bound.
     """
     rows = [(FAMILIES.index(f), t) for f in FAMILIES for t in TEMPLATES[f]]
-    rows += [(-1, t) for t in FOREIGN]
+    rows += [(-1 if i % 2 else UNKNOWN, t) for i, t in enumerate(FOREIGN)]
     base = spark.createDataFrame(rows, "label int, template string").coalesce(1)
     each = base.select("label", "template", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("variant"))
     kept = F.filter(words_of(F.col("template")), lambda w: (F.col("variant") == 0) | (
@@ -168,7 +171,7 @@ def train(docs: DataFrame) -> Classifier:
     """Classifier from the notices and at most ``OTHER_DOCS * OTHER_LINES`` paragraphs.
 
     The sampled documents are the first by a hash of the id; paragraphs that resemble
-    a template are left out of the other text. Without documents the notices alone
+    a template or mention a licence are left out, as their class is not known. Without documents the notices alone
     make the classifier.
     """
     spark = docs.sparkSession
@@ -177,7 +180,8 @@ def train(docs: DataFrame) -> Classifier:
     lines = sample.select(F.explode(F.slice(paragraphs(F.col("text")), 1, OTHER_LINES)).alias("line"))
     other = lines.select(words_of(F.col("line")).alias("words")).filter(F.size("words") > 0)
     alike = F.greatest(*[similarity(F.col("words"), f) for f in FAMILIES])
-    other = materialize(other.filter(alike < CONFIRMED).coalesce(1), "other")
+    mentioned = F.exists("words", lambda w: w.startswith("licen") | w.startswith("copyright"))
+    other = materialize(other.filter((alike < CONFIRMED) & ~mentioned).coalesce(1), "other")
     notices = materialize(_notices(spark), "notices")
     seen = notices.select(F.explode("words").alias("w")).distinct()
     common = other.select(F.explode("words").alias("w")).distinct()

@@ -22,8 +22,9 @@ def scanned(spark):
             family = rng.choice(licences.FAMILIES)
             notice = rng.choice(licences.TEMPLATES[family])
             words = notice.split()
-            if len(words) > 10:
-                del words[rng.randrange(6, len(words))]
+            filler = [i for i, w in enumerate(words) if w in ("the", "of", "to", "a", "is", "this", "and")]
+            if len(words) > 10 and filler:
+                del words[rng.choice(filler)]
             text, want[i] = f"{text}\n{rng.choice(['', '*** '])}{' '.join(words)}", family
         elif kind == 1 and i % 2:
             text, want[i] = f"{rng.choice(licences.FOREIGN)}\n{text}", "unknown"
