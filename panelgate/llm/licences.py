@@ -179,7 +179,7 @@ def train(docs: DataFrame) -> Classifier:
     # are then sorted out of few rows, whatever the number of partitions.
     share = min(1.0, 4 * OTHER_DOCS / max(docs.count(), 1))
     place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
-    few = docs.filter(F.col("text").isNotNull() & (place <= F.lit(int(share * (2**63 - 1)))))
+    few = docs.filter(F.col("text").isNotNull() & (place <= F.lit(min(int(share * 2**63), 2**63 - 1))))
     sample = few.select("doc_id", "text", place.alias("place")).orderBy(
         "place", "doc_id").limit(OTHER_DOCS)
     lines = sample.select(F.explode(F.slice(paragraphs(F.col("text")), 1, OTHER_LINES)).alias("line"))
