@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelgate.llm.common import materialize
+
 # Elements that start a block of text, that have no end tag, whose
 # content is no markup, and that never belong to the main text.
 BLOCKS = set(
@@ -201,15 +203,15 @@ def _hash(*values):
     return xxhash.xxh3_64_intdigest("\0".join(map(str, values))) - (1 << 63)
 
 
-def nodes(page: Page) -> list[tuple]:
-    """``(place, parent, kind, node, value)`` of the page's part of the tree.
+def nodes(page: Page, host: str) -> list[tuple]:
+    """``(place, parent, kind, node, value)`` of the page's part of its host's tree.
 
-    ``node`` names the merged node, ``value`` what this page has there: an element's
+    ``node`` names the merged node of the host, ``value`` what this page has there: an element's
     sequence of children, or a text. ``place`` of a text is its block's number, kind 1
     a text outside and 2 one inside an article; kind 0 is an element, kind 3 the page.
     """
-    out = [(-1, -1, 3, 0, 0)]
-    keys, styles = {0: _hash("root")}, {}
+    out = [(-1, -1, 3, _hash("page", host), 0)]
+    keys, styles = {0: _hash("root", host)}, {}
     for i, (parent, _, children) in enumerate(page.elements):
         styles[i] = _hash(*[page.elements[c][1] for c in children])
         for nth, child in enumerate(children):
@@ -274,7 +276,7 @@ def low_blocks(found: list[dict]) -> list[int]:
     return sorted(low)
 
 
-NODES = "page_id {0}, key long, host string, place int, parent int, kind int, node long, value long"
+NODES = "page_id {0}, key long, place int, parent int, kind int, node long, value long"
 
 
 def site_nodes(keyed: DataFrame) -> DataFrame:
@@ -286,16 +288,15 @@ def site_nodes(keyed: DataFrame) -> DataFrame:
             columns = [batch.column(c).to_pylist() for c in ("key", "url", "html")]
             of, rows = [], []
             for i, (key, url, source) in enumerate(zip(*columns)):
-                host = host_of(url)
-                for n in nodes(Page(source)):
+                for n in nodes(Page(source), host_of(url)):
                     of.append(i)
-                    rows.append((key, host, *n))
-            found = list(zip(*rows)) or [[]] * 7
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+                    rows.append((key, *n))
+            found = list(zip(*rows)) or [[]] * 6
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             arrays = [batch.column("page_id").take(pa.array(of, pa.int64()))]
             arrays += [pa.array(c, k) for c, k in zip(found, kinds)]
             yield pa.RecordBatch.from_arrays(
-                arrays, ["page_id", "key", "host", "place", "parent", "kind", "node", "value"]
+                arrays, ["page_id", "key", "place", "parent", "kind", "node", "value"]
             )
 
     return keyed.mapInArrow(run, NODES.format(kind))
@@ -309,20 +310,20 @@ def removals(keyed: DataFrame) -> DataFrame:
     """
     kind = keyed.schema["page_id"].dataType.simpleString()
     found = site_nodes(keyed)
-    counted = found.groupBy("host", "node", "value").agg(F.count("*").alias("same"))
+    counted = found.groupBy("node", "value").agg(F.count("*").alias("same"))
     logs = F.col("same") * F.log(F.col("same").cast("double"))
-    merged = counted.groupBy("host", "node").agg(
+    merged = counted.groupBy("node").agg(
         F.sum("same").alias("pages"), F.count("*").alias("styles"), F.sum(logs).alias("logs")
     ).filter(F.col("pages") >= 2)
     # -sum(p log p) with p = same / pages, as a share of log(pages).
     entropy = F.when(
         F.col("pages") > 1, 1 - F.col("logs") / (F.col("pages") * F.log(F.col("pages").cast("double")))
     ).otherwise(1.0)
-    shared = counted.join(merged, ["host", "node"]).select(
-        "host", "node", "value", "same", "pages", "styles", entropy.alias("entropy")
+    shared = counted.join(merged, "node").select(
+        "node", "value", "same", "pages", "styles", entropy.alias("entropy")
     )
     # A text that no other page has is important whatever the tree says.
-    telling = found.join(shared, ["host", "node", "value"]).filter("kind = 0 or kind = 3 or same > 1")
+    telling = found.join(shared, ["node", "value"]).filter("kind = 0 or kind = 3 or same > 1")
     by_page = telling.groupBy("page_id", "key").agg(F.collect_list(F.struct(
         "place", "parent", "kind", "pages", "styles", "entropy", "same")).alias("nodes"))
 
@@ -350,8 +351,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
         "page_id", "url", F.coalesce("html", F.lit("")).alias("html"),
         F.xxhash64("page_id", "url", "html").alias("key"),
     )
+    # Written down, the list has a known size: Spark moves whole pages only for a long one.
     low = removals(keyed).groupBy("page_id", "key").agg(F.first("low").alias("low"))
-    low = low.withColumnsRenamed({"page_id": "of", "key": "of_key"})
+    low = materialize(low.withColumnsRenamed({"page_id": "of", "key": "of_key"}), "low")
     joined = keyed.join(
         low, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left"
     ).select("page_id", "url", "html", "low")
