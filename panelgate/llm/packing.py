@@ -39,8 +39,8 @@ BYTE_SIGNS = {
     b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)
 }
 
-# Words remembered per worker, some 150 MB; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+# Words remembered per worker, some 100 MB; beyond it the memory starts anew.
+REMEMBERED = 500_000
 
 # Words that are encoded as one text.
 JOINED = 1000
