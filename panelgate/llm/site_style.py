@@ -204,13 +204,14 @@ def _hash(*values):
 
 
 def nodes(page: Page, host: str) -> list[tuple]:
-    """``(place, parent, kind, node, value)`` of the page's part of its host's tree.
+    """``(place, parent, kind, node, value, below)`` of the page's part of its host's tree.
 
     ``node`` names the merged node of the host, ``value`` what this page has there: an element's
     sequence of children, or a text. ``place`` of a text is its block's number, kind 1
     a text outside and 2 one inside an article; kind 0 is an element, kind 3 the page.
+    ``below`` counts the texts and the elements with text that an element has as children.
     """
-    out = [(-1, -1, 3, _hash("page", host), 0)]
+    out = [(-1, -1, 3, _hash("page", host), 0, 0)]
     keys, styles = {0: _hash("root", host)}, {}
     for i, (parent, _, children) in enumerate(page.elements):
         styles[i] = _hash(*[page.elements[c][1] for c in children])
@@ -221,11 +222,14 @@ def nodes(page: Page, host: str) -> list[tuple]:
     counts: dict = {}
     for number, (owner, text) in enumerate(page.content()):
         nth = counts[owner] = counts.get(owner, -1) + 1
-        out.append((number, owner, 2 if inside else 1, _hash(keys[owner], styles[owner], "text", nth), _hash(text)))
+        out.append((number, owner, 2 if inside else 1, _hash(keys[owner], styles[owner], "text", nth), _hash(text), 0))
         while not inside and owner >= 0 and owner not in needed:
             needed.add(owner)
             owner = page.elements[owner][0]
-    out += [(i, page.elements[i][0], 0, keys[i], styles[i]) for i in sorted(needed)]
+    below = {i: counts.get(i, -1) + 1 for i in needed}
+    for i in needed - {0}:
+        below[page.elements[i][0]] += 1
+    out += [(i, page.elements[i][0], 0, keys[i], styles[i], below[i]) for i in sorted(needed)]
     return out
 
 
@@ -235,8 +239,11 @@ def low_blocks(found: list[dict]) -> list[int]:
     ``found`` holds the page's nodes with ``pages`` and ``styles`` of the merged node,
     its ``entropy`` (base: its pages) and ``same``, the pages that have this value.
     An element is as important as its presentation varies and its children are; the
-    children are those of the page's own arrangement.
+    children are those of the page's own arrangement. Children that ``found`` lacks are
+    of this page alone and have importance 1.
     """
+    # Repeated rows of a page bring its nodes more than once.
+    found = list({(f["kind"], f["place"]): f for f in found}.values())
     pages = next((f["pages"] for f in found if f["kind"] == 3), 0)
     if pages < LEAST_PAGES:
         return []
@@ -253,7 +260,8 @@ def low_blocks(found: list[dict]) -> list[int]:
         own = f["entropy"] if f["pages"] > 1 else 1.0
         share = DAMPING ** f["styles"]
         children = below.get(i, [])
-        mean = sum(v for _, v in children) / len(children) if children else 0.0
+        alone = f["below"] - len(children)
+        mean = (sum(v for _, v in children) + alone) / f["below"]
         importance[i] = (1 - share) * own + share * mean
         below.setdefault(f["parent"], []).append((("element", i), importance[i]))
 
@@ -276,7 +284,7 @@ def low_blocks(found: list[dict]) -> list[int]:
     return sorted(low)
 
 
-NODES = "page_id {0}, key long, place int, parent int, kind int, node long, value long"
+NODES = "page_id {0}, key long, place int, parent int, kind int, node long, value long, below int"
 
 
 def site_nodes(keyed: DataFrame) -> DataFrame:
@@ -291,12 +299,12 @@ def site_nodes(keyed: DataFrame) -> DataFrame:
                 for n in nodes(Page(source), host_of(url)):
                     of.append(i)
                     rows.append((key, *n))
-            found = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            found = list(zip(*rows)) or [[]] * 7
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
             arrays = [batch.column("page_id").take(pa.array(of, pa.int64()))]
             arrays += [pa.array(c, k) for c, k in zip(found, kinds)]
             yield pa.RecordBatch.from_arrays(
-                arrays, ["page_id", "key", "place", "parent", "kind", "node", "value"]
+                arrays, ["page_id", "key", "place", "parent", "kind", "node", "value", "below"]
             )
 
     return keyed.mapInArrow(run, NODES.format(kind))
@@ -322,10 +330,11 @@ def removals(keyed: DataFrame) -> DataFrame:
     shared = counted.join(merged, "node").select(
         "node", "value", "same", "pages", "styles", entropy.alias("entropy")
     )
-    # A text that no other page has is important whatever the tree says.
+    # A text that no other page has is important whatever the tree says: it only counts
+    # in ``below`` of its owner. So do elements no other page has, with all inside them.
     telling = found.join(shared, ["node", "value"]).filter("kind = 0 or kind = 3 or same > 1")
     by_page = telling.groupBy("page_id", "key").agg(F.collect_list(F.struct(
-        "place", "parent", "kind", "pages", "styles", "entropy", "same")).alias("nodes"))
+        "place", "parent", "kind", "pages", "styles", "entropy", "same", "below")).alias("nodes"))
 
     def run(batches):
         for batch in batches:

@@ -80,6 +80,17 @@ def test_line_on_every_article_goes(spark):
     assert found[3] == "Own 3" and found[52] == "Shared\n\nOwn 52"
 
 
+def test_quotation_of_two_pages_stays(spark):
+    rows = []
+    for i in range(40):
+        last = "a quotation" if i in (3, 8) else f"fourth {i}"
+        own = "".join(f"<p>{n} {i}</p>" for n in ("first", "second", "third"))
+        rows.append((i, f"http://h/{i}", f"<body><div class=y>{own}<p>{last}</p></div></body>"))
+    found = {r.page_id: r.text for r in ss.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[3] == "first 3\n\nsecond 3\n\nthird 3\n\na quotation"
+    assert found[8].endswith("a quotation") and found[5].endswith("fourth 5")
+
+
 def test_odd_tables(spark):
     rows = [(1, "http://a/", "<p>x"), (1, "http://a/", "<p>x"), (None, None, "<p>y")]
     found = sorted(r.text for r in ss.main_texts(spark.createDataFrame(rows, SCHEMA)).collect())
