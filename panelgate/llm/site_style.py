@@ -47,9 +47,10 @@ CLOSED_BY = {  # an open element of the key ends where one of the values starts
 }
 
 # Production parameters: weight of an element's own presentation against its children,
-# importance below which a branch goes, pages a host needs to be judged, and the share of
-# a host's pages that must have a text at one place before it is removed from an article.
-DAMPING, LOW, LEAST_PAGES, ARTICLE_SHARE = 0.9, 0.3, 20, 0.5
+# importance below which a branch goes, pages of importance 1 that every place counts
+# besides its own, and how many more inside an article, as a share of the host's pages.
+DAMPING, LOW, KEEP, ARTICLE_KEEP = 0.9, 0.3, 2, 0.1
+LEAST_PAGES = 20  # pages a host needs to be judged
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -98,6 +99,7 @@ class Page:
 
     ``elements`` holds ``[parent, signature, children]``, ``blocks`` ``(owner, text)``.
     ``region`` is the first article or main element that owns a text, else the root.
+    ``narrow`` says that text stands outside of articles which hold half of it or more.
     """
 
     def __init__(self, source: str):
@@ -125,8 +127,12 @@ class Page:
                     end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(source, at)
                     at = len(source) if end is None else end.start()
         self._flush()
-        owners = {self._within(owner) for owner, _ in self.blocks} - {None}
-        self.region = min(owners, default=0)
+        self.within = [self._within(owner) for owner, _ in self.blocks]
+        self.region = min((i for i in self.within if i is not None), default=0)
+        size = [0, 0]
+        for i, (_, text) in zip(self.within, self.blocks):
+            size[i is not None] += len(text)
+        self.narrow = 0 < size[0] <= size[1]
 
     def _within(self, i):
         """The outermost article that holds an element."""
@@ -193,10 +199,13 @@ class Page:
         self._stack.pop()
 
     def content(self) -> list[tuple[int, str]]:
-        """Blocks of the region; with several articles, of all of them."""
-        if not self.region:
+        """Blocks of a page that no other page of its host helps to judge.
+
+        Where articles hold half of the text or more, these are the articles' blocks.
+        """
+        if not self.narrow:
             return self.blocks
-        return [(o, t) for o, t in self.blocks if self._within(o) is not None]
+        return [b for i, b in zip(self.within, self.blocks) if i is not None]
 
 
 def _hash(*values):
@@ -208,28 +217,31 @@ def nodes(page: Page, host: str) -> list[tuple]:
 
     ``node`` names the merged node of the host, ``value`` what this page has there: an element's
     sequence of children, or a text. ``place`` of a text is its block's number, kind 1
-    a text outside and 2 one inside an article; kind 0 is an element, kind 3 the page.
-    ``below`` counts the texts and the elements with text that an element has as children.
+    a text outside and 2 one inside an article; kind 0 is an element outside and 4 one
+    inside (or the article), kind 3 the page. ``below`` counts the texts and the elements
+    with text that an element has as children; of the page, twice its texts, and one more
+    where it is ``narrow``.
     """
-    out = [(-1, -1, 3, _hash("page", host), 0, 0)]
+    out = [(-1, -1, 3, _hash("page", host), 0, 2 * len(page.blocks) + page.narrow)]
     keys, styles = {0: _hash("root", host)}, {}
     for i, (parent, _, children) in enumerate(page.elements):
         styles[i] = _hash(*[page.elements[c][1] for c in children])
         for nth, child in enumerate(children):
             keys[child] = _hash(keys[i], styles[i], nth)
-    needed = set()
-    inside = bool(page.region)
+    needed: dict = {}
     counts: dict = {}
-    for number, (owner, text) in enumerate(page.content()):
+    for number, ((owner, text), article) in enumerate(zip(page.blocks, page.within)):
+        inside = article is not None
         nth = counts[owner] = counts.get(owner, -1) + 1
         out.append((number, owner, 2 if inside else 1, _hash(keys[owner], styles[owner], "text", nth), _hash(text), 0))
-        while not inside and owner >= 0 and owner not in needed:
-            needed.add(owner)
+        while owner >= 0 and owner not in needed:
+            needed[owner] = 4 if inside else 0
+            inside = inside and owner != article
             owner = page.elements[owner][0]
     below = {i: counts.get(i, -1) + 1 for i in needed}
-    for i in needed - {0}:
+    for i in needed.keys() - {0}:
         below[page.elements[i][0]] += 1
-    out += [(i, page.elements[i][0], 0, keys[i], styles[i], below[i]) for i in sorted(needed)]
+    out += [(i, page.elements[i][0], needed[i], keys[i], styles[i], below[i]) for i in sorted(needed)]
     return out
 
 
@@ -240,21 +252,28 @@ def low_blocks(found: list[dict]) -> list[int]:
     its ``entropy`` (base: its pages) and ``same``, the pages that have this value.
     An element is as important as its presentation varies and its children are; the
     children are those of the page's own arrangement. Children that ``found`` lacks are
-    of this page alone and have importance 1.
+    of this page alone and have importance 1. Every importance is drawn towards 1 the
+    more, the fewer pages have the place, and inside articles more than outside. A page
+    of which nothing would be left is a copy of others and loses nothing.
     """
     # Repeated rows of a page bring its nodes more than once.
     found = list({(f["kind"], f["place"]): f for f in found}.values())
-    pages = next((f["pages"] for f in found if f["kind"] == 3), 0)
-    if pages < LEAST_PAGES:
+    page = next((f for f in found if f["kind"] == 3), None)
+    if page is None or page["pages"] < LEAST_PAGES:
         return []
-    low = {f["place"] for f in found if f["kind"] == 2 and f["same"] >= ARTICLE_SHARE * pages}
-    elements = {f["place"]: f for f in found if f["kind"] == 0}
+    low = set()
+    elements = {f["place"]: f for f in found if f["kind"] in (0, 4)}
     below: dict = {}
     importance = {}
+
+    def shrunk(f, value):
+        more = KEEP + (ARTICLE_KEEP * page["pages"] if f["kind"] in (2, 4) else 0)
+        return (f["pages"] * value + more) / (f["pages"] + more)
+
     for f in found:
-        if f["kind"] == 1:
+        if f["kind"] in (1, 2):
             alike = math.log(f["same"]) / math.log(f["pages"]) if f["pages"] > 1 else 0.0
-            below.setdefault(f["parent"], []).append((("text", f["place"]), 1.0 - alike))
+            below.setdefault(f["parent"], []).append((("text", f["place"]), shrunk(f, 1.0 - alike)))
     for i in sorted(elements, reverse=True):  # children come after their parents
         f = elements[i]
         own = f["entropy"] if f["pages"] > 1 else 1.0
@@ -262,7 +281,7 @@ def low_blocks(found: list[dict]) -> list[int]:
         children = below.get(i, [])
         alone = f["below"] - len(children)
         mean = (sum(v for _, v in children) + alone) / f["below"]
-        importance[i] = (1 - share) * own + share * mean
+        importance[i] = shrunk(f, (1 - share) * own + share * mean)
         below.setdefault(f["parent"], []).append((("element", i), importance[i]))
 
     def remove(i):
@@ -281,7 +300,7 @@ def low_blocks(found: list[dict]) -> list[int]:
             remove(i)
     for children in below.values():
         low.update(place for (kind, place), v in children if kind == "text" and v < LOW)
-    return sorted(low)
+    return sorted(low) if len(low) < page["below"] // 2 else []
 
 
 NODES = "page_id {0}, key long, place int, parent int, kind int, node long, value long, below int"
@@ -313,6 +332,8 @@ def site_nodes(keyed: DataFrame) -> DataFrame:
 def removals(keyed: DataFrame) -> DataFrame:
     """``(page_id, key, low)`` for pages that lose blocks; ``low`` lists their numbers.
 
+    With an empty ``low`` come narrow pages that other pages of the host judged.
+
     Values are counted before they are shuffled, so a host with a third of all pages
     sends one row per task for what its pages share.
     """
@@ -332,20 +353,25 @@ def removals(keyed: DataFrame) -> DataFrame:
     )
     # A text that no other page has is important whatever the tree says: it only counts
     # in ``below`` of its owner. So do elements no other page has, with all inside them.
-    telling = found.join(shared, ["node", "value"]).filter("kind = 0 or kind = 3 or same > 1")
+    telling = found.join(shared, ["node", "value"]).filter("kind in (0, 3, 4) or same > 1")
     by_page = telling.groupBy("page_id", "key").agg(F.collect_list(F.struct(
         "place", "parent", "kind", "pages", "styles", "entropy", "same", "below")).alias("nodes"))
 
     def run(batches):
         for batch in batches:
-            low = [low_blocks(n) for n in batch.column("nodes").to_pylist()]
+            of_pages = batch.column("nodes").to_pylist()
+            low = [low_blocks(n) for n in of_pages]
+            low = [
+                found if found or any(n["kind"] == 3 and n["below"] % 2 for n in of) else None
+                for found, of in zip(low, of_pages)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("key"), pa.array(low, pa.list_(pa.int32()))],
                 ["page_id", "key", "low"],
             )
 
     judged = by_page.mapInArrow(run, f"page_id {kind}, key long, low array<int>")
-    return judged.filter(F.size("low") > 0)
+    return judged.filter(F.col("low").isNotNull())
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -353,8 +379,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     ``text`` joins the main blocks by two line feeds, each with its white space
     narrowed to single spaces; it is empty for null, empty or text-less pages. A page
-    without an article or main element is taken as a whole, less its noise. Repeated
-    rows are extracted alike, each once; an empty table gives none.
+    alone on its host is taken as a whole, less its noise, or less what stands outside
+    of articles that hold half of its text or more. Repeated rows are extracted alike,
+    each once; an empty table gives none.
     """
     keyed = pages.select(
         "page_id", "url", F.coalesce("html", F.lit("")).alias("html"),
@@ -372,9 +399,13 @@ def main_texts(pages: DataFrame) -> DataFrame:
         for batch in batches:
             texts = []
             for source, gone in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist()):
-                gone = set(gone or ())
-                blocks = Page(source).content()
-                texts.append("\n\n".join(t for i, (_, t) in enumerate(blocks) if i not in gone))
+                page = Page(source)
+                if gone is None:
+                    blocks = page.content()
+                else:
+                    gone = set(gone)
+                    blocks = [b for i, b in enumerate(page.blocks) if i not in gone]
+                texts.append("\n\n".join(t for _, t in blocks))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())],

@@ -91,6 +91,23 @@ def test_quotation_of_two_pages_stays(spark):
     assert found[8].endswith("a quotation") and found[5].endswith("fourth 5")
 
 
+def test_importance_decides_inside_and_outside_articles(spark):
+    rows = []
+    for i in range(60):
+        body = "".join(f"<p>body {i} {k} of the page</p>" for k in range(2))
+        # Templates: teaser cards beside the text, a note inside the article, and neither.
+        page = [f"<div class=t>{body}</div><article>teaser {i}</article><div class=u><p>Our site</p></div>",
+                f"<article><section><p>Open in our app</p>{body}</section></article>",
+                f"<article>{body}</article>"][i % 3]
+        rows.append((i, f"http://h/{i}", f"<body>{page}</body>"))
+    rows.append((99, "http://alone/", rows[0][2]))
+    found = {r.page_id: r.text for r in ss.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in range(60):
+        want = [f"body {i} {k} of the page" for k in range(2)] + [f"teaser {i}"] * (i % 3 == 0)
+        assert found[i].split("\n\n") == want
+    assert found[99].startswith("body 0 0")
+
+
 def test_odd_tables(spark):
     rows = [(1, "http://a/", "<p>x"), (1, "http://a/", "<p>x"), (None, None, "<p>y")]
     found = sorted(r.text for r in ss.main_texts(spark.createDataFrame(rows, SCHEMA)).collect())
