@@ -50,7 +50,6 @@ CLOSED_BY = {  # an open element of the key ends where one of the values starts
 # importance below which a branch goes, pages of importance 1 that every place counts
 # besides its own, and how many more inside an article, as a share of the host's pages.
 DAMPING, LOW, KEEP, ARTICLE_KEEP = 0.9, 0.3, 2, 0.1
-LEAST_PAGES = 20  # pages a host needs to be judged
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -259,7 +258,7 @@ def low_blocks(found: list[dict]) -> list[int]:
     # Repeated rows of a page bring its nodes more than once.
     found = list({(f["kind"], f["place"]): f for f in found}.values())
     page = next((f for f in found if f["kind"] == 3), None)
-    if page is None or page["pages"] < LEAST_PAGES:
+    if page is None:
         return []
     low = set()
     elements = {f["place"]: f for f in found if f["kind"] in (0, 4)}

@@ -108,6 +108,18 @@ def test_importance_decides_inside_and_outside_articles(spark):
     assert found[99].startswith("body 0 0")
 
 
+def test_small_hosts_are_judged(spark):
+    rows = []
+    for n in (2, 6, 8, 19):
+        for i in range(n):
+            rows.append((100 * n + i, f"http://h{n}/{i}", f"<body><div class=x><p>Our site</p></div>"
+                         f"<article><p>Open in our app</p><p>Text {i}</p></article></body>"))
+    found = {r.page_id: r.text for r in ss.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[200] == "Our site\n\nOpen in our app\n\nText 0"
+    assert found[601] == "Open in our app\n\nText 1"
+    assert found[803] == "Text 3" and found[1918] == "Text 18"
+
+
 def test_odd_tables(spark):
     rows = [(1, "http://a/", "<p>x"), (1, "http://a/", "<p>x"), (None, None, "<p>y")]
     found = sorted(r.text for r in ss.main_texts(spark.createDataFrame(rows, SCHEMA)).collect())
