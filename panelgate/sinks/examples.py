@@ -32,9 +32,10 @@ def to_split_json(
 ) -> DataFrame:
     """Rows as split JSON documents that ``explode_split_json`` reads back.
 
-    A group is dealt by a hash of its rows into documents of about
-    ``rows_per_document`` rows, so a hot group becomes many documents and a rerun
-    gives the same ones. Rows keep no order.
+    A group is dealt by a hash of its rows into documents of at most
+    ``rows_per_document`` rows, so a hot group becomes many documents and a rerun gives
+    the same ones. Equal rows are counted first and spread over the group's documents.
+    Rows keep no order.
     """
     require_columns(df, group, *columns)
     numbers = [named(c).cast("double") for c in columns]
@@ -42,11 +43,30 @@ def to_split_json(
     counted = rows.groupBy("_group").agg(
         F.ceil(F.count("*") / F.lit(rows_per_document)).alias("_parts")
     ).withColumnRenamed("_group", "_of")
-    sized = rows.join(counted, F.col("_group").eqNullSafe(F.col("_of")))
-    part = F.pmod(F.xxhash64("_row"), F.col("_parts"))
-    gathered = sized.groupBy("_group", part.alias("_part")).agg(
-        F.array_sort(F.collect_list("_row")).alias("data")
+    # By their text: as numbers, 0.0 and -0.0 would be one row.
+    distinct = rows.groupBy("_group", F.to_json("_row").alias("_text")).agg(
+        F.first("_row").alias("_row"), F.count("*").alias("_copies")
     )
+    sized = distinct.join(counted, F.col("_group").eqNullSafe(F.col("_of")))
+    # A row's copies go to neighbouring parts in turn, beginning at the one of its hash.
+    nth = F.explode(F.sequence(F.lit(0).cast("long"), F.least("_copies", "_parts") - 1))
+    dealt = sized.select("*", nth.alias("_nth")).select(
+        "_group", "_row",
+        F.pmod(F.xxhash64("_text") % F.col("_parts") + F.col("_nth"), F.col("_parts")).alias("_part"),
+        (F.floor(F.col("_copies") / F.col("_parts"))
+         + (F.col("_nth") < F.col("_copies") % F.col("_parts")).cast("long")).cast("int").alias("_here"),
+    )
+    gathered = dealt.groupBy("_group", "_part").agg(
+        F.array_sort(F.collect_list(F.struct("_row", "_here"))).alias("_found")
+    )
+    repeated = F.flatten(F.transform("_found", lambda x: F.array_repeat(x["_row"], x["_here"])))
+    # Hashes fill some parts above the bound: these are cut into even slices.
+    gathered = gathered.select("_group", repeated.alias("_all"))
+    slices = F.ceil(F.size("_all") / F.lit(rows_per_document)).cast("int")
+    width = F.ceil(F.size("_all") / slices).cast("int")
+    gathered = gathered.select("_group", "_all", width.alias("_width"), F.explode(
+        F.sequence(F.lit(0), slices - 1)).alias("_slice")
+    ).select("_group", F.slice("_all", F.col("_slice") * F.col("_width") + 1, F.col("_width")).alias("data"))
     names = F.array(*[F.lit(c) for c in columns])
     document = F.to_json(F.struct(names.alias("columns"), F.col("data")))
     return gathered.select(F.col("_group").alias(group), document.alias(json_col))

@@ -181,3 +181,18 @@ def test_run_values_need_a_key(spark):
 
 def test_shared_folder_is_the_configured_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_split_json_spreads_copies(spark):
+    row = F.when(F.col("id") % 3 == 0, -0.0).when(F.col("id") % 3 == 1, 2.0)
+    df = spark.range(3000).select(F.lit("hot").alias("name"), row.alias("x"), F.lit(1.0).alias("y"))
+    df = df.unionByName(spark.createDataFrame([(None, 0.0, 1.0)], "name string, x double, y double"))
+    texts = sinks.to_split_json(df, ["x", "y"], rows_per_document=100).collect()
+    assert max(len(json.loads(r.document)["data"]) for r in texts) <= 100
+    back = sources.explode_split_json(
+        sinks.to_split_json(df, ["x", "y"], rows_per_document=100), "document", ["x", "y"]
+    )
+    counted = {str(r.x): r["count"] for r in back.groupBy(F.col("x").cast("string").alias("x")).count().collect()}
+    assert counted == {"-0.0": 1000, "2.0": 1000, "None": 1000, "0.0": 1}
+    again = sinks.to_split_json(df.repartition(5), ["x", "y"], rows_per_document=100).collect()
+    assert sorted(map(str, again)) == sorted(map(str, texts))
