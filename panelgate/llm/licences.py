@@ -189,13 +189,11 @@ def train(docs: DataFrame) -> Classifier:
     other = materialize(other.filter((alike < CONFIRMED) & ~mentioned).coalesce(1), "other")
     notices = materialize(_notices(spark), "notices")
     seen = notices.select(F.explode("words").alias("w")).distinct()
-    common = other.select(F.explode("words").alias("w")).distinct()
-    # Words of the notices, a bounded list; a gram needs one that other text does not use.
-    rare = {r.w for r in seen.join(common, "w", "left_anti").collect()}
+    common = other.select(F.explode("words").alias("w")).groupBy("w").count()
+    # Words of the notices, a bounded list, and how often other text has them.
+    uses = {r.w: r["count"] for r in common.join(seen, "w", "left_semi").collect()}
     found = notices.select(F.explode(grams(F.col("words"))).alias("g")).groupBy("g").count()
-    vocabulary = sorted(
-        r.g for r in found.filter("count >= 3").collect() if rare & set(r.g.split(" "))
-    )
+    vocabulary = sorted(r.g for r in found.filter("count >= 3").collect())
     data = notices.filter("label >= 0").select("label", "variant", "words").union(
         other.select(F.lit(NONE), F.pmod(F.xxhash64("words"), F.lit(VARIANTS)).cast("int"), "words")
     ).select("label", "variant", grams(F.col("words")).alias("grams"))
@@ -210,11 +208,22 @@ def train(docs: DataFrame) -> Classifier:
     model = Classifier(
         spark, [g for g, u in zip(vocabulary, used) if u], weights[:, used], bias
     )
-    model.words = sorted(w for w in model.words if w in rare)
+    model.words = _telling_words(model, uses)
     _calibrate(model, data.filter(held_out), notices.filter("label < 0"))
     return model
 
 
+def _telling_words(model, uses):
+    """Of every gram that speaks for a licence the word that other text uses least.
+
+    The other grams only add to the chance of other text, so text without any of these
+    words is no licence.
+    """
+    gain = (model.weights - model.weights[NONE]).max(axis=0)
+    telling = [g for g, x in zip(model.vocabulary, gain) if x > 0]
+    return sorted({min(g.split(" "), key=lambda w: (uses.get(w, 0), w)) for g in telling})
+
+
 def _calibrate(model, held_out, foreign):
     """Temperature of the least log loss on held-out rows, bound from foreign notices."""
     numbered = held_out.withColumn("row", F.monotonically_increasing_id())
@@ -251,8 +260,8 @@ def findings(docs: DataFrame, model: Classifier) -> tuple[DataFrame, DataFrame]:
 
     Paragraphs: ``row, doc_id, paragraph, family, probability, template_share, text``;
     ``family`` is ``unknown`` where the bound or the template comparison is missed. A
-    paragraph without any gram of the vocabulary has the score of other text and is not
-    looked at further; such a gram holds one of the model's words.
+    paragraph without any gram that speaks for a licence is other text and is not looked
+    at further; such a gram holds one of the model's words.
     """
     known = F.array(*[F.lit(w) for w in model.words]) if model.words else F.array().cast("array<string>")
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -74,3 +74,23 @@ def test_grams_and_similarity(spark):
     assert sorted(row.g) == ["a", "a b", "b", "b a", "b c", "c"]
     assert row.one == ["a"]
     assert row.s == 1.0 and row.z == 0.0
+
+
+def test_notices_of_everyday_words(spark):
+    """Other text uses the words of the notices, but not their sequences."""
+    rng = random.Random(5)
+    used = ("all rights reserved permission is hereby granted free of charge to any person obtaining a copy "
+            "this software and associated documentation files no part may be reproduced without written").split()
+    rows = []
+    for i in range(60):
+        lines = [prose(rng, 15).split() for _ in range(4)]
+        for line in lines:
+            for _ in range(4):
+                line.insert(rng.randrange(len(line)), rng.choice(used))
+        rows.append((i, "\n".join(" ".join(line) for line in lines)))
+    rows += [(100, rows[0][1] + "\nAll rights reserved."), (101, rows[1][1] + "\n" + licences.TEMPLATES["MIT"][2])]
+    found = {r.doc_id: r.licence for r in licences.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[100] == "proprietary" and found[101] == "MIT"
+    # "all ... reserved" by chance looks like a licence, but of no family.
+    plain = [found[i] for i in range(60)]
+    assert set(plain) <= {"", "unknown"} and plain.count("unknown") <= 2
