@@ -276,7 +276,10 @@ def findings(docs: DataFrame, model: Classifier) -> tuple[DataFrame, DataFrame]:
     lines = located.select("row", "doc_id", F.explode("found").alias("p")).select(
         "row", "doc_id", "p.*", words_of(F.col("p.text")).alias("words")
     )
-    lines = materialize(lines.withColumn("grams", grams(F.col("words"))), "licence-grams")
+    # Grams outside the vocabulary have no weight: only the others are written.
+    weighted = F.array(*[F.lit(g) for g in model.vocabulary]).cast("array<string>")
+    lines = lines.withColumn("grams", F.array_intersect(grams(F.col("words")), weighted))
+    lines = materialize(lines.filter(F.size("grams") > 0), "licence-grams")
     keys = ["row", "paragraph"]
     scored = lines.join(model.scores(lines, keys), keys)
     chances = probabilities(F.col("score"), F.lit(model.temperature))
