@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from panelgate.llm import (
     capture_index,
+    language_id,
+    lexical_search,
     licences,
     line_labels,
     mixing,
@@ -13,6 +15,7 @@ from panelgate.llm import (
     secrets,
     simhash,
     site_style,
+    whitening,
 )
 
 QUERIES, SQL = {}, {}
@@ -105,3 +108,23 @@ def op2_site_style(spark, sf_dir):
 def op1_licences(spark, sf_dir):
     """Licences of every document."""
     return licences.scan(documents(spark, sf_dir))
+
+
+@query()
+def op11_language_id(spark, sf_dir):
+    """Language of every document, learned from those that are not held out."""
+    docs = documents(spark, sf_dir)
+    return language_id.predict(docs, language_id.train(docs))
+
+
+@query()
+def op12_whitening(spark, sf_dir):
+    """Every embedding in whitened components."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query(lexical_search.SQL)
+def op13_lexical_search(spark, sf_dir):
+    """The best documents of every benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical_search.search(documents(spark, sf_dir), items)
