@@ -7,7 +7,7 @@ from checks.registry import query
 from panelgate import sinks, sources
 from panelgate.functions import text
 from panelgate.operators import ordering
-from panelgate.plans import export_ledger_rows, import_ledger_rows, import_locations
+from panelgate.plans import export_ledger_rows, import_ledger_rows, import_locations, steps
 from panelgate.plans.ledgers import as_imported, due_imports
 from panelgate.schemas import EXPORT_LEDGER
 
@@ -299,3 +299,65 @@ def pl3_as_imported(spark, sf_dir):
     FROM {shapes.LEDGER}""")
 def pl3_import_locations(spark, sf_dir):
     return import_locations(shapes.ledger(spark, sf_dir), "s3a://scratch")
+
+
+def _due():
+    """Newest exports under their new names, with the number each gets within its model."""
+    return f"""
+    (SELECT *, row_number() OVER (PARTITION BY imported_model_name ORDER BY "timestamp",
+              from_workspace, CAST(imported_model_version AS BIGINT)) AS number,
+            row_number() OVER (PARTITION BY imported_model_name ORDER BY "timestamp" DESC,
+              from_workspace DESC, CAST(imported_model_version AS BIGINT) DESC) AS from_last
+     FROM (SELECT {_IMPORTED}, "timestamp",
+             row_number() OVER (PARTITION BY from_workspace, exported_model_name
+               ORDER BY "timestamp" DESC, CAST(exported_model_version AS BIGINT) DESC) AS rn
+           FROM {shapes.LEDGER}) WHERE rn = 1)"""
+
+
+def _import_all(spark, sf_dir):
+    """Whole export ledger through the import step, twice: the second run adds nothing."""
+    base = shapes.scratch(spark)
+    exports, versions, imports = (f"{base}/{n}" for n in ("exports", "versions", "imports"))
+    sinks.publish(shapes.ledger(spark, sf_dir), exports)
+    sinks.publish(shapes.versions(spark, sf_dir), versions)
+    for _ in (1, 2):
+        ledger = steps.import_due(spark, exports, versions, imports, _AS_OF)
+    return ledger, sources.read_published(spark, versions)
+
+
+@query(f"""
+    SELECT from_workspace, imported_model_name, imported_model_version, external_location,
+           TIMESTAMP '{_AS_OF}' AS "timestamp" FROM {_due()}""")
+def pl3_import_due(spark, sf_dir):
+    """Import ledger after the step; models of one name come from many workspaces."""
+    return _naive(_import_all(spark, sf_dir)[0])
+
+
+@query(f"""
+    SELECT imported_model_name AS name, CAST(number AS VARCHAR) AS version,
+           CASE WHEN from_last = 1 THEN 'Production' ELSE 'Archived' END AS stage,
+           '' AS description, split_part(external_location, '/', -1) AS run_id
+    FROM {_due()}
+    UNION ALL SELECT * FROM {shapes.VERSIONS}""")
+def pl3_import_due_versions(spark, sf_dir):
+    """Version table after the step: all that was there and the numbered imports."""
+    return _import_all(spark, sf_dir)[1]
+
+
+@query(f"""
+    SELECT 'workspace_w' AS from_workspace, name AS exported_model_name,
+           version AS exported_model_version,
+           's3a://base/mlflowexportmodels/workspace_w/' || name || '/' || run_id
+             AS external_location,
+           TIMESTAMP '{_AS_OF}' AS "timestamp"
+    FROM (SELECT *, row_number() OVER (PARTITION BY name
+            ORDER BY CAST(version AS BIGINT) DESC) AS rn
+          FROM {shapes.VERSIONS} WHERE stage = 'Production')
+    WHERE rn = 1 AND NOT contains(coalesce(description, ''), 'Already Exported ')""")
+def pl2_export_twice(spark, sf_dir):
+    """Export ledger after the step ran twice: every version once."""
+    base = shapes.scratch(spark)
+    sinks.publish(shapes.versions(spark, sf_dir), f"{base}/versions")
+    for _ in (1, 2):
+        ledger = steps.export(spark, f"{base}/versions", f"{base}/ledger", "w", "s3a://base", _AS_OF)
+    return _naive(ledger)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import shapes
 from checks.registry import query
+from panelgate import sinks, sources
 from panelgate.functions.numbers import relative_difference, version_number
 from panelgate.operators import metrics, versions as mv
 from panelgate.operators.models import score_stored
@@ -253,6 +254,18 @@ def tr1_validate_and_promote(spark, sf_dir):
     )
 
 
+@query(_changed("'Staging'", _PROMOTED,
+                f"SELECT name, version FROM {_newest('None')} WHERE name IN {_INCOMING}"))
+def tr1_promote_published(spark, sf_dir):
+    """As ``tr1_promote``, with only the changed rows written to a published table."""
+    path = shapes.scratch(spark)
+    sinks.publish(shapes.versions(spark, sf_dir), path)
+    gate = _incoming(spark, sf_dir).select("name", F.lit("passed").alias("outcome"))
+    now = sources.read_published(spark, path)
+    sinks.append_changes(mv.promotions(now, gate), path, ["name", "version"])
+    return sources.read_published(spark, path)
+
+
 @query(_changed("'Archived'", "v.description",
                 f"SELECT name, version FROM {_newest('Production')} WHERE name IN {_INCOMING}"))
 def tr2_archive_previous(spark, sf_dir):
@@ -281,6 +294,28 @@ def ml5_register(spark, sf_dir):
     return mv.register(shapes.versions(spark, sf_dir), runs)
 
 
+@query(f"""
+    SELECT n.name, CAST(coalesce(k.v, 0) + n.nth AS VARCHAR) AS version, 'None' AS stage,
+           '' AS description, n.run_id
+    FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY run_date, run_id) AS nth
+          FROM (SELECT CASE WHEN o_orderkey % 3 = 1 THEN 'hot'
+                            ELSE 'm' || CAST(o_custkey AS VARCHAR) END AS name,
+                       o_orderdate AS run_date, 'new' || CAST(o_orderkey AS VARCHAR) AS run_id
+                FROM orders)) n
+    LEFT JOIN (SELECT name, max({_V}) AS v FROM {shapes.VERSIONS} GROUP BY name) k
+      USING (name)""")
+def ml5_register_runs(spark, sf_dir):
+    """A run per order, a third of them of one model, numbered by date."""
+    orders = shapes.table(spark, sf_dir, "orders")
+    customer = F.concat(F.lit("m"), F.col("o_custkey").cast("string"))
+    runs = orders.select(
+        F.when(F.col("o_orderkey") % 3 == 1, "hot").otherwise(customer).alias("name"),
+        F.col("o_orderdate").alias("run_date"),
+        F.concat(F.lit("new"), F.col("o_orderkey").cast("string")).alias("run_id"),
+    )
+    return mv.register(shapes.versions(spark, sf_dir), runs, ["run_date"])
+
+
 def _y_hat(version):
     """Prediction of a version: every two numbers share a factor."""
     factor = (F.floor(F.col(version).cast("bigint") / 2) % 5 - 2) * 0.05 + 1

@@ -4,6 +4,7 @@ import json
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml import Model, Pipeline, PipelineModel
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from panelgate.columns import named, require_columns, required
 from panelgate.operators.features import FEATURES
 from panelgate.operators.versions import newest_version_of
-from panelgate.storage import shared_dir
+from panelgate.storage import scratch_table, shared_dir
 
 # Rounds, depth, learning rate and row share of the boosted trees.
 ROUNDS, DEPTH, RATE, ROW_SHARE, SEED = 1000, 8, 0.1, 1.0, 0
@@ -115,9 +116,9 @@ def predict_many(
     """Predictions of each row's own model, for any number of models in one job.
 
     ``load(name, version)`` runs in the tasks and reads a Python model from shared
-    storage. Rows are ranged by model and spread inside a model by a hash of their
-    features, so a hot model is split and a task holds one model at a time: there is
-    about one load per (partition, model). Rows without name or version are an error.
+    storage. Rows are dealt by model; a model with more rows than a partition's share is
+    cut into equal shares, so there are at most as many loads as models and partitions
+    together. Rows without name or version are an error.
     """
     return _by_model(df, load, features, {version: name})
 
@@ -139,8 +140,6 @@ def _by_model(df, load, features, names):
     for key in keys:
         df = df.withColumn(key, required(named(key), f"a row to score has no {key}"))
     inputs = [named(f) for f in sorted(features)]
-    ranged = df.repartitionByRange(*[named(k) for k in keys], F.xxhash64(*inputs))
-    in_order = ranged.sortWithinPartitions(*[named(k) for k in keys])
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def y_hats(
@@ -148,23 +147,52 @@ def _by_model(df, load, features, names):
     ) -> Iterator[pd.Series]:
         current, loaded = None, []
         for of, batch in batches:
-            out = pd.DataFrame(0.0, index=batch.index, columns=range(of.shape[1] - 1))
-            changed = (of != of.shift()).any(axis=1).cumsum()
-            for _, rows in batch.groupby(changed, sort=False):
-                key = tuple(of.loc[rows.index[0]])
+            columns = [of[c].to_numpy() for c in of.columns]
+            out = np.zeros((len(batch), len(columns) - 1))
+            changed = np.zeros(len(batch), bool)
+            for column in columns:
+                changed[1:] |= column[1:] != column[:-1]
+            starts = [0, *np.flatnonzero(changed), len(batch)] if len(batch) else []
+            for start, end in zip(starts, starts[1:]):
+                key = tuple(column[start] for column in columns)
                 if key != current:
                     current, loaded = key, [load(key[0], v) for v in key[1:]]
+                rows = batch.iloc[start:end]
                 for i, model in enumerate(loaded):
-                    out.loc[rows.index, i] = model.predict(rows)
-            yield pd.Series(out.to_numpy().tolist(), index=batch.index)
+                    out[start:end, i] = model.predict(rows)
+            yield pd.Series(list(out), index=batch.index)
 
     scores = y_hats(F.struct(*[named(k) for k in keys]), F.struct(*inputs))
-    scored = in_order.withColumn("_y_hats", scores)
+    scored = _dealt_by_model(df, keys).withColumn("_y_hats", scores)
     for i, column in enumerate(names.values()):
         scored = scored.withColumn(column, F.get("_y_hats", F.lit(i)))
     return scored.drop("_y_hats")
 
 
+def _dealt_by_model(df, keys):
+    """Rows by model, those with more than a partition's share of rows in equal parts.
+
+    The rows are written down once, so what leads to them is evaluated once and a part's
+    rows are the same ones when a task runs again. Fewer models than partitions can have
+    more than a share: their list is broadcast.
+    """
+    written = scratch_table(df, "scoring")
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = written.count()
+    counted = written.groupBy(*[named(k) for k in keys]).count()
+    hot = counted.filter(F.col("count") * partitions > total).select(
+        *[named(k) for k in keys],
+        F.ceil(F.col("count") * partitions / F.lit(max(total, 1))).alias("_parts"),
+    )
+    row = F.monotonically_increasing_id()
+    placed = written.withColumn("_row", row).join(F.broadcast(hot), keys, "left").withColumn(
+        "_part", F.coalesce(F.pmod("_row", "_parts"), F.lit(0))
+    )
+    by = [named(k) for k in keys]
+    dealt = placed.repartition(partitions, *by, "_part").sortWithinPartitions(*by)
+    return dealt.select(*[named(c) for c in df.columns])
+
+
 def score_pairs(models: Mapping[tuple[str, str], Model]) -> Callable[[DataFrame], DataFrame]:
     """Scorer for ``monitor`` out of loaded Spark ML models, keyed by (name, version).
 

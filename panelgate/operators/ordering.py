@@ -2,8 +2,9 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelgate.columns import as_column, named, require_columns
 from panelgate.storage import shared_dir
@@ -43,16 +44,160 @@ def sort_features(df: DataFrame, cols: Sequence[str], hot_copies: bool = False)
 
 
 def with_position(df: DataFrame, *order: str | Column, name: str = "position") -> DataFrame:
-    """Exact 0-based position of every row, without a single-task window.
+    """Exact 0-based position of every row under ascending ``order``, nulls first.
 
-    Rows are put in ``order``; without one, ``df`` has to be sorted already. The
-    sorted table is written to the checkpoint folder once. Counting its partitions
-    gives each one's offset; inside a partition rows are numbered in place. Only
-    the partition counts come to the driver.
+    Ties go by a hash of the row. Rows are dealt to ranges of the order, counted there and
+    numbered from the counts before: one shuffle, no single-task window and no stored copy.
+    Without ``order``, ``df`` has to be sorted already; then, and with sort expressions
+    like ``desc()``, the sorted table is written to the checkpoint folder once, as its
+    ranges cannot be told from outside.
     """
+    keys = [as_column(c) for c in order]
+    if not order or any(_is_sort(k) for k in keys):
+        return _numbered_as_sorted(df.orderBy(*keys, _row_hash(df)) if order else df, name)
+    return running_sum(df, [], [*keys, _row_hash(df)], name=name)
+
+
+def _is_sort(column):
+    """Whether a column is a sort expression; one that only is called so counts, too."""
+    return str(column).endswith((" NULLS FIRST'>", " NULLS LAST'>"))
+
+
+def running_sum(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str | Column],
+    weight: str | Column | None = None,
+    name: str = "position",
+) -> DataFrame:
+    """Add the sum of ``weight`` (of 1 without it) over the rows before, in every group of ``by``.
+
+    ``order`` is ascending, nulls first, and has to tell rows apart that must not be
+    swapped. Ranges of (group, order) are fixed once from a sample of bounded size; every
+    (range, group) is summed where it lies. Only a group that goes over a range's end, one
+    per end at most, needs what stands before: these sums, two per range, pass the driver.
+    So a group with a third of all rows is spread over a third of the ranges. Two jobs run
+    here, over the columns of ``by`` and ``order``; the result is lazy. ``df`` has to give
+    the same rows each time it is evaluated.
+    """
+    own = df.withColumn("_order", F.struct(*[
+        as_column(c).alias(f"o{i}") for i, c in enumerate(order)
+    ]))
+    own = own.withColumn("_weight", F.lit(1) if weight is None else as_column(weight))
+    groups = [named(c) for c in by]
+    fields = [f for c in by for f in _comparable(own, c)]
+    inner = own.schema["_order"].dataType.fields
+    fields += [f for i in inner for f in _comparable(own, f"_order.{i.name}", i.dataType)]
+    keyed = own.withColumn("_key", F.struct(*[f.alias(f"k{i}") for i, f in enumerate(fields)]))
+    bounds = _range_bounds(keyed)
+    ranged = _with_range(keyed, bounds)
+    n_groups = sum(len(_comparable(own, c)) for c in by)
+    offsets = _offsets(ranged, bounds, n_groups)
+    within = Window.partitionBy("_range", *groups).orderBy("_order").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    before = F.sum("_weight").over(within) - F.col("_weight")
+    summed = ranged.withColumn("_before", before.cast("bigint"))
+    known = _lookup(offsets, n_groups, keyed.schema["_key"].dataType)
+    added = F.lit(0).cast("bigint")
+    if known is not None and not groups:
+        before_range = [F.lit(offsets.get((i, ()), 0)).cast("bigint") for i in range(len(bounds) + 1)]
+        added = F.get(F.array(*before_range), F.col("_range"))
+    elif known is not None:
+        place = F.struct(F.col("_range").alias("r"), *[
+            F.col(f"_key.k{i}").alias(f"k{i}") for i in range(n_groups)
+        ])
+        added = F.coalesce(F.try_element_at(known, F.to_json(place)), added)
+    return summed.select(
+        *[named(c) for c in df.columns], (F.col("_before") + added).alias(name)
+    )
+
+
+def _comparable(df, c, kind=None):
+    """``c`` as one or more values of the same order that are also literals of Python."""
+    column = as_column(c) if kind is None else F.col(c)
+    kind = kind or df.schema[c].dataType
+    if isinstance(kind, T.TimestampType):
+        return [F.unix_micros(column)]
+    if isinstance(kind, T.TimestampNTZType):
+        return [F.unix_date(column.cast("date")), F.date_format(column, "HH:mm:ss.SSSSSS")]
+    if isinstance(kind, T.DateType):
+        return [F.unix_date(column)]
+    return [column]
+
+
+def _range_bounds(keyed):
+    """Keys that part the rows into as many ranges as a shuffle has partitions, about evenly."""
+    spark = keyed.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = keyed.select("_key").orderBy(F.rand(17)).limit(32 * n)
+    rows = [r["_key"] for r in drawn.orderBy("_key").collect()]
+    found = [rows[len(rows) * i // n] for i in range(1, n)] if rows else []
+    return list(dict.fromkeys(found))
+
+
+def _literal(row, kind):
+    values = [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, kind.fields)]
+    return F.struct(*values)
+
+
+def _with_range(keyed, bounds):
+    """Add ``_range``: how many bounds are not above the row's key, by binary search."""
+    kind = keyed.schema["_key"].dataType
+    ranged = keyed.withColumn("_range", F.lit(0))
+    if not bounds:
+        return ranged
+    known = F.array(*[_literal(b, kind) for b in bounds])
+    half = 1 << (len(bounds).bit_length() - 1)
+    while half:
+        reached = F.get(known, F.col("_range") + (half - 1)) <= F.col("_key")
+        ranged = ranged.withColumn(
+            "_range", F.col("_range") + F.when(reached, half).otherwise(0)
+        )
+        half //= 2
+    return ranged
+
+
+def _offsets(ranged, bounds, n_groups):
+    """``(range, group values): sum before`` for groups that begin in an earlier range."""
+    if not bounds:
+        return {}
+    kind = ranged.schema["_key"].dataType
+    names = [f"k{i}" for i in range(n_groups)]
+    group = F.struct(F.lit(0).alias("k"), *[F.col(f"_key.{k}").alias(k) for k in names])
+    cut = T.StructType(kind.fields[:n_groups])
+    ends = list(dict.fromkeys(tuple(b)[:n_groups] for b in bounds))
+    wanted = [F.struct(F.lit(0).alias("k"), *[
+        F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(end, cut.fields)
+    ]) for end in ends]
+    crossing = ranged.select("_range", "_weight", group.alias("_group"))
+    # Equal also where both are null, as structs compare their fields.
+    crossing = crossing.filter(F.array_contains(F.array(*wanted), F.col("_group")))
+    sums = crossing.groupBy("_group", "_range").agg(F.sum("_weight").alias("s")).collect()
+    found, running = {}, {}
+    for r in sorted(sums, key=lambda r: r["_range"]):
+        own = tuple(r["_group"])[1:]
+        if running.get(own):
+            found[r["_range"], own] = running[own]
+        running[own] = running.get(own, 0) + int(r["s"])
+    return found
+
+
+def _lookup(offsets, n_groups, kind):
+    """Map from (range, group) as text to what stands before; none without an entry."""
+    if not offsets:
+        return None
+    entries = []
+    for (place, group), total in offsets.items():
+        key = F.struct(F.lit(place).alias("r"), *[
+            F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(group, kind.fields)
+        ])
+        entries += [F.to_json(key), F.lit(total).cast("bigint")]
+    return F.create_map(*entries)
+
+
+def _numbered_as_sorted(df, name):
     shared_dir(df.sparkSession)
-    if order:
-        df = df.orderBy(*[as_column(c) for c in order], _row_hash(df))
     ranked = df.checkpoint()
     part = F.spark_partition_id()
     sizes = dict(ranked.groupBy(part.alias("part")).count().collect())

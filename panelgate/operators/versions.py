@@ -6,12 +6,16 @@ one row each before anything is joined on the name, so a model that owns a third
 of all versions does not slow a join down.
 """
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelgate.columns import required
 from panelgate.functions.numbers import version_number
 from panelgate.functions.text import EXPORT_MARKER, exported_description
 from panelgate.operators.metrics import GateFailed
+from panelgate.operators.ordering import running_sum
 
 # Stage names, and what is reported or written by the transitions.
 NONE, STAGING, PRODUCTION, ARCHIVED = "None", "Staging", "Production", "Archived"
@@ -48,15 +52,18 @@ def versions_in_stage(versions: DataFrame, stage: str = PRODUCTION) -> DataFrame
     return in_stage(versions, stage).select("name", _number().alias("version"))
 
 
-def _newest(rows, *by):
-    """Rows with the largest version of their group.
+def _newest(rows, *by, number=None):
+    """One row per group, that with the largest number (the version's, unless given).
 
-    The maximum of a number is combined by hashing; its row is then found by the
-    unique key, so whole rows are neither sorted nor gathered for it.
+    Each task keeps one row of a group before the only shuffle, so a model that owns a
+    third of all versions sends as many rows as there are tasks. Rows without a number
+    come last; equal numbers go by the text of the version, the longer one first.
     """
-    numbered = rows.withColumn("_number", _number())
-    largest = numbered.groupBy(*by).agg(F.max("_number").alias("_number"))
-    return numbered.join(largest, [*by, "_number"])
+    numbered = rows.withColumn("_number", _number() if number is None else number)
+    first = Window.partitionBy(*by).orderBy(
+        F.col("_number").desc_nulls_last(), F.length("version").desc(), "version", "run_id"
+    )
+    return numbered.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") == 1)
 
 
 def _latest_number(versions, stage):
@@ -96,17 +103,14 @@ def export_candidates(versions: DataFrame, marker: str = EXPORT_MARKER) -> DataF
     A model without one is reported with version ``-1000`` and is not exported.
     """
     number = F.when(F.col("stage") == PRODUCTION, _number())
-    largest = versions.groupBy("name").agg(F.max(number).alias("v"))
-    described = in_stage(versions, PRODUCTION).select(
-        "name", _number().alias("v"), F.col("description").alias("d")
-    )
-    newest = largest.join(described, ["name", "v"], "left")
-    missing = F.col("v").isNull()
+    newest = _newest(versions, "name", number=number)
+    v, missing = F.col("_number"), F.col("_number").isNull()
     return newest.select(
         "name",
-        (~missing & ~_is_marked(F.col("d"), marker)).alias("should_export"),
-        F.coalesce(F.col("v").cast("string"), F.lit(NO_PRODUCTION_VERSION)).alias("version"),
-        F.when(missing, NO_PRODUCTION_DESCRIPTION).otherwise(F.col("d")).alias("description"),
+        (~missing & ~_is_marked(F.col("description"), marker)).alias("should_export"),
+        F.coalesce(v.cast("string"), F.lit(NO_PRODUCTION_VERSION)).alias("version"),
+        F.when(missing, NO_PRODUCTION_DESCRIPTION).otherwise(F.col("description"))
+        .alias("description"),
     )
 
 
@@ -136,15 +140,38 @@ def previous_version(versions: DataFrame) -> DataFrame:
     The one below may be in any stage. Where that number does not exist,
     ``previous_found`` is false.
     """
-    number = _number()
-    newest = newest_in_stage(versions, PRODUCTION).filter(number >= 2)
-    pairs = newest.select("name", "version", (number - 1).alias("below"))
-    found = versions.select("name", number.alias("below"), F.col("version").alias("text"))
-    return pairs.join(found, ["name", "below"], "left").select(
+    return version_pairs(versions).filter("ok").select(
+        "name", "version", "previous_version", "previous_found"
+    )
+
+
+def version_pairs(versions: DataFrame) -> DataFrame:
+    """Per model: newest Production version (``-1000`` for none) and the one numbered below.
+
+    ``ok`` says whether the newest is 2 or above; without that there is no previous
+    version. One number per model is combined by hashing; it and the one below are then
+    looked up together under the unique (name, number), so no hot model meets in a task.
+    """
+    newest = versions.groupBy("name").agg(
+        F.max(F.when(F.col("stage") == PRODUCTION, _number())).alias("v")
+    )
+    both = newest.select(
+        "name", "v", F.explode(F.array(F.col("v"), F.col("v") - 1)).alias("number")
+    )
+    known = versions.select("name", _number().alias("number"), F.col("version").alias("text"))
+    found = both.join(known, ["name", "number"], "left").groupBy("name", "v").agg(
+        F.max(F.when(F.col("number") == F.col("v"), F.col("text"))).alias("text"),
+        F.max(F.when(F.col("number") < F.col("v"), F.col("text"))).alias("below"),
+    )
+    ok = F.coalesce(F.col("v") >= 2, F.lit(False))
+    number = F.coalesce(F.col("v").cast("string"), F.lit(NO_PRODUCTION_VERSION))
+    below = F.coalesce("below", (F.col("v") - 1).cast("string"))
+    return found.select(
         "name",
-        "version",
-        F.coalesce("text", F.col("below").cast("string")).alias("previous_version"),
-        F.col("text").isNotNull().alias("previous_found"),
+        F.when(ok, F.col("text")).otherwise(number).alias("version"),
+        F.when(ok, below).alias("previous_version"),
+        (ok & F.col("below").isNotNull()).alias("previous_found"),
+        ok.alias("ok"),
     )
 
 
@@ -181,13 +208,21 @@ def assert_two_versions(versions: DataFrame, name: str) -> None:
         raise GateFailed(f"model {name} has fewer than 2 production versions to compare")
 
 
-def _rewrite(versions, targets, **changes):
-    """All versions, with some columns changed on the rows ``targets`` lists.
+def _changed(versions, targets, **changes):
+    """The rows of (name, version) that ``targets`` lists, with some columns changed.
 
     Versions are compared as numbers, so ``007`` and ``7`` are the same one.
     """
-    marked = targets.select("name", _number().alias("_number")).distinct()
-    marked = marked.withColumn("_hit", F.lit(True))
+    marked = targets.select("name", _number().alias("_number"))
+    numbered = versions.withColumn("_number", _number())
+    return numbered.join(marked, ["name", "_number"], "left_semi").select(
+        *[changes[c].alias(c) if c in changes else F.col(c) for c in versions.columns]
+    )
+
+
+def _rewrite(versions, targets, **changes):
+    """All versions, with some columns changed on the rows ``targets`` lists once each."""
+    marked = targets.select("name", _number().alias("_number"), F.lit(True).alias("_hit"))
     joined = versions.withColumn("_number", _number()).join(marked, ["name", "_number"], "left")
     return joined.select(
         *[
@@ -199,13 +234,23 @@ def _rewrite(versions, targets, **changes):
     )
 
 
+def _to_promote(versions, gate):
+    passed = gate.filter(F.col("outcome") == "passed").select("name")
+    return latest_version(versions, NONE).join(passed, "name", "left_semi")
+
+
+def _promotion():
+    return {"stage": F.lit(STAGING), "description": F.lit(PROMOTED_DESCRIPTION)}
+
+
 def promote(versions: DataFrame, gate: DataFrame) -> DataFrame:
     """Newest unstaged version of every model that passed its gate goes to Staging."""
-    passed = gate.filter(F.col("outcome") == "passed").select("name").distinct()
-    targets = latest_version(versions, NONE).join(passed, "name", "left_semi")
-    return _rewrite(
-        versions, targets, stage=F.lit(STAGING), description=F.lit(PROMOTED_DESCRIPTION)
-    )
+    return _rewrite(versions, _to_promote(versions, gate), **_promotion())
+
+
+def promotions(versions: DataFrame, gate: DataFrame) -> DataFrame:
+    """Only the rows that ``promote`` changes, as they are afterwards."""
+    return _changed(versions, _to_promote(versions, gate), **_promotion())
 
 
 def archive_previous(versions: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -213,28 +258,45 @@ def archive_previous(versions: DataFrame, incoming: DataFrame) -> DataFrame:
     return _rewrite(versions, to_archive(incoming, versions), stage=F.lit(ARCHIVED))
 
 
+def archived(versions: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Only the rows that ``archive_previous`` changes, as they are afterwards."""
+    return _changed(versions, to_archive(incoming, versions), stage=F.lit(ARCHIVED))
+
+
 def mark_exported(versions: DataFrame, exported: DataFrame) -> DataFrame:
     """Descriptions of the exported (name, version) rows get the export marker."""
-    return _rewrite(versions, exported, description=exported_description("description"))
+    once = exported.select("name", "version").distinct()
+    return _rewrite(versions, once, description=exported_description("description"))
+
+
+def marked_exported(versions: DataFrame, exported: DataFrame) -> DataFrame:
+    """Only the rows that ``mark_exported`` changes, as they are afterwards."""
+    return _changed(versions, exported, description=exported_description("description"))
 
 
-def register(versions: DataFrame, runs: DataFrame) -> DataFrame:
-    """Rows of the new versions: one run per model gets the model's next number.
+def register(
+    versions: DataFrame, runs: DataFrame, order: Sequence[str | Column] = ()
+) -> DataFrame:
+    """Rows of the new versions: the runs of a model get its next numbers.
 
-    ``runs`` holds ``(name, run_id)``. Two runs of one model in the same call are
-    an error, as their order would be undefined.
+    ``runs`` holds ``(name, run_id)`` and what ``order`` names, by which several runs of
+    a model are numbered, smallest first, equal ones by ``run_id``. Without an order two
+    runs of one model in the same call are an error. A model with a third of all runs is
+    numbered in ranges. Runs without a name are an error too.
     """
-    one_run = runs.groupBy("name").agg(
-        F.max("run_id").alias("run_id"), F.count("*").alias("n")
-    )
-    known = versions.groupBy("name").agg(F.max(_number()).alias("v"))
-    following = F.coalesce("v", F.lit(0)) + 1
-    checked = F.when(F.col("n") == 1, following).otherwise(
-        F.raise_error(F.concat(F.lit("more than one new run of model "), F.col("name")))
-    )
-    return one_run.join(known, "name", "left").select(
-        "name",
-        checked.cast("string").alias("version"),
+    known = versions.groupBy("name").agg(F.max(_number()).alias("_last"))
+    if order:
+        runs = running_sum(runs, ["name"], [*order, "run_id"], name="_nth")
+    else:
+        runs = runs.groupBy("name").agg(F.max("run_id").alias("run_id"), F.count("*").alias("_n"))
+        twice = F.concat(F.lit("more than one new run of model "), F.col("name"))
+        runs = runs.withColumn(
+            "_nth", F.when(F.col("_n") == 1, F.lit(0)).otherwise(F.raise_error(twice))
+        )
+    following = F.coalesce("_last", F.lit(0)) + 1 + F.col("_nth")
+    return runs.join(known, "name", "left").select(
+        required(F.col("name"), "a run without a model").alias("name"),
+        following.cast("string").alias("version"),
         F.lit(NONE).alias("stage"),
         F.lit("").alias("description"),
         "run_id",

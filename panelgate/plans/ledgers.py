@@ -1,8 +1,9 @@
 """Ledger rows of exports and imports."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelgate.columns import named
 from panelgate.functions.numbers import version_number
 from panelgate.functions.text import (
     EXPORT_MARKER,
@@ -58,13 +59,7 @@ def due_imports(exports: DataFrame, imports: DataFrame) -> DataFrame:
     One plan for all of them; versions of one moment go by their numbers. An export
     that a newer one of its model has overtaken is not imported any more.
     """
-    by = ["from_workspace", "exported_model_name"]
-    numbered = exports.withColumn("_number", version_number("exported_model_version"))
-    latest = numbered.groupBy(*by).agg(F.max("timestamp").alias("timestamp"))
-    tied = numbered.join(latest, [*by, "timestamp"])
-    largest = tied.groupBy(*by, "timestamp").agg(F.max("_number").alias("_number"))
-    newest = tied.join(largest, [*by, "timestamp", "_number"]).dropDuplicates(by)
-    rows = newest.select(
+    rows = newest_exports(exports).select(
         *exports.columns,
         prefixed(workspace_id("from_workspace"), WORKSPACE_PREFIX).alias("_workspace"),
         prefixed("exported_model_name", IMPORT_PREFIX).alias("_name"),
@@ -78,13 +73,29 @@ def due_imports(exports: DataFrame, imports: DataFrame) -> DataFrame:
     return due.select(*exports.columns)
 
 
-def as_imported(exports: DataFrame) -> DataFrame:
-    """Export rows under the names they get in the importing workspace."""
+def newest_exports(exports: DataFrame) -> DataFrame:
+    """Newest export of every (workspace, model), found in one shuffle of a row per task.
+
+    Versions of one moment go by their numbers, equal ones by all other columns, so a
+    rerun takes the same row.
+    """
+    last = Window.partitionBy("from_workspace", "exported_model_name").orderBy(
+        F.col("timestamp").desc_nulls_last(),
+        version_number("exported_model_version").desc_nulls_last(),
+        *[named(c) for c in exports.columns],
+    )
+    nth = F.row_number().over(last)
+    return exports.withColumn("_nth", nth).filter(F.col("_nth") == 1).drop("_nth")
+
+
+def as_imported(exports: DataFrame, *more: Column) -> DataFrame:
+    """Export rows under the names they get in the importing workspace, with ``more`` columns."""
     return exports.select(
         prefixed(workspace_id("from_workspace"), WORKSPACE_PREFIX).alias("from_workspace"),
         prefixed("exported_model_name", IMPORT_PREFIX).alias("imported_model_name"),
         F.col("exported_model_version").alias("imported_model_version"),
         "external_location",
+        *more,
     )
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from panelgate.operators.joins import spread_join
 from panelgate.operators.metrics import TOLERANCE, monitor_pair, score_two, validate_pair
-from panelgate.operators.versions import previous_version, promote, require_two_versions
+from panelgate.operators.versions import promote, version_pairs
+from panelgate.storage import scratch_table
 
 
 def validate_and_promote(
@@ -34,18 +35,19 @@ def monitor(
     is sorted. Every model has a row: where nothing could be compared, the outcome
     says why (``too few versions``, ``no previous version``, ``no examples``).
     """
-    pairs = previous_version(versions)
-    scored = score(spread_join(examples, pairs.filter("previous_found").drop("previous_found"), ["name"]))
+    # One row per model, written down: looked up once, used for the join and the report.
+    pairs = scratch_table(version_pairs(versions), "pairs")
+    comparable = pairs.filter("previous_found").select("name", "version", "previous_version")
+    scored = score(spread_join(examples, comparable, ["name"]))
     compared = monitor_pair(
         score_two(scored, by=["name", "version", "previous_version"]), tol
     ).drop("version", "previous_version")
-    every = require_two_versions(versions).withColumnRenamed("version", "newest")
     reason = (
         F.when(~F.col("ok"), "too few versions")
         .when(~F.col("previous_found"), "no previous version")
         .otherwise("no examples")
     )
-    return every.join(pairs, "name", "left").join(compared, "name", "left").select(
-        "name", F.coalesce("version", "newest").alias("version"), "previous_version",
+    return pairs.join(compared, "name", "left").select(
+        "name", "version", "previous_version",
         "mse1", "mse2", "difference", F.coalesce("outcome", reason).alias("outcome"),
     )

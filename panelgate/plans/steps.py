@@ -1,9 +1,9 @@
 """The whole life of a model version, one function per step.
 
-The version table and the ledgers are published path tables, so every step may
-replace what it reads. Steps write results first and change the version table
-last: a step that was cut off leaves its versions as they were and can be run
-again (a ledger may then hold the same rows twice).
+The version table and the ledgers are published path tables. Steps write the rows they
+change or add, nothing else. Exports and imports go to the version table and a ledger
+together (``panelgate.plans.intents``): a step that was cut off is finished or undone by
+the next one, and can be run again. A step that another one overtook starts anew.
 """
 
 from collections.abc import Callable, Sequence
@@ -11,31 +11,35 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelgate.functions.text import EXPORT_MARKER
+from panelgate.commits import Conflict, state
+from panelgate.functions.numbers import version_number
+from panelgate.functions.text import EXPORT_MARKER, last_segment
 from panelgate.operators import features as ft
 from panelgate.operators import models
 from panelgate.operators import versions as mv
 from panelgate.operators.features import stamp
 from panelgate.operators.metrics import TOLERANCE, assert_valid, mse, score_two, validate_pair
-from panelgate.plans.ledgers import (
-    as_imported,
-    due_imports,
-    export_ledger_rows,
-    import_ledger_rows,
-)
+from panelgate.operators.ordering import latest_row
+from panelgate.plans.intents import VERSION_KEYS, commit_both, recover
+from panelgate.plans.ledgers import as_imported, export_ledger_rows, newest_exports
 from panelgate.plans.monitoring import monitor
 from panelgate.plans.training import build_training_table
-from panelgate.schemas import EXPORT_LEDGER, IMPORT_LEDGER
+from panelgate.schemas import EXPORT_LEDGER, IMPORT_LEDGER, MODEL_VERSIONS
 from panelgate.sinks import (
-    append_to_ledger,
+    append_changes,
     ensure_ledger,
     log_values,
-    publish,
     save_example,
     save_training_table,
 )
+from panelgate.sinks.ledgers import fitted
 from panelgate.sources import read_path, read_published, read_table
-from panelgate.storage import shared_dir
+from panelgate.storage import scratch_table
+
+# What tells the rows of a ledger apart, and how often an overtaken step starts anew.
+EXPORT_KEYS = ("from_workspace", "exported_model_name", "exported_model_version")
+IMPORT_KEYS = ("from_workspace", "imported_model_name", "imported_model_version")
+TRIES = 20
 
 
 def example_path(root: str, name: str, version: str) -> str:
@@ -58,12 +62,15 @@ def train(
     """Training table, fit, error, example and a new unstaged version; its number.
 
     The training table is written before the fit, which then reads the files and
-    not the indicators again.
+    not the indicators again. If the version table changed meanwhile, the number may be
+    taken: then the step fails and adds no version.
     """
     spark = long.sparkSession
-    versions = read_published(spark, versions_path)
+    recover(spark, versions_path)
+    now = state(spark, versions_path)
+    versions = read_published(spark, versions_path, at=now)
     run = spark.createDataFrame([(name, run_id)], "name string, run_id string")
-    added = spark.createDataFrame(mv.register(versions, run).collect(), versions.schema)
+    added = spark.createDataFrame(mv.register(versions, run).collect(), MODEL_VERSIONS)
     version = added.head()["version"]
     table = read_table(
         spark,
@@ -78,7 +85,7 @@ def train(
     error = mse(models.predict(table, model)).head()["mse"]
     rounds = params.get("maxIter", models.ROUNDS)
     log_values(spark, run_values, run_id, {"n_estimators": rounds}, {"accuracy": error})
-    append_to_ledger(spark, versions_path, added)
+    append_changes(added, versions_path, VERSION_KEYS, now.number)
     return version
 
 
@@ -104,8 +111,15 @@ def validate(
     gate = validate_pair(score_two(scored), tol).withColumn("name", F.lit(retrained))
     result = spark.createDataFrame(gate.collect(), gate.schema)
     assert_valid(result)
-    publish(mv.promote(versions, result), versions_path)
-    return result
+    for _ in range(TRIES):
+        now = state(spark, versions_path)
+        rows = mv.promotions(read_published(spark, versions_path, at=now), result)
+        try:
+            append_changes(rows, versions_path, VERSION_KEYS, now.number)
+            return result
+        except Conflict:
+            continue
+    raise Conflict(f"{versions_path} changed during each of {TRIES} attempts")
 
 
 def export(
@@ -119,17 +133,18 @@ def export(
 ) -> DataFrame:
     """Ledger after adding every model that is due; those are marked as exported.
 
-    A registry without any Production version is an error.
+    A registry without any Production version is an error. A version of a model that the
+    ledger has from this workspace is marked, but not added once more.
     """
-    versions = read_published(spark, versions_path)
-    mv.assert_any(versions, mv.PRODUCTION)
     ensure_ledger(spark, ledger_path, EXPORT_LEDGER)
-    ledger = append_to_ledger(
-        spark, ledger_path, export_ledger_rows(versions, workspace, base, as_of, marker)
-    )
-    due = mv.not_exported(mv.newest_in_stage(versions), marker)
-    publish(mv.mark_exported(versions, due), versions_path)
-    return ledger
+
+    def plan(versions, ledger):
+        mv.assert_any(versions, mv.PRODUCTION)
+        due = mv.not_exported(mv.newest_in_stage(versions), marker)
+        rows = export_ledger_rows(versions, workspace, base, as_of, marker)
+        return mv.marked_exported(versions, due), _not_in(rows, ledger, EXPORT_KEYS)
+
+    return _both(spark, versions_path, ledger_path, plan)
 
 
 def import_newest(
@@ -144,11 +159,9 @@ def import_newest(
     The imported model gets its next version, in Production; the version that was
     newest there before is archived.
     """
-    rows = import_ledger_rows(read_published(spark, export_ledger_path), as_of)
     ensure_ledger(spark, ledger_path, IMPORT_LEDGER)
-    known = ["from_workspace", "imported_model_name", "imported_model_version"]
-    new = rows.join(read_published(spark, ledger_path), known, "left_anti")
-    return _import(spark, new.select(*rows.columns), versions_path, ledger_path)
+    newest = latest_row(read_published(spark, export_ledger_path), "timestamp", *EXPORT_KEYS[1:])
+    return _both(spark, versions_path, ledger_path, _importing(newest, as_of))
 
 
 def import_due(
@@ -158,30 +171,71 @@ def import_due(
     ledger_path: str,
     as_of=None,
 ) -> DataFrame:
-    """Ledger after importing the newest export of every model that is not imported yet."""
+    """Ledger after importing the newest export of every model that is not imported yet.
+
+    Models of one name from several workspaces are imported in the order of their
+    exports: each gets a number, the last one stays in Production.
+    """
     ensure_ledger(spark, ledger_path, IMPORT_LEDGER)
-    due = due_imports(
-        read_published(spark, export_ledger_path), read_published(spark, ledger_path)
-    )
-    return _import(spark, stamp(as_imported(due), as_of), versions_path, ledger_path)
+    newest = newest_exports(read_published(spark, export_ledger_path))
+    return _both(spark, versions_path, ledger_path, _importing(newest, as_of))
 
 
-def _import(spark, rows, versions_path, ledger_path):
-    """Ledger first, then archiving and registration of all imported models at once.
+def _importing(exports, as_of):
+    """What importing ``exports`` changes: versions lacking among the versions, rows in the ledger.
 
-    The rows are written down once, as the ledger they are compared with changes.
+    Either table is asked for itself. Where an earlier import reached only one of them, the
+    other one gets what it lacks.
     """
-    shared_dir(spark)
-    due = rows.checkpoint()
-    if due.isEmpty():
-        return read_published(spark, ledger_path)
-    ledger = append_to_ledger(spark, ledger_path, due)
-    run_id = F.substring_index("external_location", "/", -1)
-    runs = due.select(F.col("imported_model_name").alias("name"), run_id.alias("run_id"))
-    versions = read_published(spark, versions_path)
-    added = mv.register(versions, runs).withColumn("stage", F.lit(mv.PRODUCTION))
-    publish(mv.archive_previous(versions, runs).unionByName(added), versions_path)
-    return ledger
+
+    def plan(versions, ledger):
+        at = F.col("timestamp").alias("_exported")
+        imports = as_imported(exports, at)
+        rows = _not_in(stamp(imports.drop("_exported"), as_of), ledger, IMPORT_KEYS)
+        runs = imports.select(
+            F.col("imported_model_name").alias("name"),
+            last_segment("external_location").alias("run_id"),
+            "_exported", "from_workspace",
+            version_number("imported_model_version").alias("_number"),
+        )
+        new = scratch_table(runs.join(versions, ["name", "run_id"], "left_anti"), "imports")
+        added = mv.register(versions, new, ["_exported", "from_workspace", "_number"])
+        # Each import archives the one before it, so only the last new version stays.
+        last = added.groupBy("name").agg(F.max(F.col("version").cast("bigint")).alias("_last"))
+        staged = F.when(F.col("version").cast("bigint") == F.col("_last"), mv.PRODUCTION)
+        added = added.join(last, "name").withColumn("stage", staged.otherwise(mv.ARCHIVED))
+        changes = mv.archived(versions, new).unionByName(added.drop("_last"))
+        return changes, rows
+
+    return plan
+
+
+def _not_in(rows, ledger, keys):
+    """Rows whose keys the ledger does not have; several rows of one key count once."""
+    return rows.join(ledger.select(*keys), list(keys), "left_anti").select(*rows.columns)
+
+
+def _both(spark, versions_path, ledger_path, plan):
+    """Carry out what ``plan`` makes of the version table and the ledger; the new ledger.
+
+    The rows are written down once, as the tables they are compared with may change.
+    """
+    recover(spark, versions_path)
+    for _ in range(TRIES):
+        now = state(spark, versions_path)
+        ledger = read_published(spark, ledger_path)
+        versions = read_published(spark, versions_path, at=now)
+        changes, rows = plan(versions, ledger)
+        changes = scratch_table(fitted(changes, versions), "changes")
+        rows = scratch_table(fitted(rows, ledger), "rows")
+        if changes.isEmpty() and rows.isEmpty():
+            return ledger
+        try:
+            commit_both(versions_path, changes, now.number, ledger_path, rows)
+            return read_published(spark, ledger_path)
+        except Conflict:
+            continue
+    raise Conflict(f"{versions_path} changed during each of {TRIES} attempts")
 
 
 def predict_example(

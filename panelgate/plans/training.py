@@ -33,7 +33,7 @@ def build_training_table(
     changes nothing.
     """
     long = ft.fill_missing(ft.to_numeric(ft.filter_country(df, country)), fillna)
-    complete = _complete_dates(_only_known(long, keys), features, y)
+    complete = _complete_dates(long, features, y, keys)
     return _selected(complete, features, y, lambda c, name: required(
         c, f"{country} never reports {name}"
     ))
@@ -92,8 +92,12 @@ def _cells(long):
     )
 
 
-def _complete_dates(long, features, y):
-    """``iso_code, date`` and the reported columns of dates with all their country's indicators."""
+def _complete_dates(long, features, y, keys=None):
+    """``iso_code, date`` and the reported columns of dates with all their country's indicators.
+
+    An indicator outside ``keys`` fails the job: leaving it out would keep incomplete
+    dates. It is told per country and raised after the join, so in one place only.
+    """
     cells = _cells(long)
     picked = []
     for name in _reported(features, y):
@@ -105,8 +109,17 @@ def _complete_dates(long, features, y):
     dates = cells.groupBy("iso_code", "date").agg(F.count("*").alias("_n"), *picked)
     # A mean is never null here; asking for it keeps both branches on the same shuffle.
     reported = F.when(F.col("mean").isNotNull(), F.col("indicator"))
-    used = cells.groupBy("iso_code").agg(F.count_distinct(reported).alias("_used"))
-    return dates.join(used, "iso_code").filter(F.col("_n") == F.col("_used"))
+    unknown = F.lit(None).cast("string")
+    if keys is not None:
+        unknown = F.max(F.when(~F.col("indicator").isin(list(keys)), F.col("indicator")))
+    used = cells.groupBy("iso_code").agg(
+        F.count_distinct(reported).alias("_used"), unknown.alias("_unknown")
+    )
+    problem = F.raise_error(F.concat(F.lit("indicator not in keys: "), F.col("_unknown")))
+    return dates.join(used, "iso_code").filter(
+        F.when(F.col("_unknown").isNotNull(), problem.cast("boolean"))
+        .otherwise(F.col("_n") == F.col("_used"))
+    )
 
 
 def _selected(dates, features, y, checked, *front):
@@ -117,14 +130,3 @@ def _selected(dates, features, y, checked, *front):
 
     label = column(y).alias("y")
     return dates.select(*front, *[column(f) for f in sorted(features)], label)
-
-
-def _only_known(long, keys):
-    """Fail on an indicator outside ``keys``: leaving it out would keep incomplete dates."""
-    if keys is None:
-        return long
-    indicator = F.col("indicator")
-    unknown = F.raise_error(F.concat(F.lit("indicator not in keys: "), indicator))
-    return long.withColumn(
-        "indicator", F.when(indicator.isin(list(keys)), indicator).otherwise(unknown)
-    )

@@ -2,11 +2,12 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelgate.columns import named, require_columns
 from panelgate.operators.features import FEATURES
+from panelgate.storage import scratch_table
 
 
 def save_example(
@@ -32,41 +33,54 @@ def to_split_json(
 ) -> DataFrame:
     """Rows as split JSON documents that ``explode_split_json`` reads back.
 
-    A group is dealt by a hash of its rows into documents of at most
-    ``rows_per_document`` rows, so a hot group becomes many documents and a rerun gives
-    the same ones. Equal rows are counted first and spread over the group's documents.
-    Rows keep no order.
+    Every document of a group holds exactly ``rows_per_document`` rows but the last one,
+    and a rerun gives the same documents. Equal rows are counted, so they are written and
+    moved once; the counts before a row in its group say which documents it and its copies
+    go to. For that a group is cut into ranges of a hash of its rows, which are summed
+    apart: a hot group is neither sorted nor joined in one place. Rows keep no order.
     """
     require_columns(df, group, *columns)
     numbers = [named(c).cast("double") for c in columns]
     rows = df.select(named(group).alias("_group"), F.array(*numbers).alias("_row"))
-    counted = rows.groupBy("_group").agg(
-        F.ceil(F.count("*") / F.lit(rows_per_document)).alias("_parts")
-    ).withColumnRenamed("_group", "_of")
     # By their text: as numbers, 0.0 and -0.0 would be one row.
     distinct = rows.groupBy("_group", F.to_json("_row").alias("_text")).agg(
         F.first("_row").alias("_row"), F.count("*").alias("_copies")
     )
-    sized = distinct.join(counted, F.col("_group").eqNullSafe(F.col("_of")))
-    # A row's copies go to neighbouring parts in turn, beginning at the one of its hash.
-    nth = F.explode(F.sequence(F.lit(0).cast("long"), F.least("_copies", "_parts") - 1))
-    dealt = sized.select("*", nth.alias("_nth")).select(
-        "_group", "_row",
-        F.pmod(F.xxhash64("_text") % F.col("_parts") + F.col("_nth"), F.col("_parts")).alias("_part"),
-        (F.floor(F.col("_copies") / F.col("_parts"))
-         + (F.col("_nth") < F.col("_copies") % F.col("_parts")).cast("long")).cast("int").alias("_here"),
+    placed = _running_copies(scratch_table(distinct, "rows"))
+    size = F.lit(rows_per_document)
+    first, last = F.col("_before"), F.col("_before") + F.col("_copies") - 1
+    dealt = placed.select(
+        "_group", "_row", first.alias("_first"), last.alias("_last"),
+        F.explode(F.sequence(F.floor(first / size), F.floor(last / size))).alias("_part"),
     )
+    here = (F.least(F.col("_last"), (F.col("_part") + 1) * size - 1)
+            - F.greatest(F.col("_first"), F.col("_part") * size) + 1)
     gathered = dealt.groupBy("_group", "_part").agg(
-        F.array_sort(F.collect_list(F.struct("_row", "_here"))).alias("_found")
+        F.array_sort(F.collect_list(F.struct("_row", here.cast("int").alias("_here")))).alias("_found")
     )
-    repeated = F.flatten(F.transform("_found", lambda x: F.array_repeat(x["_row"], x["_here"])))
-    # Hashes fill some parts above the bound: these are cut into even slices.
-    gathered = gathered.select("_group", repeated.alias("_all"))
-    slices = F.ceil(F.size("_all") / F.lit(rows_per_document)).cast("int")
-    width = F.ceil(F.size("_all") / slices).cast("int")
-    gathered = gathered.select("_group", "_all", width.alias("_width"), F.explode(
-        F.sequence(F.lit(0), slices - 1)).alias("_slice")
-    ).select("_group", F.slice("_all", F.col("_slice") * F.col("_width") + 1, F.col("_width")).alias("data"))
+    data = F.flatten(F.transform("_found", lambda x: F.array_repeat(x["_row"], x["_here"])))
     names = F.array(*[F.lit(c) for c in columns])
-    document = F.to_json(F.struct(names.alias("columns"), F.col("data")))
+    document = F.to_json(F.struct(names.alias("columns"), data.alias("data")))
     return gathered.select(F.col("_group").alias(group), document.alias(json_col))
+
+
+def _running_copies(distinct):
+    """Add ``_before``: the copies of all rows before this one in its group, by their hash."""
+    ranges = 4 * int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = distinct.withColumn("_hash", F.xxhash64("_text")).withColumn(
+        "_range", F.pmod(F.shiftrightunsigned("_hash", 33), F.lit(ranges)).cast("int")
+    )
+    totals = hashed.groupBy("_group", "_range").agg(F.sum("_copies").alias("_here"))
+    earlier = Window.partitionBy("_group").orderBy("_range").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    totals = totals.select(
+        F.col("_group").alias("_of"), F.col("_range").alias("_at"),
+        F.coalesce(F.sum("_here").over(earlier), F.lit(0)).alias("_earlier"),
+    )
+    own = Window.partitionBy("_group", "_range").orderBy("_hash", "_text").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    inside = hashed.withColumn("_inside", F.sum("_copies").over(own) - F.col("_copies"))
+    same = F.col("_group").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_at"))
+    return inside.join(totals, same).withColumn("_before", F.col("_inside") + F.col("_earlier"))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelgate.columns import named
-from panelgate.sinks.tables import publish
+from panelgate.commits import commit
+from panelgate.sinks.tables import publish, stage_rows, update_published
 from panelgate.sources.tables import published_versions, read_published
 from panelgate.storage import exists
 
@@ -28,28 +29,29 @@ def append_to_ledger(
 ) -> DataFrame:
     """Add rows and return the whole ledger.
 
-    Rows that fit the ledger's columns are appended as new files. When they bring
-    new columns, old and new rows are published together under the merged schema.
-    A ledger has one writer at a time: when another one replaced it meanwhile, the
-    rows went to the old version, and this is an error.
+    Rows that fit the ledger's columns are committed as new files. When they bring new
+    columns, old and new rows are published together under the merged schema, again if
+    another writer was faster. So any number of writers may add at a time.
     """
+    if fmt == "delta":
+        fitted(rows, read_published(spark, path, fmt)).write.format(fmt).mode("append").save(path)
+        return read_published(spark, path, fmt)
     old = read_published(spark, path, fmt)
     known = {f.name: f.dataType for f in old.schema.fields}
-    fits = all(known.get(f.name) == f.dataType for f in rows.schema.fields)
-    if not fits:
-        publish(old.unionByName(rows, allowMissingColumns=True), path, fmt)
-        return read_published(spark, path, fmt)
-    in_order = rows.select(
+    if all(known.get(f.name) == f.dataType for f in rows.schema.fields):
+        commit(spark, path, "rows", stage_rows(fitted(rows, old), path, fmt=fmt))
+    else:
+        update_published(
+            spark, path, lambda now: now.unionByName(rows, allowMissingColumns=True), fmt
+        )
+    return read_published(spark, path, fmt)
+
+
+def fitted(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` in the columns of ``table``; missing ones are null."""
+    return rows.select(
         *[
-            named(c) if c in rows.columns else F.lit(None).cast(kind).alias(c)
-            for c, kind in known.items()
+            named(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in table.schema.fields
         ]
     )
-    if fmt == "delta":
-        in_order.write.format(fmt).mode("append").save(path)
-        return read_published(spark, path, fmt)
-    version = published_versions(spark, path)[-1]
-    in_order.write.format(fmt).mode("append").save(f"{path}/v={version}")
-    if published_versions(spark, path)[-1] != version:
-        raise RuntimeError(f"{path} was replaced while rows were added to v={version}")
-    return read_published(spark, path, fmt)

@@ -1,12 +1,15 @@
 """Catalog tables and published path tables."""
 
-import re
+import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelgate.columns import named, require_columns
-from panelgate.storage import children
+from panelgate.commits import Conflict, claim_folder, commit, state
+from panelgate.sources.tables import read_published
+from panelgate.storage import age_seconds, children, delete
 
 
 def training_table_name(model: str, version: str, database: str | None = None) -> str:
@@ -61,23 +64,98 @@ def append_merge(df: DataFrame, table: str, fmt: str = "parquet") -> DataFrame:
     return spark.table(table)
 
 
-def publish(df: DataFrame, path: str, fmt: str = "parquet") -> str:
+def publish(
+    df: DataFrame,
+    path: str,
+    fmt: str = "parquet",
+    based_on: int | None = None,
+    step: str | None = None,
+) -> str:
     """Replace a path table that may be read meanwhile, also by ``df`` itself.
 
-    Every call writes a new ``v=<n>`` folder. Readers take the largest one that
-    was completed, so a lost job leaves the former version in place. Two writers
-    that pick the same number do not mix: the second one fails.
+    Every call writes a new ``v=<n>`` folder of its own and then commits it, so a lost
+    job leaves the former version in place. With ``based_on`` the table must still be at
+    that commit; otherwise the folder is removed and ``Conflict`` raised.
     """
     if fmt == "delta":
         df.write.format(fmt).mode("overwrite").option("mergeSchema", True).save(path)
         return path
-    taken = [
-        int(match[1])
-        for match in (
-            re.fullmatch(r"v=(\d+)", name) for name in children(df.sparkSession, path)
-        )
-        if match
-    ]
-    target = f"{path}/v={max(taken, default=0) + 1}"
-    df.write.format(fmt).mode("errorifexists").save(target)
-    return target
+    spark = df.sparkSession
+    folder = claim_folder(spark, path)
+    df.write.format(fmt).mode("errorifexists").save(f"{path}/{folder}")
+    return _committed(spark, path, "whole", folder, (), step, based_on)
+
+
+def _committed(spark, path, kind, folder, keys, step, based_on):
+    try:
+        commit(spark, path, kind, folder, keys, step, based_on)
+    except Conflict:
+        delete(spark, f"{path}/{folder}")
+        raise
+    return f"{path}/{folder}"
+
+
+def update_published(
+    spark: SparkSession,
+    path: str,
+    change: Callable[[DataFrame], DataFrame],
+    fmt: str = "parquet",
+    tries: int = 20,
+) -> str:
+    """Replace a path table by ``change`` of itself, and again on the newer one if it moved."""
+    for _ in range(tries):
+        now = state(spark, path)
+        try:
+            return publish(
+                change(read_published(spark, path, fmt, now)), path, fmt, now.number
+            )
+        except Conflict:
+            continue
+    raise Conflict(f"{path} changed during each of {tries} attempts")
+
+
+def stage_rows(df: DataFrame, path: str, kind: str = "rows", fmt: str = "parquet") -> str:
+    """Write rows or changes beside a path table, for ``commit`` to add them; their folder."""
+    folder = f"{kind}-{uuid.uuid4().hex}"
+    df.write.format(fmt).mode("errorifexists").save(f"{path}/{folder}")
+    return folder
+
+
+def append_changes(
+    df: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    based_on: int | None = None,
+    step: str | None = None,
+    fmt: str = "parquet",
+) -> str:
+    """Replace rows of a path table by key, and add those with new keys, writing only these.
+
+    ``df`` holds whole rows in the table's columns and each key once. A table has the same
+    keys in all its changes. ``based_on`` is as for ``publish``.
+    """
+    folder = stage_rows(df, path, "changes", fmt)
+    return _committed(df.sparkSession, path, "changes", folder, tuple(keys), step, based_on)
+
+
+def compact(spark: SparkSession, path: str, fmt: str = "parquet") -> str:
+    """Write a table's rows and changes together as one new version."""
+    return update_published(spark, path, lambda table: table, fmt)
+
+
+def remove_old(spark: SparkSession, path: str, older_than: float = 7 * 24 * 3600) -> list[str]:
+    """Delete data folders that the table no longer consists of, unless changed lately.
+
+    Readers of an earlier state and writers at work need theirs, so ``older_than`` seconds
+    must be longer than any of them takes.
+    """
+    now = state(spark, path)
+    used = {now.whole, *[c.folder for c in now.rows + now.changes]} if now else set()
+    gone = []
+    for name in children(spark, path):
+        if name.startswith("_") or name in used:
+            continue
+        if age_seconds(spark, f"{path}/{name}") >= older_than:
+            delete(spark, f"{path}/{name}")
+            gone.append(name)
+    return gone

@@ -1,14 +1,15 @@
 """Readers for indicator files, catalog tables, path tables and literal rows."""
 
-import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelgate.columns import named
-from panelgate.storage import children, exists
+from panelgate.commits import State, state
 
 # Texts that mean "no value" in an indicator file.
 NA_TOKENS = [
@@ -50,29 +51,50 @@ def read_path(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
 
 
 def published_versions(spark: SparkSession, path: str) -> list[int]:
-    """Number of the newest completely written ``v=<n>`` folder, as a list of at most one.
+    """Number of the ``v=<n>`` folder that the table rests on, as a list of at most one."""
+    now = state(spark, path)
+    return [int(now.whole[2:])] if now else []
 
-    Folders are tried from the largest number down, so older ones are not looked into.
+
+def read_published(
+    spark: SparkSession, path: str, fmt: str = "parquet", at: State | None = None
+) -> DataFrame:
+    """A table written by ``publish``, with the rows and changes committed since.
+
+    It is read as it is now, or as it was ``at`` a state. Of changed rows the newest
+    commit wins: only the changes are shuffled, and the table's rows meet their keys.
     """
-    numbers = [
-        int(match[1])
-        for match in (re.fullmatch(r"v=(\d+)", name) for name in children(spark, path))
-        if match
-    ]
-    for n in sorted(numbers, reverse=True):
-        if exists(spark, f"{path}/v={n}/_SUCCESS"):
-            return [n]
-    return []
-
-
-def read_published(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Newest complete version of a table written by ``publish``."""
     if fmt == "delta":
         return read_path(spark, path, fmt)
-    numbers = published_versions(spark, path)
-    if not numbers:
+    at = at or state(spark, path)
+    if at is None:
         raise FileNotFoundError(f"no published table at {path}")
-    return read_path(spark, f"{path}/v={numbers[-1]}", fmt)
+    whole = read_path(spark, f"{path}/{at.whole}", fmt)
+    if not at.rows and not at.changes:
+        return whole
+    reader = spark.read.format(fmt).schema(whole.schema)
+    rows = reader.load([f"{path}/{f}" for f in (at.whole, *[c.folder for c in at.rows])])
+    if not at.changes:
+        return rows
+    changed = _newest_changes(reader, path, at.changes)
+    keys = at.changes[-1].keys
+    old, new = rows.alias("old"), changed.select(*[named(k) for k in keys]).alias("new")
+    same = [F.col(f"old.`{k}`").eqNullSafe(F.col(f"new.`{k}`")) for k in keys]
+    return old.join(new, reduce(and_, same), "left_anti").unionByName(changed)
+
+
+def _newest_changes(reader, path, changes):
+    """One row per key out of all change folders, from the largest commit number."""
+    rows = reader.load([f"{path}/{c.folder}" for c in changes])
+    if len(changes) == 1:
+        return rows
+    numbers = F.create_map(*[F.lit(v) for c in changes for v in (c.folder, c.number)])
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    keys = changes[-1].keys
+    newest = Window.partitionBy(*[named(k) for k in keys]).orderBy(F.col("_commit").desc())
+    numbered = rows.select("*", F.element_at(numbers, folder).alias("_commit"))
+    first = numbered.withColumn("_nth", F.row_number().over(newest)).filter("_nth = 1")
+    return first.select(*[named(c) for c in rows.columns])
 
 
 def ledger_row(

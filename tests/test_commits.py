@@ -1,0 +1,186 @@
+"""Path tables with a log: changed rows, several writers, compaction."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from panelgate import sinks, sources
+from panelgate.commits import Conflict, State, commit, last_number, state
+from panelgate.operators import versions as mv
+from panelgate.plans import intents, steps
+from panelgate.schemas import EXPORT_LEDGER, MODEL_VERSIONS
+from panelgate.sinks import tables
+
+KEYS = ("name", "version")
+
+
+def versions(spark, *rows):
+    return spark.createDataFrame([(*r, "", f"r{r[0]}{r[1]}") for r in rows], MODEL_VERSIONS)
+
+
+def stages(df):
+    return {(r.name, r.version): r.stage for r in df.collect()}
+
+
+def files(path):
+    return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
+
+
+def test_promotion_writes_the_rows_of_its_model_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    many = [(f"m{i}", str(v), "None") for i in range(50) for v in (1, 2)]
+    sinks.publish(versions(spark, *many), path)
+    before = files(path)
+    gate = spark.createDataFrame([("m7", "passed")], "name string, outcome string")
+    rows = mv.promotions(sources.read_published(spark, path), gate)
+    sinks.append_changes(rows, path, KEYS)
+    new = files(path) - before
+    assert files(path) >= before
+    assert [(r.name, r.version) for r in spark.read.parquet(*new).collect()] == [("m7", "2")]
+    found = stages(sources.read_published(spark, path))
+    assert len(found) == 100
+    assert [k for k, s in found.items() if s == "Staging"] == [("m7", "2")]
+
+
+def test_newest_change_wins_and_new_keys_are_added(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.publish(versions(spark, ("a", "1", "None"), ("b", "1", "None")), path)
+    sinks.append_changes(versions(spark, ("a", "1", "Staging"), ("c", "1", "None")), path, KEYS)
+    sinks.append_changes(versions(spark, ("a", "1", "Production")), path, KEYS)
+    expected = {("a", "1"): "Production", ("b", "1"): "None", ("c", "1"): "None"}
+    assert stages(sources.read_published(spark, path)) == expected
+    sinks.compact(spark, path)
+    now = state(spark, path)
+    assert (now.whole, now.rows, now.changes) == ("v=2", (), ())
+    assert stages(sources.read_published(spark, path)) == expected
+    assert sinks.remove_old(spark, path) == []
+    assert len(sinks.remove_old(spark, path, older_than=0)) == 3
+    assert stages(sources.read_published(spark, path)) == expected
+
+
+def test_changed_table_is_read_without_shuffling_its_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.publish(versions(spark, *[(f"m{i}", "1", "None") for i in range(99)]), path)
+    for name in ("m1", "m2"):
+        sinks.append_changes(versions(spark, (name, "1", "Staging")), path, KEYS)
+    df = sources.read_published(spark, path)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # The changes alone are shuffled, once for their keys and once for their rows.
+    assert plan.count("Exchange hashpartitioning") == plan.count("WindowGroupLimit") // 2 == 2
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_two_writers_that_replace_lose_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.publish(spark.createDataFrame([(1,)], "n int"), path)
+    calls = []
+
+    def slow(table):
+        # The other writer is faster each of the first two times.
+        calls.append(1)
+        if len(calls) < 3:
+            sinks.update_published(
+                spark, path, lambda t: t.union(spark.createDataFrame([(len(calls) * 10,)], "n int"))
+            )
+        return table.union(spark.createDataFrame([(2,)], "n int"))
+
+    sinks.update_published(spark, path, slow)
+    assert sorted(r.n for r in sources.read_published(spark, path).collect()) == [1, 2, 10, 20]
+    assert len(calls) == 3
+
+
+def test_appends_meet_a_growing_schema(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ledger")
+    sinks.ensure_ledger(spark, path, EXPORT_LEDGER)
+    row = sources.ledger_row(spark, [("w", "m", "1", "l")], EXPORT_LEDGER)
+    grown = row.withColumn("note", F.lit("n"))
+    publish, met = tables.publish, []
+
+    def interrupted(df, *args):
+        if not met:
+            met.append(sinks.append_to_ledger(spark, path, row.withColumn("exported_model_version", F.lit("2"))))
+        return publish(df, *args)
+
+    monkeypatch.setattr(tables, "publish", interrupted)
+    found = sinks.append_to_ledger(spark, path, grown)
+    assert sorted((r.exported_model_version, r.note) for r in found.collect()) == [("1", "n"), ("2", None)]
+    later = sinks.append_to_ledger(spark, path, row)
+    assert sorted(str(r.note) for r in later.collect()) == ["None", "None", "n"]
+
+
+def test_commits_based_on_an_old_state_are_refused(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table = spark.createDataFrame([(1,)], "n int")
+    sinks.publish(table, path)
+    commit(spark, path, "nothing")
+    with pytest.raises(Conflict):
+        sinks.publish(table, path, based_on=1)
+    assert sources.published_versions(spark, path) == [1]
+    assert not os.path.exists(f"{path}/v=2")
+    assert last_number(spark, path) == 2
+    assert state(spark, path) == State(2, "v=1")
+
+
+def test_tables_without_a_log_are_read(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(f"{path}/v=4")
+    assert sources.read_published(spark, path).count() == 3
+    assert sinks.publish(spark.range(2), path).endswith("v=5")
+    assert sources.read_published(spark, path).count() == 2
+
+
+class Killed(BaseException):
+    pass
+
+
+@pytest.mark.parametrize("at", range(7))
+def test_a_step_killed_at_any_write_reaches_both_tables_once(spark, tmp_path, monkeypatch, at):
+    registry, ledger = str(tmp_path / "versions"), str(tmp_path / "ledger")
+    sinks.publish(versions(spark, ("a", "1", "Production"), ("b", "2", "Production")), registry)
+    sinks.ensure_ledger(spark, ledger, EXPORT_LEDGER)
+    writes = []
+
+    def counted(f):
+        def call(*args, **kwargs):
+            if len(writes) == at:
+                raise Killed
+            writes.append(f.__name__)
+            return f(*args, **kwargs)
+        return call
+
+    with monkeypatch.context() as patch:
+        for name in ("stage_rows", "create_json", "commit", "delete"):
+            patch.setattr(intents, name, counted(getattr(intents, name)))
+        if at < 6:
+            with pytest.raises(Killed):
+                steps.export(spark, registry, ledger, "w", "s3a://base")
+        else:
+            steps.export(spark, registry, ledger, "w", "s3a://base")
+            assert writes == ["stage_rows", "stage_rows", "create_json", "commit", "commit", "delete"]
+    for _ in (1, 2):
+        found = steps.export(spark, registry, ledger, "w", "s3a://base")
+        assert sorted(r.exported_model_name for r in found.collect()) == ["a", "b"]
+        marked = sources.read_published(spark, registry).collect()
+        assert sorted((r.name, r.description) for r in marked) == [
+            (n, "Already Exported , old description: ") for n in ("a", "b")
+        ]
+    assert os.listdir(f"{registry}/_intents") == []
+
+
+def test_a_step_that_is_overtaken_starts_anew(spark, tmp_path, monkeypatch):
+    registry, ledger = str(tmp_path / "versions"), str(tmp_path / "ledger")
+    sinks.publish(versions(spark, ("a", "1", "Production")), registry)
+    both, calls = steps.commit_both, []
+
+    def overtaken(*args):
+        if not calls:
+            sinks.append_changes(versions(spark, ("b", "1", "Production")), registry, KEYS)
+        calls.append(1)
+        return both(*args)
+
+    monkeypatch.setattr(steps, "commit_both", overtaken)
+    found = steps.export(spark, registry, ledger, "w", "s3a://base")
+    assert sorted(r.exported_model_name for r in found.collect()) == ["a", "b"]
+    assert len(calls) == 2

@@ -1,5 +1,7 @@
 """Feature operators on small tables with every special case."""
 
+import datetime
+import os
 import random
 
 import pandas as pd
@@ -7,11 +9,12 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.errors import PySparkException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelgate.functions import strict_double
 from panelgate.operators import features as ft
-from panelgate.operators.ordering import sort_features, with_position
+from panelgate.operators.ordering import running_sum, sort_features, with_position
 from panelgate.plans import build_training_table, build_training_tables
 from panelgate.plans import training
 from panelgate.schemas import INDICATORS
@@ -356,3 +359,46 @@ def test_pivot_of_unique_cells_can_be_undone(spark, table):
     melted = wide.unpivot(["date"], [f"`{n}`" for n in names], "indicator", "value")
     back = {(r.date, r.indicator): r.value for r in melted.collect() if r.value is not None}
     assert back == table
+
+
+def test_positions_leave_no_copy_behind(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+
+    def stored():
+        return {os.path.join(d, f) for d, _, names in os.walk(folder) for f in names}
+
+    df = spark.range(0, 5000, 1, 5).select((F.col("id") * 7919 % 5000).alias("k"))
+    before = stored()
+    placed = with_position(df, "k")
+    assert placed.filter("position <> k").count() == 0
+    assert stored() == before
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.integers(1, 300), st.integers(0, 1000), st.integers(1, 6))
+def test_running_sums_equal_a_window(spark, n, seed, parts):
+    dice = random.Random(seed)
+    start = datetime.datetime(2024, 3, 30)
+    rows = [
+        (dice.choice(["hot"] * 5 + ["a", None, 'q"']), dice.choice([None, 1.5, -0.0, float("nan")]),
+         start + datetime.timedelta(hours=dice.randint(0, 99)), i, dice.randint(0, 3))
+        for i in range(n)
+    ]
+    df = spark.createDataFrame(rows, "g string, x double, t timestamp, i long, w int").repartition(parts)
+    for by in ([], ["g"]):
+        for order in (["x", "i"], ["t", "i"]):
+            own = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+            expected = df.withColumn("s", F.coalesce(F.sum("w").over(own), F.lit(0)).cast("long"))
+            found = running_sum(df, by, order, "w", "s")
+            assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect()))
+
+
+def test_a_hot_group_is_summed_in_many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(0, 9000, 1, 4).select(F.lit("hot").alias("g"), F.col("id").alias("i"))
+        placed = running_sum(df, ["g"], ["i"]).withColumn("part", F.spark_partition_id()).collect()
+        assert all(r.position == r.i for r in placed)
+        assert len({r.part for r in placed}) > 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -195,3 +195,37 @@ def test_hot_key_is_joined_in_many_tasks(spark, tmp_path):
         for key in settings:
             spark.conf.unset(key)
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_a_hot_model_is_scored_in_equal_parts_and_rows_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(i):
+        made.add(1)
+        return i
+
+    rows = spark.range(0, 4000, 1, 5).select(
+        F.when(F.col("id") < 2000, "hot").otherwise(F.concat(F.lit("m"), F.col("id") % 40)).alias("name"),
+        F.lit("1").alias("version"), counted("id").cast("double").alias("x"),
+    )
+    folder = str(tmp_path)
+
+    class Twice:
+        def predict(self, frame):
+            return frame["x"] * 2
+
+    def load(name, version):
+        import tempfile
+
+        tempfile.NamedTemporaryFile(dir=folder, prefix=f"{name}-", delete=False).close()
+        return Twice()
+
+    scored = models.predict_many(rows, load, ["x"]).withColumn("part", F.spark_partition_id())
+    found = scored.collect()
+    assert len(found) == 4000 and all(r.y_hat == 2 * r.x for r in found)
+    assert made.value == 4000
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    loads = [f.name.split("-")[0] for f in tmp_path.iterdir()]
+    assert len(loads) <= 41 + partitions
+    assert 2 <= loads.count("hot") <= 4

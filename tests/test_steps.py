@@ -1,12 +1,14 @@
 """One model from training to monitoring."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from panelgate import sinks, sources
 from panelgate.operators.metrics import GateFailed
 from panelgate.plans import steps
-from panelgate.schemas import MODEL_VERSIONS
+from panelgate.schemas import EXPORT_LEDGER, IMPORT_LEDGER, MODEL_VERSIONS
 
 NAMES = ["Daily ICU occupancy", "Daily hospital occupancy", "Weekly new hospital admissions"]
 SMALL = {"maxIter": 2, "maxDepth": 2}
@@ -123,3 +125,42 @@ def test_all_due_exports_are_imported_once(spark, tmp_path):
         ]
     for name in "abc":
         assert stages(spark, registry, f"imported_{name}") == {"1": "Production"}
+
+
+def exported(*rows):
+    return [
+        (f"workspace_{w}", m, v, f"s3a://b/{m}/r{w}{m}{v}", datetime.datetime(2023, 1, day))
+        for w, m, v, day in rows
+    ]
+
+
+def test_workspaces_with_one_model_name_are_imported_in_order(spark, tmp_path):
+    registry, exports, imports = (str(tmp_path / n) for n in ("versions", "exports", "imports"))
+    sinks.ensure_ledger(spark, registry, MODEL_VERSIONS)
+    rows = exported(("y", "m", "3", 2), ("x", "m", "1", 1), ("x", "m", "2", 3), ("x", "k", "1", 1))
+    sinks.publish(spark.createDataFrame(rows, EXPORT_LEDGER), exports)
+    for _ in (1, 2):
+        assert steps.import_due(spark, exports, registry, imports).count() == 3
+    versions = sources.read_published(spark, registry).collect()
+    assert sorted((r.name, r.version, r.stage, r.run_id) for r in versions) == [
+        ("imported_k", "1", "Production", "rxk1"),
+        ("imported_m", "1", "Archived", "rym3"),
+        ("imported_m", "2", "Production", "rxm2"),
+    ]
+    more = spark.createDataFrame(exported(("z", "m", "9", 4)), EXPORT_LEDGER)
+    sinks.append_to_ledger(spark, exports, more)
+    assert steps.import_due(spark, exports, registry, imports).count() == 4
+    assert stages(spark, registry, "imported_m") == {"1": "Archived", "2": "Archived", "3": "Production"}
+
+
+def test_imports_that_only_the_ledger_has_are_registered(spark, tmp_path):
+    registry, exports, imports = (str(tmp_path / n) for n in ("versions", "exports", "imports"))
+    sinks.ensure_ledger(spark, registry, MODEL_VERSIONS)
+    ledger = spark.createDataFrame(exported(("x", "m", "1", 1)), EXPORT_LEDGER)
+    sinks.publish(ledger, exports)
+    sinks.ensure_ledger(spark, imports, IMPORT_LEDGER)
+    done = steps.stamp(steps.as_imported(ledger), "2023-02-01")
+    sinks.append_to_ledger(spark, imports, done)
+    for _ in (1, 2):
+        assert steps.import_due(spark, exports, registry, imports).count() == 1
+        assert stages(spark, registry, "imported_m") == {"1": "Production"}

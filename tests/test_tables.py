@@ -196,3 +196,15 @@ def test_split_json_spreads_copies(spark):
     assert counted == {"-0.0": 1000, "2.0": 1000, "None": 1000, "0.0": 1}
     again = sinks.to_split_json(df.repartition(5), ["x", "y"], rows_per_document=100).collect()
     assert sorted(map(str, again)) == sorted(map(str, texts))
+
+
+def test_split_json_documents_are_full(spark):
+    df = spark.range(0, 2500, 1, 4).select(
+        F.when(F.col("id") < 2105, "hot").otherwise("m").alias("name"),
+        F.when(F.col("id") < 700, 1.5).otherwise(F.col("id")).alias("x"),
+    )
+    texts = sinks.to_split_json(df, ["x"], rows_per_document=100).collect()
+    sizes = {n: sorted(len(json.loads(r.document)["data"]) for r in texts if r.name == n) for n in ("hot", "m")}
+    assert sizes == {"hot": [5] + [100] * 21, "m": [95, 100, 100, 100]}
+    again = sinks.to_split_json(df.repartition(7), ["x"], rows_per_document=100).collect()
+    assert sorted(map(str, again)) == sorted(map(str, texts))

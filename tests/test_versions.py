@@ -137,3 +137,40 @@ def test_latest_version_ignores_order_and_partitions(spark, parts, seed):
     assert records(mv.latest_version(shuffled, "Production")) == [
         ("a", "10"), ("b", "1"), ("d", "4"), ("f", "5"),
     ]
+
+
+def test_runs_of_one_model_get_numbers_in_their_order(spark, versions):
+    runs = [("a", f"r{i % 7}", i // 7) for i in range(50)] + [("z", None, 1), ("z", "x", 0), ("q", "q", 5)]
+    frame = spark.createDataFrame(runs, "name string, run_id string, at int").repartition(4)
+    found = mv.register(versions, frame, ["at"])
+    assert found.columns == versions.columns
+    rows = {(r.name, int(r.version)): r.run_id for r in found.collect()}
+    expected = sorted(runs[:50], key=lambda r: (r[2], r[1]))
+    assert rows == {
+        **{("a", 12 + i): r[1] for i, r in enumerate(expected)},
+        ("z", 1): "x", ("z", 2): None, ("q", 1): "q",
+    }
+    unnamed = spark.createDataFrame([(None, "r", 1)], "name string, run_id string, at int")
+    with pytest.raises(PySparkException, match="run without a model"):
+        mv.register(versions, unnamed, ["at"]).collect()
+
+
+def shuffles(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hash")
+
+
+def test_newest_rows_need_one_shuffle(spark, versions, tmp_path):
+    versions.write.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    for found in (mv.latest_per_stage(stored), mv.export_candidates(stored)):
+        assert shuffles(found) == 1
+        assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_version_numbers_give_one_row(spark):
+    twice = spark.createDataFrame(
+        [("a", "7", "Production", "", "r1"), ("a", "007", "Production", "", "r2")], MODEL_VERSIONS
+    )
+    for parts in (1, 3):
+        assert [r.run_id for r in mv.latest_per_stage(twice.repartition(parts)).collect()] == ["r2"]
