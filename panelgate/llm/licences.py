@@ -7,6 +7,9 @@ bound above which a family is believed on notices of families it never saw. Unkn
 is a class of its own, trained on some notices of other families; what looks like a
 licence without reaching the bound, or without resembling a template of its family,
 is unknown too.
+
+A paragraph is a run of up to ``WINDOW`` neighbouring lines, so a notice is found on one
+line of prose as well as wrapped over several; of runs that overlap the best one counts.
 """
 
 import re
@@ -91,9 +94,9 @@ NONE = len(FAMILIES)  # class of other text
 UNKNOWN = NONE + 1  # class of licences outside the list
 
 # Production parameters: bounds of the sample of other text (documents, lines of each),
-# varied copies of a notice, longest n-gram, and the share of a template's word pairs
-# that confirms a prediction.
-OTHER_DOCS, OTHER_LINES, VARIANTS, LONGEST, CONFIRMED = 400, 20, 24, 3, 0.6
+# varied copies of a notice, longest n-gram, the share of a template's word pairs that
+# confirms a prediction, and lines of a paragraph.
+OTHER_DOCS, OTHER_LINES, VARIANTS, LONGEST, CONFIRMED, WINDOW = 400, 20, 24, 3, 0.6, 5
 
 
 WORD_PATTERN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -255,33 +258,69 @@ def similarity(words: Column, family: str) -> Column:
     return F.greatest(*shares, F.lit(0.0))
 
 
-def findings(docs: DataFrame, model: Classifier) -> tuple[DataFrame, DataFrame]:
-    """All rows as ``(row, doc_id)``, and their licence paragraphs.
-
-    Paragraphs: ``row, doc_id, paragraph, family, probability, template_share, text``;
-    ``family`` is ``unknown`` where the bound or the template comparison is missed. A
-    paragraph without any gram that speaks for a licence is other text and is not looked
-    at further; such a gram holds one of the model's words.
-    """
+def _telling_lines(docs, model):
+    """All rows as ``(row, doc_id, found)``; ``found`` holds the lines with a telling word."""
     known = F.array(*[F.lit(w) for w in model.words]) if model.words else F.array().cast("array<string>")
     text = F.coalesce(F.col("text"), F.lit(""))
-    telling = F.filter(
-        F.transform(paragraphs(text), lambda p, i: F.struct(i.alias("paragraph"), p.alias("text"))),
-        lambda p: F.arrays_overlap(words_of(p["text"]), known),
+    lines = F.transform(
+        paragraphs(text), lambda p, i: F.struct(i.alias("line"), p.alias("text"), words_of(p).alias("words"))
     )
-    located = materialize(docs.select(
+    telling = F.filter(lines, lambda p: F.arrays_overlap(p["words"], known))
+    return materialize(docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id"),
         F.when(F.arrays_overlap(words_of(text), known), telling).alias("found"),
     ), "licence-lines")
-    lines = located.select("row", "doc_id", F.explode("found").alias("p")).select(
-        "row", "doc_id", "p.*", words_of(F.col("p.text")).alias("words")
+
+
+def _windows(lines: DataFrame, longest: int = WINDOW) -> DataFrame:
+    """Runs of up to ``longest`` neighbouring lines: ``row, doc_id, paragraph, size, text, words``."""
+    after = Window.partitionBy("row").orderBy("line")
+    runs = []
+    for size in range(1, longest + 1):
+        nth = [lambda c, i=i: F.lead(c, i).over(after) if i else F.col(c) for i in range(size)]
+        there = nth[-1]("line") == F.col("line") + (size - 1)
+        runs.append(F.when(there, F.struct(
+            F.lit(size).alias("size"),
+            F.array_join(F.array(*[n("text") for n in nth]), "\n").alias("text"),
+            F.concat(*[n("words") for n in nth]).alias("words"),
+        )))
+    found = lines.select("row", "doc_id", "line", F.array_compact(F.array(*runs)).alias("runs"))
+    return found.select("row", "doc_id", F.col("line").alias("paragraph"), F.inline("runs"))
+
+
+def _best_of_overlapping(scored: DataFrame) -> DataFrame:
+    """The paragraphs that are the best ones at each of their lines."""
+    best = Window.partitionBy("row", "at").orderBy(
+        (F.col("family") == "unknown").cast("int"), F.col("template_share").desc(),
+        F.col("size"), F.col("probability").desc(), "paragraph",
     )
+    lines = F.sequence(F.col("paragraph"), F.col("paragraph") + F.col("size") - 1)
+    placed = scored.select("*", F.explode(lines).alias("at"))
+    first = placed.withColumn("first", F.row_number().over(best) == 1)
+    kept = first.groupBy("row", "paragraph", "size").agg(F.every("first").alias("first"))
+    kept = kept.filter("first").select("row", "paragraph", "size")
+    return scored.join(kept, ["row", "paragraph", "size"], "left_semi")
+
+
+def findings(docs: DataFrame, model: Classifier) -> tuple[DataFrame, DataFrame]:
+    """All rows as ``(row, doc_id)``, and their licence paragraphs.
+
+    Paragraphs: ``row, doc_id, paragraph`` (its first line)``, size`` (lines)``, family,
+    probability, template_share, text``; ``family`` is ``unknown`` where the bound or the
+    template comparison is missed. A line without any gram that speaks for a licence is other
+    text and is not looked at further; such a gram holds one of the model's words.
+    """
+    located = _telling_lines(docs, model)
+    lines = located.select("row", "doc_id", F.inline("found"))
+    # Written down in between: a filter on the grams would else be evaluated below them,
+    # and the words be looked for again at every use of a lambda's argument.
+    units = materialize(_windows(lines), "licence-windows")
     # Grams outside the vocabulary have no weight: only the others are written.
     weighted = F.array(*[F.lit(g) for g in model.vocabulary]).cast("array<string>")
-    lines = lines.withColumn("grams", F.array_intersect(grams(F.col("words")), weighted))
-    lines = materialize(lines.filter(F.size("grams") > 0), "licence-grams")
-    keys = ["row", "paragraph"]
-    scored = lines.join(model.scores(lines, keys), keys)
+    units = units.withColumn("grams", F.array_intersect(grams(F.col("words")), weighted))
+    units = materialize(units, "licence-grams").filter(F.size("grams") > 0)
+    keys = ["row", "paragraph", "size"]
+    scored = units.drop("grams").join(model.scores(units, keys), keys)
     chances = probabilities(F.col("score"), F.lit(model.temperature))
     scored = scored.withColumn("chances", chances).withColumn(
         "best", F.array_max(F.slice("chances", 1, NONE))
@@ -293,11 +332,12 @@ def findings(docs: DataFrame, model: Classifier) -> tuple[DataFrame, DataFrame]:
     named = scored.withColumn("place", place).withColumn("template_share", share)
     sure = (F.col("best") >= model.bound) & (F.col("template_share") >= CONFIRMED)
     family = F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("place").cast("int"))
-    return located.select("row", "doc_id"), named.select(
-        "row", "doc_id", "paragraph", F.when(sure, family).otherwise("unknown").alias("family"),
+    named = named.select(
+        "row", "doc_id", "paragraph", "size", F.when(sure, family).otherwise("unknown").alias("family"),
         F.round("best", 6).alias("probability"), F.round("template_share", 6).alias("template_share"),
         "text",
     )
+    return located.select("row", "doc_id"), _best_of_overlapping(materialize(named, "licences"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -306,7 +346,8 @@ def scan(docs: DataFrame) -> DataFrame:
     ``licences`` lists the families of the document's licence paragraphs in name order,
     ``licence`` is the one of the most probable paragraph, the earliest of equals;
     both are empty without any. Null and empty texts have none, equal rows are reported
-    alike, once for each, an empty table gives none.
+    alike, once for each, an empty table gives none. Texts are read whole, however long,
+    and columns other than ``doc_id`` and ``text`` not at all, whatever their names.
     """
     rows, found = findings(docs, train(docs))
     first = Window.partitionBy("row").orderBy(
