@@ -85,10 +85,12 @@ class WordIds:
         number, known = self.words.__getitem__, len(self.words)
         numbered = []
         for text in texts:
-            if any(s in text for s in SPECIAL):
+            lowered = text.lower()
+            # Also in capitals, where they are ordinary text that must not be lowered first.
+            if any(s in lowered for s in SPECIAL):
                 numbered.append(None)
                 continue
-            words = text.lower().split()
+            words = lowered.split()
             numbered.append(np.fromiter(map(number, words), np.int64, len(words)))
         self._learn(list(itertools.islice(self.words, known, None)))
         return [

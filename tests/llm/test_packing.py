@@ -54,7 +54,7 @@ def test_pieces_and_places(docs, corpus):
 
 
 @pytest.mark.parametrize("text", [
-    "a<|endoftext|>b <|startoftext|>", "İstanbul ﬁ é ẛ̣", "tab\tnew\nline\x0bvt\x1cfs\x85nel em",
+    "a<|endoftext|>b <|startoftext|>", "a<|ENDOFTEXT|>b <|StartOfText|> C", "İstanbul ﬁ é ẛ̣", "tab\tnew\nline\x0bvt\x1cfs\x85nel em",
     "don't we'll I'M", "日本語 テキスト 123456", "x" * 5000, "a ́b", "Σας ΣΑΣ",
     "it's. it'S!! 's.. a'.' ...x… x….. é*** 5.5% (a) a-b_c @s \"q\"", "rock'n'roll'",
 ])
