@@ -28,8 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LENGTH_PART, SATURATION, SCALE = 25, 12, 1_000_000_000
 
 # Production parameters: documents returned per item, (item, term) pairs of one pass
-# over the documents, positions a list is read on by in the first round.
-BEST, PAIRS_AT_ONCE, FIRST_ROUND = 20, 200_000, 32
+# over the documents, positions a list is read on by in the first round, documents of a task.
+BEST, PAIRS_AT_ONCE, FIRST_ROUND, DOCS_OF_A_TASK = 20, 200_000, 32, 10_000
 
 # The same terms over UTF-8 bytes: separators become spaces, bytes of other letters stay.
 _TABLE = bytes(
@@ -237,7 +237,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = BEST,
             [term_weight(n_docs, df.get(i, 0)) for i in range(len(vocabulary))], np.int64
         )
         block_queries = [(item, sorted(query)) for item, query in by_item.items()]
-        useful = rows.filter(F.size("terms") > 0)
+        # Searching costs more than reading, so tasks are made by the number of documents.
+        tasks = max(1, -(-(n_docs or 0) // DOCS_OF_A_TASK))
+        useful = rows.filter(F.size("terms") > 0).repartition(tasks)
         found.append(_search_block(useful, block_queries, weights, n_docs, n_terms or 1, k))
     every = found[0]
     for part in found[1:]:
