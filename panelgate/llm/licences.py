@@ -14,6 +14,7 @@ line of prose as well as wrapped over several; of runs that overlap the best one
 
 import re
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
@@ -211,20 +212,30 @@ def train(docs: DataFrame) -> Classifier:
     model = Classifier(
         spark, [g for g, u in zip(vocabulary, used) if u], weights[:, used], bias
     )
-    model.words = _telling_words(model, uses)
     _calibrate(model, data.filter(held_out), notices.filter("label < 0"))
+    model.words = _telling_words(model, uses)
     return model
 
 
 def _telling_words(model, uses):
-    """Of every gram that speaks for a licence the word that other text uses least.
+    """Words without any of which a paragraph is other text, whatever else it holds.
 
-    The other grams only add to the chance of other text, so text without any of these
-    words is no licence.
+    Other text starts ahead of every licence by the difference of the biases. The n-grams
+    of the commonest words are set aside as long as all of them together cannot make that
+    up for any licence, at the model's temperature; of each gram that is left the word that
+    other text uses least is a telling one.
     """
-    gain = (model.weights - model.weights[NONE]).max(axis=0)
-    telling = [g for g, x in zip(model.vocabulary, gain) if x > 0]
-    return sorted({min(g.split(" "), key=lambda w: (uses.get(w, 0), w)) for g in telling})
+    licence = np.arange(len(model.bias)) != NONE
+    gains = np.clip(model.weights - model.weights[NONE], 0, None)[licence]
+    ahead = model.bias[NONE] - model.bias[licence] - model.temperature * np.log(licence.sum())
+    spent, words = np.zeros(len(ahead)), set()
+    rarest = [min(g.split(" "), key=lambda w: (uses.get(w, 0), w)) for g in model.vocabulary]
+    for i in sorted(range(len(rarest)), key=lambda i: (-uses.get(rarest[i], 0), model.vocabulary[i])):
+        if (spent + gains[:, i] <= ahead).all():
+            spent = spent + gains[:, i]
+        elif gains[:, i].any():
+            words.add(rarest[i])
+    return sorted(words)
 
 
 def _calibrate(model, held_out, foreign):
@@ -258,33 +269,30 @@ def similarity(words: Column, family: str) -> Column:
     return F.greatest(*shares, F.lit(0.0))
 
 
-def _telling_lines(docs, model):
-    """All rows as ``(row, doc_id, found)``; ``found`` holds the lines with a telling word."""
-    known = F.array(*[F.lit(w) for w in model.words]) if model.words else F.array().cast("array<string>")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.transform(
-        paragraphs(text), lambda p, i: F.struct(i.alias("line"), p.alias("text"), words_of(p).alias("words"))
-    )
-    telling = F.filter(lines, lambda p: F.arrays_overlap(p["words"], known))
-    return materialize(docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id"),
-        F.when(F.arrays_overlap(words_of(text), known), telling).alias("found"),
-    ), "licence-lines")
+def _windows(rows: DataFrame, words: list[str], longest: int = WINDOW) -> DataFrame:
+    """Runs of up to ``longest`` lines: ``row, doc_id, paragraph, size, text, words``.
 
-
-def _windows(lines: DataFrame, longest: int = WINDOW) -> DataFrame:
-    """Runs of up to ``longest`` neighbouring lines: ``row, doc_id, paragraph, size, text, words``."""
+    ``rows`` has ``row, doc_id, text``. A run begins and ends with a line that holds one of
+    ``words`` and has no line without a word inside.
+    """
+    known = F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    lines = rows.select("row", "doc_id", F.posexplode(paragraphs(F.col("text"))).alias("line", "text"))
+    lines = lines.withColumn("words", words_of(F.col("text")))
+    lines = lines.withColumn("telling", F.arrays_overlap("words", known))
     after = Window.partitionBy("row").orderBy("line")
     runs = []
+    whole = F.lit(True)
     for size in range(1, longest + 1):
         nth = [lambda c, i=i: F.lead(c, i).over(after) if i else F.col(c) for i in range(size)]
-        there = nth[-1]("line") == F.col("line") + (size - 1)
-        runs.append(F.when(there, F.struct(
+        whole = whole & (F.size(nth[-1]("words")) > 0)
+        runs.append(F.when(whole & nth[-1]("telling"), F.struct(
             F.lit(size).alias("size"),
             F.array_join(F.array(*[n("text") for n in nth]), "\n").alias("text"),
             F.concat(*[n("words") for n in nth]).alias("words"),
         )))
-    found = lines.select("row", "doc_id", "line", F.array_compact(F.array(*runs)).alias("runs"))
+    found = lines.select(
+        "row", "doc_id", "line", "telling", F.array_compact(F.array(*runs)).alias("runs")
+    ).filter("telling")
     return found.select("row", "doc_id", F.col("line").alias("paragraph"), F.inline("runs"))
 
 
@@ -307,14 +315,19 @@ def findings(docs: DataFrame, model: Classifier) -> tuple[DataFrame, DataFrame]:
 
     Paragraphs: ``row, doc_id, paragraph`` (its first line)``, size`` (lines)``, family,
     probability, template_share, text``; ``family`` is ``unknown`` where the bound or the
-    template comparison is missed. A line without any gram that speaks for a licence is other
-    text and is not looked at further; such a gram holds one of the model's words.
+    template comparison is missed. A paragraph begins and ends with a line that holds one of
+    the model's words; lines without one are other text.
     """
-    located = _telling_lines(docs, model)
-    lines = located.select("row", "doc_id", F.inline("found"))
+    known = F.array(*[F.lit(w) for w in model.words]).cast("array<string>")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    located = materialize(docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id"),
+        F.when(F.arrays_overlap(words_of(text), known), text).alias("text"),
+    ), "licence-texts")
     # Written down in between: a filter on the grams would else be evaluated below them,
     # and the words be looked for again at every use of a lambda's argument.
-    units = materialize(_windows(lines), "licence-windows")
+    units = _windows(located.filter(F.col("text").isNotNull()), model.words)
+    units = materialize(units, "licence-windows")
     # Grams outside the vocabulary have no weight: only the others are written.
     weighted = F.array(*[F.lit(g) for g in model.vocabulary]).cast("array<string>")
     units = units.withColumn("grams", F.array_intersect(grams(F.col("words")), weighted))

@@ -185,12 +185,19 @@ def test_neighbouring_notices_stay_apart(unseen):
 
 
 def test_windows_are_runs_of_neighbouring_lines(spark):
-    lines = spark.createDataFrame(
-        [(1, 9, 0, "a", ["a"]), (1, 9, 1, "b", ["b"]), (1, 9, 3, "c", ["c"]), (2, 9, 2, "d", ["d"])],
-        "row int, doc_id int, line int, text string, words array<string>",
-    )
-    found = licences._windows(lines, 3).collect()
+    rows = spark.createDataFrame([(1, 9, "k a\nb\nk c\n\nk d"), (2, 9, "x\ny")], "row int, doc_id int, text string")
+    found = licences._windows(rows, ["k"], 3).collect()
     assert sorted((r.row, r.paragraph, r["size"], r.text, tuple(r.words)) for r in found) == [
-        (1, 0, 1, "a", ("a",)), (1, 0, 2, "a\nb", ("a", "b")), (1, 1, 1, "b", ("b",)),
-        (1, 3, 1, "c", ("c",)), (2, 2, 1, "d", ("d",)),
+        (1, 0, 1, "k a", ("k", "a")), (1, 0, 3, "k a\nb\nk c", ("k", "a", "b", "k", "c")),
+        (1, 2, 1, "k c", ("k", "c")), (1, 4, 1, "k d", ("k", "d")),
     ]
+
+
+def test_lines_without_a_telling_word_are_other_text(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, prose(rng, 60)) for i in range(50)], SCHEMA)
+    model = licences.train(docs)
+    grams = [g for g in model.vocabulary if not set(g.split(" ")) & set(model.words)]
+    scores = model.bias + sum((model.weights[:, model.vocabulary.index(g)] for g in grams), model.bias * 0)
+    chances = [2.718281828 ** ((x - max(scores)) / model.temperature) for x in scores]
+    assert grams and chances[licences.NONE] >= 0.5 * sum(chances)
