@@ -4,7 +4,8 @@ Pages of one host are merged into a tree: an element meets the same element of
 another page when the paths and the sequences of siblings on the way agree. An
 element whose children are arranged alike everywhere and a text that stands at the
 same place of most pages carry little information; branches of low importance are
-removed from each page. Menus, adverts and the like are known by their markup.
+removed from each page. Menus, forms and the like are known by their elements; what a
+class or id says is a doubt about an element, which its importance takes in.
 """
 
 import html
@@ -46,10 +47,22 @@ CLOSED_BY = {  # an open element of the key ends where one of the values starts
     "tr": {"tr", "tbody", "tfoot", "thead"}, "tbody": {"tbody", "tfoot"}, "thead": {"tbody", "tfoot"},
 }
 
+# Words in front of a listed one that say it is not meant, and words
+# behind one that only say what kind of box it is.
+NEGATIONS = set("has have is no non not with without".split())
+BOXES = set(
+    "area bar block box btn button buttons column container content icon inner item items left "
+    "link links list outer panel right row section slot top unit wrap wrapper".split()
+)
+
 # Production parameters: weight of an element's own presentation against its children,
 # importance below which a branch goes, pages of importance 1 that every place counts
-# besides its own, and how many more inside an article, as a share of the host's pages.
+# besides its own, and how many more inside an article, as a share of the host's pages;
+# pages of importance 0, as shares of the place's own, for elements whose names mention
+# a listed word, or are made of one.
 DAMPING, LOW, KEEP, ARTICLE_KEEP = 0.9, 0.3, 2, 0.1
+MENTIONED, NAMED = 1, 2
+DOUBT = {0: 0.0, MENTIONED: 0.5, NAMED: 4.0}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -74,6 +87,7 @@ def _attributes(text):
 
 
 def _is_noise(tag, attributes):
+    """Whether markup says that an element is no text to read here, whatever it is called."""
     if tag in NOISE_TAGS:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
@@ -82,15 +96,32 @@ def _is_noise(tag, attributes):
         return True
     if attributes.get("aria-hidden", "").lower() == "true":
         return True
-    if re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
-        return True
-    for value in (attributes.get("class", ""), attributes.get("id", "")):
-        names = {n.lower() for n in _NAME.findall(value)}
-        hit = names & NOISE_NAMES
+    return bool(re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I))
+
+
+def doubt_of(tag: str, attributes: dict) -> int:
+    """How much an element's class and id speak against it: 0, ``MENTIONED`` or ``NAMED``.
+
+    What a name means stands at its end, less the kind of box: ``comment-list`` holds
+    comments and ``user-comments`` too, while ``share-price`` is a price, ``related-work``
+    is work and ``has-sidebar`` is something beside a sidebar.
+    """
+    if tag in ("html", "body", "article", "main"):
+        return 0
+    most = 0
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = [n.lower() for n in _NAME.findall(name)]
+        if not NOISE_NAMES.intersection(words):
+            continue
         # The head of an entry holds its title and belongs to it.
-        if hit and not (hit == {"header"} and names & {"entry", "article", "post"}):
-            return True
-    return False
+        if "header" in words and {"entry", "article", "post"}.intersection(words):
+            continue
+        most = max(most, MENTIONED)
+        while len(words) > 1 and words[-1] in BOXES:
+            words.pop()
+        if words[-1] in NOISE_NAMES and not NEGATIONS.intersection(words[:-1]):
+            return NAMED
+    return most
 
 
 class Page:
@@ -99,11 +130,14 @@ class Page:
     ``elements`` holds ``[parent, signature, children]``, ``blocks`` ``(owner, text)``.
     ``region`` is the first article or main element that owns a text, else the root.
     ``narrow`` says that text stands outside of articles which hold half of it or more.
+    ``doubts`` holds what names say against elements, ``named`` the blocks in branches
+    that are called noise; where these hold more than half of the page's text, the names
+    only count as mentioned.
     """
 
     def __init__(self, source: str):
         self.elements, self.blocks = [[-1, "", []]], []
-        self.articles = set()
+        self.articles, self.doubts = set(), {}
         self._stack, self._names = [0], [""]
         self._text, self._noise = [], 0
         at = 0
@@ -128,11 +162,26 @@ class Page:
         self._flush()
         self.within = [self._within(owner) for owner, _ in self.blocks]
         self.region = min((i for i in self.within if i is not None), default=0)
-        size = [0, 0]
-        for i, (_, text) in zip(self.within, self.blocks):
-            size[i is not None] += len(text)
+        self.named = {i for i, (owner, _) in enumerate(self.blocks) if self._in_named(owner)}
+        size, named = [0, 0], 0
+        for n, (i, (_, text)) in enumerate(zip(self.within, self.blocks)):
+            size[i is not None and n not in self.named] += len(text)
+            named += len(text) * (n in self.named)
+        if 2 * named > sum(size):
+            self.named = set()
+            self.doubts = dict.fromkeys(self.doubts, MENTIONED)
+            size = [0, 0]
+            for i, (_, text) in zip(self.within, self.blocks):
+                size[i is not None] += len(text)
         self.narrow = 0 < size[0] <= size[1]
 
+    def _in_named(self, i):
+        while i >= 0 and self.doubts:
+            if self.doubts.get(i) == NAMED:
+                return True
+            i = self.elements[i][0]
+        return False
+
     def _within(self, i):
         """The outermost article that holds an element."""
         found = None
@@ -157,13 +206,16 @@ class Page:
         noise = _is_noise(tag, attributes)
         if tag in SPACED and not self._noise:
             self._text.append(" ")
-        if tag not in BLOCKS and not noise:
+        doubt = doubt_of(tag, attributes) if attributes and not noise and not self._noise else 0
+        inline = tag not in BLOCKS
+        noise = noise or (inline and doubt == NAMED)
+        # Inside of noise inline elements are followed, too, to tell their end tags apart.
+        if inline and not noise and not self._noise:
             return
-        if tag in BLOCKS or noise:
-            if not self._noise and tag in BLOCKS:
-                self._flush()
-            while self._names[-1] in CLOSED_BY and tag in CLOSED_BY[self._names[-1]]:
-                self._pop()
+        if not self._noise and not inline:
+            self._flush()
+        while self._names[-1] in CLOSED_BY and tag in CLOSED_BY[self._names[-1]]:
+            self._pop()
         if tag in VOID:
             return
         self._names.append(tag)
@@ -172,6 +224,8 @@ class Page:
             self._stack.append(self._stack[-1])
             return
         i = len(self.elements)
+        if doubt:
+            self.doubts[i] = doubt
         parent = self._stack[-1]
         signature = f"{tag}.{' '.join(sorted(attributes.get('class', '').split()))}"
         self.elements.append([parent, signature, []])
@@ -202,9 +256,18 @@ class Page:
 
         Where articles hold half of the text or more, these are the articles' blocks.
         """
-        if not self.narrow:
-            return self.blocks
-        return [b for i, b in zip(self.within, self.blocks) if i is not None]
+        return [
+            b for n, (i, b) in enumerate(zip(self.within, self.blocks))
+            if n not in self.named and not (self.narrow and i is None)
+        ]
+
+    def without(self, low: set[int]) -> list[tuple[int, str]]:
+        """Blocks without those of low importance and those in branches called noise.
+
+        A page of which nothing would be left is a copy of others and only loses the latter.
+        """
+        left = [b for n, b in enumerate(self.blocks) if n not in low and n not in self.named]
+        return left or [b for n, b in enumerate(self.blocks) if n not in self.named]
 
 
 def _hash(*values):
@@ -217,7 +280,7 @@ def nodes(page: Page, host: str) -> list[tuple]:
     ``node`` names the merged node of the host, ``value`` what this page has there: an element's
     sequence of children, or a text. ``place`` of a text is its block's number, kind 1
     a text outside and 2 one inside an article; kind 0 is an element outside and 4 one
-    inside (or the article), kind 3 the page. ``below`` counts the texts and the elements
+    inside (or the article), plus 8 for every degree of doubt; kind 3 is the page. ``below`` counts the texts and the elements
     with text that an element has as children; of the page, twice its texts, and one more
     where it is ``narrow``.
     """
@@ -240,7 +303,11 @@ def nodes(page: Page, host: str) -> list[tuple]:
     below = {i: counts.get(i, -1) + 1 for i in needed}
     for i in needed.keys() - {0}:
         below[page.elements[i][0]] += 1
-    out += [(i, page.elements[i][0], needed[i], keys[i], styles[i], below[i]) for i in sorted(needed)]
+    doubts = page.doubts.get
+    out += [
+        (i, page.elements[i][0], needed[i] + 8 * doubts(i, 0), keys[i], styles[i], below[i])
+        for i in sorted(needed)
+    ]
     return out
 
 
@@ -252,8 +319,10 @@ def low_blocks(found: list[dict]) -> list[int]:
     An element is as important as its presentation varies and its children are; the
     children are those of the page's own arrangement. Children that ``found`` lacks are
     of this page alone and have importance 1. Every importance is drawn towards 1 the
-    more, the fewer pages have the place, and inside articles more than outside. A page
-    of which nothing would be left is a copy of others and loses nothing.
+    more, the fewer pages have the place, and inside articles more than outside. What an
+    element is called draws it towards 0 (``DOUBT``): one whose name mentions a listed word
+    goes where its children repeat, one that is called so however they vary, and then says
+    nothing about its parent.
     """
     # Repeated rows of a page bring its nodes more than once.
     found = list({(f["kind"], f["place"]): f for f in found}.values())
@@ -261,13 +330,15 @@ def low_blocks(found: list[dict]) -> list[int]:
     if page is None:
         return []
     low = set()
-    elements = {f["place"]: f for f in found if f["kind"] in (0, 4)}
+    elements = {f["place"]: f for f in found if f["kind"] % 4 == 0}
     below: dict = {}
     importance = {}
 
     def shrunk(f, value):
-        more = KEEP + (ARTICLE_KEEP * page["pages"] if f["kind"] in (2, 4) else 0)
-        return (f["pages"] * value + more) / (f["pages"] + more)
+        doubt = f["kind"] // 8
+        more = KEEP + (ARTICLE_KEEP * page["pages"] if f["kind"] % 8 in (2, 4) else 0)
+        more = 0 if doubt == NAMED else more
+        return (f["pages"] * value + more) / (f["pages"] * (1 + DOUBT[doubt]) + more)
 
     for f in found:
         if f["kind"] in (1, 2):
@@ -279,7 +350,8 @@ def low_blocks(found: list[dict]) -> list[int]:
         share = DAMPING ** f["styles"]
         children = below.get(i, [])
         alone = f["below"] - len(children)
-        mean = (sum(v for _, v in children) + alone) / f["below"]
+        heard = [v for (kind, place), v in children if kind == "text" or elements[place]["kind"] // 8 < NAMED]
+        mean = (sum(heard) + alone) / (len(heard) + alone) if heard or alone else 1.0
         importance[i] = shrunk(f, (1 - share) * own + share * mean)
         below.setdefault(f["parent"], []).append((("element", i), importance[i]))
 
@@ -299,7 +371,7 @@ def low_blocks(found: list[dict]) -> list[int]:
             remove(i)
     for children in below.values():
         low.update(place for (kind, place), v in children if kind == "text" and v < LOW)
-    return sorted(low) if len(low) < page["below"] // 2 else []
+    return sorted(low)
 
 
 NODES = "page_id {0}, key long, place int, parent int, kind int, node long, value long, below int"
@@ -338,7 +410,8 @@ def removals(keyed: DataFrame) -> DataFrame:
     """
     kind = keyed.schema["page_id"].dataType.simpleString()
     found = site_nodes(keyed)
-    counted = found.groupBy("node", "value").agg(F.count("*").alias("same"))
+    # Written down, as it is used twice and each use would read all pages' markup.
+    counted = materialize(found.groupBy("node", "value").agg(F.count("*").alias("same")), "values")
     logs = F.col("same") * F.log(F.col("same").cast("double"))
     merged = counted.groupBy("node").agg(
         F.sum("same").alias("pages"), F.count("*").alias("styles"), F.sum(logs).alias("logs")
@@ -352,7 +425,9 @@ def removals(keyed: DataFrame) -> DataFrame:
     )
     # A text that no other page has is important whatever the tree says: it only counts
     # in ``below`` of its owner. So do elements no other page has, with all inside them.
-    telling = found.join(shared, ["node", "value"]).filter("kind in (0, 3, 4) or same > 1")
+    telling = found.join(shared, ["node", "value"]).filter(
+        "kind % 4 = 0 or kind = 3 or same > 1"
+    )
     by_page = telling.groupBy("page_id", "key").agg(F.collect_list(F.struct(
         "place", "parent", "kind", "pages", "styles", "entropy", "same", "below")).alias("nodes"))
 
@@ -380,7 +455,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     narrowed to single spaces; it is empty for null, empty or text-less pages. A page
     alone on its host is taken as a whole, less its noise, or less what stands outside
     of articles that hold half of its text or more. Repeated rows are extracted alike,
-    each once; an empty table gives none.
+    each once; an empty table gives none. Pages count whole, however long or deep;
+    columns other than these three are not read, whatever their names.
     """
     keyed = pages.select(
         "page_id", "url", F.coalesce("html", F.lit("")).alias("html"),
@@ -399,11 +475,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
             texts = []
             for source, gone in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist()):
                 page = Page(source)
-                if gone is None:
-                    blocks = page.content()
-                else:
-                    gone = set(gone)
-                    blocks = [b for i, b in enumerate(page.blocks) if i not in gone]
+                blocks = page.content() if gone is None else page.without(set(gone))
                 texts.append("\n\n".join(t for _, t in blocks))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),

@@ -126,3 +126,137 @@ def test_odd_tables(spark):
     assert found == ["x", "x", "y"]
     assert ss.main_texts(spark.createDataFrame([], SCHEMA)).collect() == []
     assert re.fullmatch("[a-z.]+", ss.host_of("https://u@Ex.Ample.org:80/p"))
+
+
+def test_names_that_only_mention_a_word_remove_nothing():
+    for opened, closed in (
+        ('<div class="content has-sidebar">', "</div>"), ('<div class="page no-header">', "</div>"),
+        ('<section id="related-work">', "</section>"), ('<p class="share-price">', "</p>"),
+        ('<div class="search-results-page">', "</div>"),
+    ):
+        assert texts_of(f"<p>First text</p>{opened}Whole article{closed}") == ["First text", "Whole article"]
+    for name in ("ad", "comment-list", "userComments", "cookie-notice", "col sidebar-left", "site-footer"):
+        assert texts_of(f'<p>First text, long enough</p><div class="{name}">gone</div>') == ["First text, long enough"]
+
+
+def test_inline_noise_ends_at_its_own_end_tag():
+    source = '<p>Hello <span class="share"><span>Icon</span> Tweet this</span> world</p>'
+    assert texts_of(source) == ["Hello world"]
+    assert texts_of("<p>a <button><b>x<i>y</b></button> b</p>") == ["a b"]
+
+
+def test_a_name_cannot_take_the_larger_part_of_a_page():
+    assert texts_of('<p>Home</p><div class="widget"><p>All of the text stands here</p></div>') == [
+        "Home", "All of the text stands here"]
+
+
+def test_importance_takes_doubts_in(spark):
+    rows = []
+    for i in range(40):
+        rows.append((i, f"http://h/{i}", "<body><div class=x><p>Own text of the page, long "
+                     f"enough, {i}</p></div><div class=ad><p>buy {i}</p></div>"
+                     "<div class='box share-price'><p>Price</p></div>"
+                     f"<div class='related-work'><p>work {i}</p></div></body>"))
+    found = {r.page_id: r.text for r in ss.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[7] == "Own text of the page, long enough, 7\n\nwork 7"
+
+
+def plain_low_blocks(sources):
+    """Low blocks of every page of one host, importance by its definition on all pages."""
+    import math
+
+    pages = [ss.Page(s) for s in sources]
+
+    def keyed(page):
+        keys = {0: ()}
+        style = [tuple(page.elements[c][1] for c in e[2]) for e in page.elements]
+        for i, (_, _, children) in enumerate(page.elements):
+            for nth, child in enumerate(children):
+                keys[child] = (*keys[i], style[i], nth)
+        return keys, style
+
+    merged, texts, own = {}, {}, []
+    for page in pages:
+        keys, style = keyed(page)
+        texts_here, nth, needed = {}, {}, set()
+        for number, (owner, text) in enumerate(page.blocks):
+            nth[owner] = nth.get(owner, -1) + 1
+            place = (keys[owner], style[owner], nth[owner])
+            texts_here[number] = place
+            texts.setdefault(place, []).append(text)
+            while owner >= 0:
+                needed.add(owner)
+                owner = page.elements[owner][0]
+        for i in needed:
+            merged.setdefault(keys[i], []).append(style[i])
+        own.append((keys, texts_here, needed, nth))
+    out = []
+    for page, (keys, places, needed, nth) in zip(pages, own):
+        def shrunk(n, value, inside, doubt):
+            more = 0 if doubt == ss.NAMED else ss.KEEP + (ss.ARTICLE_KEEP * len(pages) if inside else 0)
+            return (n * value + more) / (n * (1 + ss.DOUBT[doubt]) + more)
+
+        def text_value(number):
+            all_here = texts[places[number]]
+            same = all_here.count(page.blocks[number][1])
+            if len(all_here) < 2 or same < 2:
+                return 1.0
+            inside = page.within[number] is not None
+            return shrunk(len(all_here), 1 - math.log(same) / math.log(len(all_here)), inside, 0)
+
+        def inside_article(i):
+            while i >= 0:
+                if i in page.articles:
+                    return True
+                i = page.elements[i][0]
+            return False
+
+        value = {}
+        for i in sorted(needed, reverse=True):
+            styles = merged[keys[i]]
+            n = len(styles)
+            children = [text_value(k) for k, (o, _) in enumerate(page.blocks) if o == i]
+            children += [value[c] for c in page.elements[i][2] if c in needed and page.doubts.get(c) != ss.NAMED]
+            mean = sum(children) / len(children) if children else 1.0
+            counts = [styles.count(s) for s in set(styles)]
+            entropy = 1 - sum(c * math.log(c) for c in counts) / (n * math.log(n)) if n > 1 else 1.0
+            share = ss.DAMPING ** len(counts)
+            value[i] = shrunk(n, (1 - share) * entropy + share * mean, inside_article(i), page.doubts.get(i, 0)) if n > 1 else 1.0
+        low = set()
+        for number, (owner, _) in enumerate(page.blocks):
+            gone = text_value(number) < ss.LOW
+            while owner > 0:
+                gone = gone or value[owner] < ss.LOW
+                owner = page.elements[owner][0]
+            if gone:
+                low.add(number)
+        out.append([t for _, t in page.without(low)])
+    return out
+
+
+def test_importance_equals_its_definition(spark):
+    rng = random.Random(12)
+    pool = ["Home", "About us", "Our price", "Terms"]
+    for trial in range(3):
+        sources = []
+        for i in range(25):
+            parts = []
+            for _ in range(rng.randint(1, 4)):
+                name = rng.choice(["a", "b", "share-price", "ad", "c"])
+                inner = "".join(
+                    f"<p>{rng.choice(pool) if rng.random() < 0.5 else f'own {i} {rng.random()}'}</p>"
+                    for _ in range(rng.randint(1, 3)))
+                parts.append(f"<div class='{name}'>{inner}</div>")
+            sources.append(f"<body>{''.join(parts)}</body>")
+        rows = [(i, f"http://h{trial}/{i}", s) for i, s in enumerate(sources)]
+        found = {r.page_id: r.text for r in ss.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+        for i, blocks in enumerate(plain_low_blocks(sources)):
+            assert found[i] == "\n\n".join(blocks), (trial, i)
+
+
+def test_extra_columns_and_long_pages(spark):
+    extra = "key int, low int, node int, value int, of int, of_key int, place int, text int, n_chars int"
+    long_page = "<p>" + "word " * 200_000 + "</p>"
+    rows = [(1, "http://a/", "<p>x", *[1] * 9), (2, "http://a/", long_page, *[2] * 9)]
+    found = {r.page_id: r.n_chars for r in ss.main_texts(spark.createDataFrame(rows, f"{SCHEMA}, {extra}")).collect()}
+    assert found == {1: 1, 2: 5 * 200_000 - 1}
