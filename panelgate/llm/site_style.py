@@ -131,8 +131,8 @@ class Page:
     ``region`` is the first article or main element that owns a text, else the root.
     ``narrow`` says that text stands outside of articles which hold half of it or more.
     ``doubts`` holds what names say against elements, ``named`` the blocks in branches
-    that are called noise; where these hold more than half of the page's text, the names
-    only count as mentioned.
+    that are called noise; where these hold more than half of the page's text and no
+    article has any, the names only count as mentioned.
     """
 
     def __init__(self, source: str):
@@ -165,9 +165,11 @@ class Page:
         self.named = {i for i, (owner, _) in enumerate(self.blocks) if self._in_named(owner)}
         size, named = [0, 0], 0
         for n, (i, (_, text)) in enumerate(zip(self.within, self.blocks)):
-            size[i is not None and n not in self.named] += len(text)
-            named += len(text) * (n in self.named)
-        if 2 * named > sum(size):
+            if n in self.named:
+                named += len(text)
+            else:
+                size[i is not None] += len(text)
+        if named > size[0] and not size[1]:
             self.named = set()
             self.doubts = dict.fromkeys(self.doubts, MENTIONED)
             size = [0, 0]
