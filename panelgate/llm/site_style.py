@@ -364,15 +364,21 @@ def low_blocks(found: list[dict]) -> list[int]:
             else:
                 remove_stack.append(place)
 
-    remove_stack = [i for i, v in importance.items() if v < LOW and elements[i]["parent"] >= 0]
+    # Branches that are called noise go with every page and are not listed.
+    called = {i for i, f in elements.items() if f["kind"] // 8 == NAMED}
+    remove_stack = [
+        i for i, v in importance.items()
+        if v < LOW and elements[i]["parent"] >= 0 and i not in called
+    ]
     seen = set()
     while remove_stack:
         i = remove_stack.pop()
         if i not in seen:
             seen.add(i)
             remove(i)
-    for children in below.values():
-        low.update(place for (kind, place), v in children if kind == "text" and v < LOW)
+    for i, children in below.items():
+        if i not in called:
+            low.update(place for (kind, place), v in children if kind == "text" and v < LOW)
     return sorted(low)
 
 
