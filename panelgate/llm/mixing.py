@@ -6,6 +6,7 @@ source's target. In the order of finish times all sources progress in proportion
 to their targets, and the mix is the prefix that the total budget pays for.
 """
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -87,14 +88,7 @@ def mix(docs: DataFrame, size=None, weights: Sequence[int] = WEIGHTS, budget: fl
     rows = sized.join(aims, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rows = rows.withColumn("bucket", bucket)
     within = Window.partitionBy("source", "bucket").orderBy("turn")
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    bases = sums.select(
-        F.col("source").alias("of"), F.col("bucket").alias("at"),
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"),
-    )
+    bases = _bases(rows.groupBy("source", "bucket").agg(F.sum("size").alias("n")), parts)
     served = rows.withColumn("within", F.sum("size").over(within)).join(
         bases, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at"))
     )
@@ -115,6 +109,30 @@ def mix(docs: DataFrame, size=None, weights: Sequence[int] = WEIGHTS, budget: fl
     )
 
 
+def _bases(sums, parts):
+    """``(of, at, base)``: the sizes before every bucket of a source.
+
+    Neighbouring buckets are summed in groups and the groups in their source, each about
+    the square root of all, so no task holds all buckets of a source.
+    """
+    width = math.isqrt(parts) + 1
+    sums = materialize(sums.withColumn("group", F.floor(F.col("bucket") / width)), "bucket-sums")
+    first = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "group").orderBy("bucket").rowsBetween(*first)
+    groups = sums.groupBy("source", "group").agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy("source").orderBy("group").rowsBetween(*first)
+    starts = groups.select(
+        F.col("source").alias("s"), F.col("group").alias("g"),
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"),
+    )
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("group") == F.col("g"))
+    within = sums.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return within.join(starts, same).select(
+        F.col("source").alias("of"), F.col("bucket").alias("at"),
+        (F.col("start") + F.col("inside")).alias("base"),
+    )
+
+
 def turn_of(seed: int = 0):
     return F.xxhash64(F.lit(seed), "doc_id", "text", "source").alias("turn")
 
@@ -138,22 +156,19 @@ def _cut(served, parts):
     """Place of the last copy that the budget, the sum of the targets, pays for.
 
     Finish times are ranged into equal buckets up to virtual time 2, twice the time
-    the whole mix takes. Running sums over buckets find the one where the budget
-    ends; only this one is sorted by row.
+    the whole mix takes. Sums over groups of buckets, then over the buckets of one group,
+    find the one where the budget ends; only this one is sorted by row. The driver sees
+    about twice the square root of the number of buckets.
     """
     copies = served.select(
         "size", F.explode(F.array(*[_place(nth) for nth in range(REPEATS)])).alias("place")
     ).filter((F.col("place.finish") <= 2) & (F.col("size") > 0))
     ranged = copies.withColumn("range", F.floor(F.col("place.finish") * parts))
     budget = served.select("source", "target").distinct().agg(F.sum("target")).head()[0] or 0.0
-    running = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = ranged.groupBy("range").agg(F.sum("size").alias("n"))
-    totals = sums.withColumn("total", F.sum("n").over(running))
     # Doubles that are sums of targets may lie a hair below the whole number they stand for.
     limit = budget + 1e-6
-    crossing = totals.filter(F.col("total") > limit).agg(F.min_by("range", "range"), F.min_by(
-        F.col("total") - F.col("n"), "range")).head()
-    if crossing[0] is None:
+    crossing = _crossing(ranged.groupBy("range").agg(F.sum("size").alias("n")), parts, limit)
+    if crossing is None:
         last = ranged.agg(F.max("place")).head()[0]
     else:
         inside = ranged.filter(F.col("range") == crossing[0]).withColumn(
@@ -171,6 +186,27 @@ def _cut(served, parts):
     )
 
 
+def _crossing(sums, parts, limit):
+    """The bucket in which the running sum passes ``limit``, and the sum before it."""
+    width = math.isqrt(2 * parts) + 1
+    group = F.floor(F.col("range") / width)
+    sums = materialize(sums, "range-sums")
+    before, found = 0, None
+    for rows in (
+        lambda: sums.groupBy(group.alias("at")).agg(F.sum("n").alias("n")),
+        lambda: sums.filter(group == found).select(F.col("range").alias("at"), "n"),
+    ):
+        # About ``width`` groups, then at most ``width`` buckets of one.
+        for at, n in sorted(rows().collect()):
+            if before + n > limit:
+                found = at
+                break
+            before += n
+        else:
+            return None
+    return found, before
+
+
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it takes them, unordered."""
     turn, copies = free_name(docs, "turn"), free_name(docs, "copies")
