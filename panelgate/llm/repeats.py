@@ -8,6 +8,10 @@ class of their gram and, behind it, of the text that all windows of the anchor c
 what is unique is dropped, what is settled leaves. Only windows of grams that stand
 in different surroundings are ranked one by one, from 8 bytes over 16, 32 and 64 to
 ``LENGTH``, each time from pairs of classes at a growing offset.
+
+A gram that a task meets in ``SPREAD_FROM`` surroundings or more is dealt out by gram and
+surroundings, with one row to its gram's own task that tells it is not alone there. The
+places of a gram are then compared in shares of ``GROUP``, so no gram is one task's.
 """
 
 import hashlib
@@ -15,6 +19,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +35,9 @@ GRAM = 24
 # gram and different surroundings that one task compares; beyond it Spark ranks windows.
 TEXT_BYTES, GROUP = 8 << 20, 2_000
 
+# Surroundings of one gram in a task's gathered texts from which it is dealt out by them.
+SPREAD_FROM = 32
+
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _PLACES = 20  # low bits that hold a position while minima are sought
 
@@ -105,14 +113,20 @@ def _surroundings(data, first, last, place, length):
 
 
 ANCHORS = "gram long, around long, doc long, first int, last int, state int"
-SETTLED, OPEN = 0, 1
+RANKED = ANCHORS + ", share long"
+# A repeat; word of a gram that is dealt out; a place that may repeat; one of a gram dealt out.
+SETTLED, SEVERAL, OPEN, SPREAD = 0, 1, 2, 3
 
 
-def _anchor_batch(gram, around, doc, first, last, state):
-    arrays = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, kind) for x, kind in (
-        (gram, pa.int64()), (around, pa.int64()), (doc, pa.int64()), (first, pa.int32()),
-        (last, pa.int32()), (state, pa.int32()))]
-    return pa.RecordBatch.from_arrays(arrays, ["gram", "around", "doc", "first", "last", "state"])
+def _anchor_batch(gram, around, doc, first, last, state, share=None):
+    columns = [
+        (gram, "gram", pa.int64()), (around, "around", pa.int64()), (doc, "doc", pa.int64()),
+        (first, "first", pa.int32()), (last, "last", pa.int32()), (state, "state", pa.int32()),
+    ]
+    if share is not None:
+        columns.append((share, "share", pa.int64()))
+    arrays = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, kind) for x, _, kind in columns]
+    return pa.RecordBatch.from_arrays(arrays, [name for _, name, _ in columns])
 
 
 def _find_anchors(length):
@@ -122,9 +136,17 @@ def _find_anchors(length):
         gram, around, doc, first, last = (x[order] for x in (gram, around, doc, first, last))
         again = np.zeros(len(gram), bool)
         again[1:] = (gram[1:] == gram[:-1]) & (around[1:] == around[:-1])
+        starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        size = np.diff(np.append(starts, len(gram)))
+        many = np.add.reduceat((~again).astype(np.int64), starts) >= SPREAD_FROM
+        state = np.where(again, SETTLED, np.where(np.repeat(many, size), SPREAD, OPEN))
+        word = gram[starts[many]]
         # Repeats that this task has seen itself are settled; they are dealt out by place.
         gram = np.where(again, _mixed(around + doc.astype(np.uint64) * _A + first.astype(np.uint64)), gram)
-        return _anchor_batch(gram, around, doc, first, last, np.where(again, SETTLED, OPEN))
+        none = np.zeros(len(word), np.int64)
+        return _anchor_batch(*(np.concatenate(x) for x in (
+            (gram, word), (around, none.astype(np.uint64)), (doc, none), (first, none), (last, none),
+            (state, none + SEVERAL))))
 
     def run(batches):
         held, size = [], 0
@@ -148,56 +170,64 @@ def _find_anchors(length):
 
 
 def _rank_anchors(batches):
-    """Settles repeated surroundings in rows sorted by gram, surroundings and place.
+    """Settles repeated surroundings in rows sorted by gram, state, surroundings and place.
 
     Of rows with one gram and one surrounding the first stays open, the others are
-    settled repeats. A gram with a single open row is unique and dropped. What the
-    last rows of a batch need is carried over: at most one row.
+    settled repeats. A gram with a single open row is unique and dropped, unless it is
+    dealt out. Open rows get their share: the number of ``GROUP`` rows of the gram before
+    them, from 1 where other tasks hold more of the gram. What the last rows of a batch
+    need is carried over: at most one row.
     """
-    gram0 = around0 = waiting = None
-    several = False
+    task = TaskContext.get().partitionId()
+    key0 = around0 = waiting = None
+    opened0, sure0 = 0, False
     for batch in batches:
-        gram, around, doc, first, last, state = (np.asarray(c) for c in batch.columns)
-        known = state == SETTLED
+        fields = [np.asarray(c) for c in batch.columns]
+        known = fields[-1] == SETTLED
         if known.any():
-            yield _anchor_batch(*(x[known] for x in (gram, around, doc, first, last, state)))
-            gram, around, doc, first, last, state = (
-                x[~known] for x in (gram, around, doc, first, last, state)
-            )
+            yield _anchor_batch(*(x[known] for x in fields), np.zeros(known.sum(), np.int64))
+            fields = [x[~known] for x in fields]
+        gram, around, doc, first, last, state = fields
         n = len(gram)
         if not n:
             continue
+        word, spread = state == SEVERAL, state == SPREAD
         new_gram, new_around = np.ones(n, bool), np.ones(n, bool)
-        new_gram[1:] = gram[1:] != gram[:-1]
-        new_around[1:] = new_gram[1:] | (around[1:] != around[:-1])
-        if gram0 is not None:
-            new_gram[0] = gram[0] != gram0
-            new_around[0] = new_gram[0] or around[0] != around0
+        new_gram[1:] = (gram[1:] != gram[:-1]) | (spread[1:] != spread[:-1])
+        new_around[1:] = new_gram[1:] | word[:-1] | (around[1:] != around[:-1])
+        if key0 is not None:
+            new_gram[0] = (gram[0], spread[0]) != key0
+            new_around[0] = new_gram[0] or around0 is None or around[0] != around0
+        new_around &= ~word
         starts = np.flatnonzero(new_gram)
         if not len(starts) or starts[0]:
             starts = np.concatenate([[0], starts])
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
         opened = np.add.reduceat(new_around.astype(np.int64), starts)
-        carried = not new_gram[0]
-        out = []
-        if carried:
-            opened[0] += 2 if several else 1
-            if opened[0] > 1 and waiting is not None:
-                out.append(waiting)
-                waiting = None
+        sure = np.logical_or.reduceat(word | spread, starts)
+        before = np.zeros(len(starts), np.int64)
+        if new_gram[0]:
+            waiting = None
         else:
+            before[0] = opened0
+            sure[0] |= sure0
+        several = sure | (before + opened > 1)
+        out = []
+        if several[0] and waiting is not None:
+            out.append(waiting)
             waiting = None
-        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
-        emit = np.where(new_around, opened[run] > 1, True)
-        state = np.where(new_around, OPEN, SETTLED)
-        fields = (gram, around, doc, first, last, state)
-        out.append(tuple(x[emit] for x in fields))
-        several = opened[-1] > 1
-        if several:
+        nth = np.cumsum(new_around) - 1 + (before - np.cumsum(opened) + opened)[run]
+        share = np.maximum(nth, 0) // GROUP + sure[run] + np.where(spread, task << 32, 0)
+        rows = (gram, around, doc, first, last, np.where(new_around, OPEN, SETTLED), share)
+        emit = ~word & (several[run] | ~new_around)
+        out.append(tuple(x[emit] for x in rows))
+        if several[-1]:
             waiting = None
-        elif len(starts) > 1 or not carried:
-            i = starts[-1]
-            waiting = tuple(x[i : i + 1] for x in fields)
-        gram0, around0 = gram[-1], around[-1]
+        elif opened[-1]:
+            i = starts[-1] + int(new_around[starts[-1] :].argmax())
+            waiting = tuple(x[i : i + 1] for x in rows)
+        key0, around0 = (gram[-1], spread[-1]), None if word[-1] else around[-1]
+        opened0, sure0 = before[-1] + opened[-1], sure[-1]
         yield _anchor_batch(*(np.concatenate(x) for x in zip(*out)))
 
 
@@ -210,12 +240,14 @@ def _texts_around(length):
             for doc, text, wanted in zip(docs, texts, found):
                 data = text.as_py()
                 rows += [
-                    (w["gram"], doc, w["first"], data[w["first"] : w["last"] + length]) for w in wanted
+                    (w["gram"], w["share"], doc, w["first"], data[w["first"] : w["last"] + length])
+                    for w in wanted
                 ]
-            columns = list(zip(*rows)) or [[]] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            columns = list(zip(*rows)) or [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], ["gram", "doc", "first", "around"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)],
+                ["gram", "share", "doc", "first", "around"],
             )
 
     return run
@@ -274,15 +306,16 @@ def _repeated_windows(rows, length):
 
 
 def _compare(length):
-    """Groups of one gram, many at a time; windows of too large ones are passed on."""
+    """Groups of one gram, many at a time; windows of too large ones, whose share is full or
+    not the only one, are passed on."""
 
     def run(batches):
-        held, group, gram0, passed = [], [], None, False
+        held, group, key0, passed = [], [], None, False
         size = 0
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("gram", "doc", "first", "around")]
-            for row in zip(*columns):
-                if row[0] != gram0:
+            for share, row in zip(batch.column("share").to_pylist(), zip(*columns)):
+                if (row[0], share) != key0:
                     if not passed:
                         held += group
                         size += len(group)
@@ -291,7 +324,7 @@ def _compare(length):
                     if size >= GROUP:
                         yield _repeated_windows(held, length)
                         held, size = [], 0
-                    group, gram0, passed = [], row[0], False
+                    group, key0, passed = [], (row[0], share), share > 0
                 group.append(row)
                 if len(group) >= GROUP:
                     yield from _passed(group, length)
@@ -347,11 +380,12 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) ->
     """
     numbered, plain = _numbered(docs)
     found = numbered.select("doc", "text").mapInArrow(_find_anchors(length), ANCHORS)
-    ranked = found.repartition("gram").sortWithinPartitions("gram", "around", "doc", "first")
+    by = F.when(F.col("state") == SPREAD, F.xxhash64("gram", "around")).otherwise(F.col("gram"))
+    ranked = found.repartition(by).sortWithinPartitions("gram", "state", "around", "doc", "first")
     repeats = materialize(
-        ranked.mapInArrow(_rank_anchors, ANCHORS).select(
+        ranked.mapInArrow(_rank_anchors, RANKED).select(
             F.when(F.col("state") == OPEN, F.col("gram")).alias("gram"),
-            "doc", "first", "last", "state",
+            "doc", "first", "last", "state", "share",
         ),
         "repeats",
     )
@@ -361,12 +395,12 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) ->
     # Both joins below read one shuffle of the texts.
     stored = numbered.filter("doc is not null")
     wanted = repeats.filter(F.col("state") == OPEN).groupBy("doc").agg(
-        F.collect_list(F.struct("gram", "first", "last")).alias("found")
+        F.collect_list(F.struct("gram", "share", "first", "last")).alias("found")
     )
     around = stored.select("doc", "text").join(wanted, "doc").mapInArrow(
-        _texts_around(length), "gram long, doc long, first int, around binary"
+        _texts_around(length), "gram long, share long, doc long, first int, around binary"
     )
-    grouped = around.repartition("gram").sortWithinPartitions("gram", "doc", "first")
+    grouped = around.repartition("gram", "share").sortWithinPartitions("gram", "share", "doc", "first")
     compared = grouped.mapInArrow(
         _compare(length), "doc long, start long, stop long, gram long, rank long"
     )

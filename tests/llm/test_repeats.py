@@ -40,9 +40,10 @@ def strings():
     return rows + [(300, piece(30_000) + shared[0])]
 
 
-@pytest.mark.parametrize("group", [2_000, 3])
-def test_equals_brute_force(spark, monkeypatch, group):
+@pytest.mark.parametrize("group, spread_from", [(2_000, 32), (3, 32), (2_000, 2), (3, 2), (4, 4)])
+def test_equals_brute_force(spark, monkeypatch, group, spread_from):
     monkeypatch.setattr(repeats, "GROUP", group)
+    monkeypatch.setattr(repeats, "SPREAD_FROM", spread_from)
     monkeypatch.setattr(repeats, "TEXT_BYTES", 5_000)
     rows = strings()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -53,6 +54,35 @@ def test_equals_brute_force(spark, monkeypatch, group):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in found)
 
 
+def test_a_gram_of_every_document_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SPREAD_FROM", 4)
+    monkeypatch.setattr(repeats, "GROUP", 10)
+    rng = random.Random(5)
+    shared = "".join(rng.choice("abcdef ") for _ in range(140))
+
+    def own():
+        return "".join(rng.choice("ghijkl ") for _ in range(120))
+
+    rows = [(i, own() + shared + own()) for i in range(160)] + [(200, own())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    seen = {}
+
+    def spied(df, name):
+        seen[name] = kept = materialize(df, name)
+        return kept
+
+    materialize = repeats.materialize
+    monkeypatch.setattr(repeats, "materialize", spied)
+    found = {r.doc_id: tuple(r)[1:5] for r in repeats.strip_repeats(docs).collect()}
+    assert found == plain(rows, repeats.LENGTH)
+    open_rows = seen["repeats"].filter(f"state = {repeats.OPEN}")
+    shares = open_rows.groupBy("gram", "share").count().collect()
+    by_gram = open_rows.groupBy("gram").count().collect()
+    # A gram at an end of the passage has about as many surroundings as there are documents.
+    assert max(r["count"] for r in by_gram) >= 120
+    assert max(r["count"] for r in shares) <= 40
+
+
 def test_classes_of_anchors_in_chunks(monkeypatch):
     text = (random.Random(2).randbytes(3000) * 2)[:5000]
     whole = repeats.anchors(text)
