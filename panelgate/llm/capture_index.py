@@ -56,24 +56,35 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id, url, payload: bytes, digest: str, first, name: str) -> bytes:
-    """A gzip member with the WARC record of one page; a revisit has no payload."""
+def _target(url):
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record(page_id, url, payload: bytes, digest: str, first, name: str, first_url=None) -> bytes:
+    """A gzip member with the WARC record of one page; a revisit has no payload.
+
+    The record's id follows from ``name``, the record's place, so rows of one page have
+    ids of their own. Pages stand in fields beside it.
+    """
     revisit = first is not None and first != page_id
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
     block = http.encode() + (b"" if revisit else payload)
-    target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:{f'page:{page_id}' if page_id is not None else f'record:{name}'}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {target}",
+        f"WARC-Target-URI: {_target(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
     ]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
     if revisit:
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: <urn:page:{first}>",
+            f"WARC-Refers-To-Target-URI: {_target(first_url)}",
+            f"WARC-Refers-To-Date: {DATE}",
+            f"X-Refers-To-Page-ID: {first}",
         ]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     whole = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -98,12 +109,11 @@ def parsed(member: bytes) -> dict:
         raise ValueError(f"record {fields['WARC-Record-ID']} is damaged")
 
     def number(field):
-        urn = fields.get(field, "")
-        return int(urn[len("<urn:page:") : -1]) if urn.startswith("<urn:page:") else None
+        return int(fields[field]) if field in fields else None
 
     return {
-        "page_id": number("WARC-Record-ID"), "payload_bytes": size, "payload_digest": digest,
-        "record_type": fields["WARC-Type"], "refers_to": number("WARC-Refers-To"),
+        "page_id": number("X-Page-ID"), "payload_bytes": size, "payload_digest": digest,
+        "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page-ID"),
         "payload": None if revisit else payload,
     }
 
@@ -122,10 +132,16 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
     ).withColumn("sha1", F.sha1("html"))
     firsts = (
         rows.filter(F.octet_length("html") >= least_bytes).groupBy("sha1")
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-        .filter("n > 1").select("sha1", "first")
+        .agg(
+            F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"),
+            F.count("*").alias("n"),
+        )
+        .filter("n > 1")
+        .select("sha1", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"))
+    )
+    known = rows.join(firsts, "sha1", "left").select(
+        "page_id", "url", "html", "sha1", "first", "first_url"
     )
-    known = rows.join(firsts, "sha1", "left").select("page_id", "url", "html", "sha1", "first")
     root = folder.rstrip("/")
 
     def run(batches):
@@ -134,16 +150,16 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
         try:
             for batch in batches:
                 captures = []
-                columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "sha1", "first")]
+                columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "sha1", "first", "first_url")]
                 payloads = batch.column("html").cast(pa.binary())
-                for page_id, url, sha1, first, payload in zip(*columns, payloads):
+                for page_id, url, sha1, first, first_url, payload in zip(*columns, payloads):
                     if out is None or at >= FILE_BYTES:
                         if out is not None:
                             out.close()
                         name = f"{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
                         out, at = fs.open_output_stream(f"{path}/{name}", compression=None), 0
                     digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                    member = record(page_id, url, payload.as_py(), digest, first, f"{name}-{at}")
+                    member = record(page_id, url, payload.as_py(), digest, first, f"{name}-{at}", first_url)
                     out.write(member)
                     captures.append((url_key(url), page_id, name, at, len(member)))
                     at += len(member)
@@ -334,7 +350,9 @@ def archive(pages: DataFrame, least_bytes: int = LEAST_BYTES, folder: str | None
     """Write all pages and their index, then read every record back through the index.
 
     A null html is an empty payload, a null URL has the key ``)/``. Repeated rows are
-    records of their own; an empty table writes nothing and gives none.
+    records of their own, with ids of their own; of several rows with one payload and the
+    smallest page id each is a response. A page of any length is one record. An empty
+    table writes nothing and gives none; other columns are not read.
     """
     folder = folder or scratch_path(pages.sparkSession, "archive")
     captures = write_archives(pages, folder, least_bytes)

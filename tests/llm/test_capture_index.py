@@ -80,6 +80,33 @@ def test_files_are_gzip_members(spark, pages):
     assert whole.count(b"WARC-Record-ID") == sum(c.file == name for c in captures)
 
 
+def test_record_ids_are_unique_and_pages_keep_theirs(spark):
+    rows = [(1, "u", "x")] * 3 + [(1, "v", "y"), (2, "w\n", "x"), (None, "u", "x"), (None, "u", "z")]
+    folder = scratch_path(spark, "test")
+    captures = ci.write_archives(spark.createDataFrame(rows, SCHEMA).repartition(3), folder)
+    fs, path = ci._opened(folder)
+    heads = []
+    for c in captures.collect():
+        with fs.open_input_file(f"{path}/{c.file}") as f:
+            f.seek(c.at)
+            heads.append(gzip.decompress(f.read(c.length)).split(b"\r\n\r\n")[0].decode().split("\r\n"))
+    ids = [x for h in heads for x in h if x.startswith("WARC-Record-ID: <urn:uuid:")]
+    assert len(set(ids)) == len(rows)
+    revisits = [h for h in heads if "WARC-Type: revisit" in h]
+    assert len(revisits) == 2
+    assert all("WARC-Refers-To-Target-URI: u" in h and "X-Refers-To-Page-ID: 1" in h for h in revisits)
+
+
+def test_other_columns_are_not_read(spark):
+    names = ["sha1", "first", "n", "file", "at", "length", "url_key", "part", "payload"]
+    rows = [(*r, *range(len(names))) for r in sample()]
+    wide = spark.createDataFrame(rows, SCHEMA + "".join(f", {c} long" for c in names))
+    found = ci.archive(wide).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    ).collect()
+    assert sorted(map(tuple, found), key=str) == expected(sample())
+
+
 def test_small_payloads_are_never_revisits(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], SCHEMA)
     kinds = {r.page_id: r.record_type for r in ci.archive(pages, least_bytes=3).collect()}
