@@ -7,6 +7,7 @@ order, so moved passages count, unlike in plain MinHash.
 """
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,9 @@ KMER, PICKED, SKETCHES = 8, 2, 32
 # Positions hashed at a time, which bounds the memory for long texts.
 STEP = 1 << 12
 
+# Documents of a range at most, about, where rows in order of their ids are compared.
+RANGE_ROWS = 1_000_000
+
 _MIX = np.uint64(0xBF58476D1CE4E5B9)  # odd constants spread over 64 bits
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,21 +133,27 @@ def edited(text: str, following: str) -> str:
 def in_ranges(docs: DataFrame) -> DataFrame:
     """``(range, head, doc_id, text)``: documents in ranges of descending id, with next heads.
 
-    There are four ranges per shuffle partition, cut at the quantiles of the ids. The
-    first document of a range appears once more, marked ``head``, in the range before
-    it (the very first one in the last), so that every document finds its successor in
-    its own range. Texts move in one shuffle. One id per range reaches the driver.
+    There are four ranges per shuffle partition, or as many as ``RANGE_ROWS`` asks for, cut
+    at the quantiles of the ids. An id that fills several, or the rows without one, are cut
+    on by a hash of the text. The first document of a range appears once more, marked
+    ``head``, in the range before it (the very first one in the last), so that every
+    document finds its successor in its own range. Texts move in one shuffle. One id per
+    range reaches the driver.
     """
     texts = text_rows(docs)
-    number = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, known = texts.agg(F.count("*"), F.count("doc_id")).head()
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = max(4 * partitions, -(-rows // RANGE_ROWS))
     shares = [i / number for i in range(1, number)]
     found = texts.agg(F.percentile_approx("doc_id", shares, 10 * number)).head()[0]
-    ranged = texts.withColumn("range", _cuts_above(sorted(set(found or []), reverse=True)))
+    times = Counter(found or [])
+    cuts = sorted(times, reverse=True)
+    ranged = texts.withColumn("range", _range(cuts, [times[c] for c in cuts], rows - known, rows, number))
     firsts = ranged.groupBy("range").agg(
         F.max(F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"))).alias("first")
     ).collect()
     present = sorted((r["range"], r["first"]["doc_id"], r["first"]["h"]) for r in firsts)
-    schema = "of int, first_id long, first_hash long, before int"
+    schema = "of long, first_id long, first_hash long, before long"
     heads = docs.sparkSession.createDataFrame(
         [(r, i, h, present[k - 1][0]) for k, (r, i, h) in enumerate(present)], schema
     )
@@ -157,6 +167,23 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     return both.select("p.*", "doc_id", "text")
 
 
+def _range(cuts, times, nulls, rows, number):
+    """A row's range: how many cuts lie above its id, then the part of an id that has several.
+
+    The parts of an id follow the other ids of its range, by falling hash of the text.
+    """
+    at = _cuts_above(cuts)
+    parts = F.when(F.col("doc_id").isNull(), max(1, nulls * number // max(rows, 1)))
+    if cuts:
+        own = F.get(F.array(*[F.lit(c) for c in cuts]), at) == F.col("doc_id")
+        parts = parts.when(own, F.get(F.array(*[F.lit(n) for n in times]), at))
+    # Falling hashes, as signed numbers, become rising ones of 31 bits.
+    hashed = F.bitwise_not(F.xxhash64("text").bitwiseXOR(F.lit(-(1 << 63))))
+    rising = F.shiftrightunsigned(hashed, 33)
+    part = F.when(parts > 1, 1 + F.shiftright(rising * parts, 31)).otherwise(0)
+    return at.cast("long") * (1 << 31) + part
+
+
 def _cuts_above(cuts):
     """How many of the descending ``cuts`` lie above ``doc_id``, by binary search; all
     for a null id."""
@@ -185,7 +212,7 @@ def edit_report(docs: DataFrame) -> DataFrame:
     in descending order of ``doc_id``; after the last comes the first, and a single
     document follows itself. Rows without an id come last; rows of one id are ordered
     by a hash of their texts, and of equal rows each is followed by the next. An empty
-    table gives no rows.
+    table gives no rows. Texts count whole, however long; other columns are not read.
     """
     ranged = in_ranges(docs)
     kind = ranged.schema["doc_id"].dataType.simpleString()

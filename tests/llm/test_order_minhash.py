@@ -79,3 +79,21 @@ def test_odd_rows(odd_docs, no_docs):
     assert len({r.fingerprint for r in rows if r.doc_id == 5}) == 1
     assert om.edit_report(no_docs).collect() == []
     assert om.fingerprints(odd_docs).count() == 7
+
+
+def test_an_id_of_many_rows_is_cut_by_its_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(om, "RANGE_ROWS", 8)
+    rng = random.Random(4)
+    ids = [7] * 150 + [None] * 120 + list(range(100)) + [-5] * 40
+    rows = [(i, prose(rng, 12)) for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    hashes = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    ordered = sorted(hashes, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h), reverse=True)
+    wanted = plain_report([(r.doc_id, r.text) for r in ordered])
+    found = [tuple(r) for r in om.edit_report(docs).collect()]
+    assert sorted(found, key=str) == sorted(wanted, key=str)
+    ranges = om.in_ranges(docs).filter("not head").groupBy("range").count().collect()
+    assert sum(r["count"] for r in ranges) == len(rows)
+    assert max(r["count"] for r in ranges) <= 40
