@@ -247,7 +247,10 @@ def quality(docs: DataFrame, field: dict) -> DataFrame:
     """Per row: ``doc_id``, the base counts, ``base_failed``, ``content_share`` and ``kept``.
 
     A null text counts as an empty one: no words, so the base rule fails it. Repeated
-    rows are judged alike; an empty table gives none.
+    rows are judged alike; an empty table gives none. Texts are labelled whole, however
+    many lines they have; of equally good labellings the last line is content, and each
+    line before it labelled like the one after it.
+    Columns other than ``doc_id`` and ``text`` are not read, whatever their names.
     """
     rows = text_rows(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -70,7 +70,9 @@ def mix(docs: DataFrame, size=None, weights: Sequence[int] = WEIGHTS, budget: fl
     place in the shuffle, ``finish`` its first virtual finish time. Rows that are equal
     in id, text and source have one turn and are treated alike. Rows of size 0 take no
     budget and are never taken. A null source is a source of its own, null ids are
-    shuffled by their texts, an empty table gives none. Reruns agree.
+    shuffled by their texts, an empty table gives none. Texts count whole, however long;
+    equal finish times go by source and turn. Columns other than ``doc_id``, ``text``
+    and ``source`` are not read, whatever their names. Reruns agree.
     """
     sized = materialize(
         docs.select(
@@ -208,7 +210,10 @@ def _crossing(sums, parts, limit):
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it takes them, unordered."""
+    """The rows of ``docs`` that the mix takes, each as often as it takes them, unordered.
+
+    Other columns pass untouched, whatever their names.
+    """
     turn, copies = free_name(docs, "turn"), free_name(docs, "copies")
     counted = mix(docs, **options).filter("copies > 0").groupBy("turn").agg(
         F.max("copies").alias(copies)

@@ -249,7 +249,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool =
 
     A null text is an empty one and still has the end id; repeated rows are packed
     as often as they occur; an empty table gives none. Within a sequence the pieces
-    follow each other without gaps from offset 0.
+    follow each other without gaps from offset 0. A text of any length is cut into pieces;
+    which of equally long pieces goes where follows from their place in the ranks. Columns
+    other than ``doc_id`` and ``text`` are not read, whatever their names.
     """
     spark = docs.sparkSession
     cut = materialize(pieces(docs, tokenizer, capacity, ids), "pieces")

@@ -376,7 +376,8 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) ->
     documents. Columns: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, with
     ``texts`` also the remaining bytes ``kept``. Null and empty texts have no bytes.
     Rows without an id come before all others, rows of one id follow the hash of their
-    texts, equal rows are one document and each get its result.
+    texts, equal rows are one document and each get its result. Texts count whole, however
+    long; an empty table gives no rows, and other columns are not read, whatever their names.
     """
     numbered, plain = _numbered(docs)
     found = numbered.select("doc", "text").mapInArrow(_find_anchors(length), ANCHORS)

@@ -171,6 +171,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Positions count code points, ends are exclusive. A null or empty text has no
     spans; equal rows are reported alike, once for each; an empty table gives none.
+    Texts are scanned whole, however long; columns other than ``doc_id`` and ``text``
+    are not read, whatever their names.
     """
     located = _located(docs)
     found = spans(located).groupBy("row").agg(
@@ -190,7 +192,8 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     Identifiers that stand in the base patterns and secrets are masked, weak
     identifiers and endpoints are left. ``n_chars`` follows the text where it is a
-    column. Texts without a match pass untouched and are not moved.
+    column. Texts without a match pass untouched and are not moved, and so do other
+    columns, whatever their names.
     """
     key, held = free_name(docs, "key"), free_name(docs, "held")
     flagged = docs.filter(suspect())

@@ -254,7 +254,8 @@ def components(docs: DataFrame) -> DataFrame:
     ``component_id`` is the smallest ``doc_id`` that links reach, ``root`` the smallest
     fingerprint of the component. Rows without an id take part and name a component
     only by null, where it has no other rows. Repeated rows are repeated in the result;
-    an empty table gives none.
+    an empty table gives none. Texts count whole, however long; columns other than
+    ``doc_id`` and ``text`` are not read, whatever their names.
     """
     rows = materialize(fingerprints(docs), "fingerprints")
     firsts = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
@@ -272,6 +273,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     It is the row with the component's smallest id, rows without an id coming last; of
     several rows with this id the one with the smallest text hash, and one of equal rows.
+    Other columns pass untouched, whatever their names.
     """
     ids = components(docs)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("r")
