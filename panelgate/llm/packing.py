@@ -108,26 +108,31 @@ class WordIds:
     def _learn(self, new):
         if not new:
             return
-        cut = []
+        stems, tails = [], []
         for word in new:
-            stem = word.rstrip(SIGNS)
-            plain = stem and (stem[-1:].isalnum() or stem == word)
-            cut.append((stem, word[len(stem) :]) if plain else (word, b""))
+            stem = word
+            if not word.isalpha():
+                bare = word.rstrip(SIGNS)
+                stem = bare if bare[-1:].isalnum() else word
+            stems.append(stem)
+            tails.append(word[len(stem) :])
         if len(self.parts) > REMEMBERED:
             self.parts = {b"": b""}
         parts = self.parts
-        unknown = [p for p in dict.fromkeys(p for pair in cut for p in pair) if p not in parts]
+        unknown = [p for p in dict.fromkeys(itertools.chain(stems, tails)) if p not in parts]
         mixed, tokens = [], self.tokenizer.model.tokenize
         for part in unknown:
-            text = part.decode()
-            if text.isalpha() and max(text) < "\u0130":
-                # Letters of Western Europe are one piece that only has to be lowered.
-                signs = text.lower().encode().decode("latin-1").translate(BYTE_SIGNS)
-                parts[part] = array.array("I", [t.id for t in tokens(signs)]).tobytes()
-            else:
-                mixed.append(part)
+            signs = part.decode()
+            if not part.isalpha():
+                if not signs.isalpha() or max(signs) >= "\u0130":
+                    mixed.append(part)
+                    continue
+                # Letters of Western Europe are one piece that only has to be lowered; the
+                # ASCII ones are so already, and stand for themselves.
+                signs = signs.lower().encode().decode("latin-1").translate(BYTE_SIGNS)
+            parts[part] = array.array("I", [t.id for t in tokens(signs)]).tobytes()
         parts.update(zip(mixed, self._encode(mixed)))
-        found = [parts[stem] + parts[signs] for stem, signs in cut]
+        found = [parts[stem] + parts[tail] for stem, tail in zip(stems, tails)]
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
