@@ -76,7 +76,7 @@ def running_sum(
     swapped. Ranges of (group, order) are fixed once from a sample of bounded size; every
     (range, group) is summed where it lies. Only a group that goes over a range's end, one
     per end at most, needs what stands before: these sums, two per range, pass the driver.
-    So a group with a third of all rows is spread over a third of the ranges. Two jobs run
+    So a group with a third of all rows is spread over a third of the ranges. Three jobs run
     here, over the columns of ``by`` and ``order``; the result is lazy. ``df`` has to give
     the same rows each time it is evaluated.
     """
@@ -92,22 +92,18 @@ def running_sum(
     bounds = _range_bounds(keyed)
     ranged = _with_range(keyed, bounds)
     n_groups = sum(len(_comparable(own, c)) for c in by)
-    offsets = _offsets(ranged, bounds, n_groups)
     within = Window.partitionBy("_range", *groups).orderBy("_order").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     before = F.sum("_weight").over(within) - F.col("_weight")
     summed = ranged.withColumn("_before", before.cast("bigint"))
-    known = _lookup(offsets, n_groups, keyed.schema["_key"].dataType)
-    added = F.lit(0).cast("bigint")
-    if known is not None and not groups:
-        before_range = [F.lit(offsets.get((i, ()), 0)).cast("bigint") for i in range(len(bounds) + 1)]
-        added = F.get(F.array(*before_range), F.col("_range"))
-    elif known is not None:
-        place = F.struct(F.col("_range").alias("r"), *[
-            F.col(f"_key.k{i}").alias(f"k{i}") for i in range(n_groups)
-        ])
-        added = F.coalesce(F.try_element_at(known, F.to_json(place)), added)
+    earlier = _earlier(ranged, bounds, n_groups)
+    same = F.col("_range") == F.col("_at")
+    for key, end in _group_keys(n_groups):
+        same &= key.eqNullSafe(end)
+    # Two rows per range at most: a bounded broadcast.
+    summed = summed.join(F.broadcast(earlier), same, "left")
+    added = F.coalesce("_earlier", F.lit(0))
     return summed.select(
         *[named(c) for c in df.columns], (F.col("_before") + added).alias(name)
     )
@@ -127,10 +123,15 @@ def _comparable(df, c, kind=None):
 
 
 def _range_bounds(keyed):
-    """Keys that part the rows into as many ranges as a shuffle has partitions, about evenly."""
+    """Keys that part the rows into as many ranges as a shuffle has partitions, about evenly.
+
+    Tasks draw their share of some 32 keys a range; no task gets the drawn keys of all others
+    before they are that few.
+    """
     spark = keyed.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    drawn = keyed.select("_key").orderBy(F.rand(17)).limit(32 * n)
+    share = min(1.0, 32 * n / max(1, keyed.count()))
+    drawn = keyed.select("_key").sample(share, seed=17)
     rows = [r["_key"] for r in drawn.orderBy("_key").collect()]
     found = [rows[len(rows) * i // n] for i in range(1, n)] if rows else []
     return list(dict.fromkeys(found))
@@ -158,42 +159,40 @@ def _with_range(keyed, bounds):
     return ranged
 
 
-def _offsets(ranged, bounds, n_groups):
-    """``(range, group values): sum before`` for groups that begin in an earlier range."""
-    if not bounds:
-        return {}
-    kind = ranged.schema["_key"].dataType
-    names = [f"k{i}" for i in range(n_groups)]
-    group = F.struct(F.lit(0).alias("k"), *[F.col(f"_key.{k}").alias(k) for k in names])
-    cut = T.StructType(kind.fields[:n_groups])
-    ends = list(dict.fromkeys(tuple(b)[:n_groups] for b in bounds))
-    wanted = [F.struct(F.lit(0).alias("k"), *[
-        F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(end, cut.fields)
-    ]) for end in ends]
-    crossing = ranged.select("_range", "_weight", group.alias("_group"))
-    # Equal also where both are null, as structs compare their fields.
-    crossing = crossing.filter(F.array_contains(F.array(*wanted), F.col("_group")))
-    sums = crossing.groupBy("_group", "_range").agg(F.sum("_weight").alias("s")).collect()
-    found, running = {}, {}
-    for r in sorted(sums, key=lambda r: r["_range"]):
-        own = tuple(r["_group"])[1:]
-        if running.get(own):
-            found[r["_range"], own] = running[own]
-        running[own] = running.get(own, 0) + int(r["s"])
-    return found
-
-
-def _lookup(offsets, n_groups, kind):
-    """Map from (range, group) as text to what stands before; none without an entry."""
-    if not offsets:
-        return None
-    entries = []
-    for (place, group), total in offsets.items():
-        key = F.struct(F.lit(place).alias("r"), *[
-            F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(group, kind.fields)
-        ])
-        entries += [F.to_json(key), F.lit(total).cast("bigint")]
-    return F.create_map(*entries)
+def _group_keys(n_groups):
+    """The group's values in a row's key, each with the column it is looked up by."""
+    return [(F.col(f"_key.k{i}"), F.col(f"_end{i}")) for i in range(n_groups)]
+
+
+def _earlier(ranged, bounds, n_groups):
+    """``_at, _end0, ..., _earlier``: sums before the ranges that a group goes on in."""
+    spark = ranged.sparkSession
+    fields = ranged.schema["_key"].dataType.fields[:n_groups]
+    ends = [T.StructField(f"_end{i}", f.dataType) for i, f in enumerate(fields)]
+    found, running = [], {}
+    if bounds:
+        crossing = ranged.select(
+            "_range", "_weight", *[key.alias(f"_of{i}") for i, (key, _) in enumerate(_group_keys(n_groups))]
+        )
+        if n_groups:
+            # One group per bound at most.
+            values = list(dict.fromkeys(tuple(b)[:n_groups] for b in bounds))
+            same = F.lit(True)
+            for i in range(n_groups):
+                same &= F.col(f"_of{i}").eqNullSafe(F.col(f"_end{i}"))
+            wanted = spark.createDataFrame(values, T.StructType(ends))
+            crossing = crossing.join(F.broadcast(wanted), same, "left_semi")
+        of = [f"_of{i}" for i in range(n_groups)]
+        sums = crossing.groupBy("_range", *of).agg(F.sum("_weight").alias("s")).collect()
+        for r in sorted(sums, key=lambda r: r["_range"]):
+            own = tuple(r)[1:-1]
+            # By its text, as one NaN is not equal to another.
+            so_far = running.get(repr(own), 0)
+            if so_far:
+                found.append((r["_range"], *own, so_far))
+            running[repr(own)] = so_far + int(r["s"])
+    schema = [T.StructField("_at", T.IntegerType()), *ends, T.StructField("_earlier", T.LongType())]
+    return spark.createDataFrame(found, T.StructType(schema))
 
 
 def _numbered_as_sorted(df, name):

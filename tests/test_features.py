@@ -393,6 +393,34 @@ def test_running_sums_equal_a_window(spark, n, seed, parts):
             assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect()))
 
 
+def test_groups_of_numbers_without_value_are_summed(spark):
+    values = [None, float("nan"), -0.0, 0.0, 1.5]
+    df = spark.createDataFrame([(values[i % 5], "ab"[i % 2], i) for i in range(400)], "x double, g string, i long")
+    for by in (["x"], ["x", "g"]):
+        expected = df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("i")) - 1)
+        found = running_sum(df, by, ["i"]).select("i", "position")
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.select("i", "n").collect()))
+
+
+def test_sums_of_many_ranges_are_looked_up_by_a_join(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        df = spark.range(0, 20000, 1, 40).select(
+            F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise((F.col("id") % 7).cast("string")).alias("g"),
+            F.col("id").alias("i"),
+        )
+        own = Window.partitionBy("g").orderBy("i")
+        expected = df.withColumn("n", F.row_number().over(own) - 1)
+        found = running_sum(df, ["g"], ["i"])
+        wrong = found.join(expected, "i").filter("position <> n")
+        assert (found.count(), wrong.count()) == (20000, 0)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        # Neither a map nor a list is searched for every row.
+        assert "try_element_at" not in plan and "array_contains" not in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_a_hot_group_is_summed_in_many_ranges(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
