@@ -197,6 +197,31 @@ def test_hot_key_is_joined_in_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
+def test_of_a_long_lookup_only_hot_keys_are_repeated(spark, tmp_path):
+    path = str(tmp_path / "lookup")
+    names = spark.range(40_000).select(F.concat(F.lit("k"), F.col("id")).alias("name"), "id")
+    hot = spark.range(1).select(F.lit("hot").alias("name"), F.lit(-1).cast("bigint").alias("id"))
+    names.unionByName(hot).write.parquet(path)
+    rows = spark.range(0, 30_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), "id"))
+        .alias("name"), F.col("id").alias("row"),
+    )
+    lookup = spark.read.parquet(path)
+    joined = spread_join(rows, lookup, ["name"])
+    # Repeated whole and broadcast: Spark sees only the size that it has on disk.
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    plain = rows.join(lookup, "name")
+    assert joined.columns == plain.columns
+    assert sorted(joined.collect()) == sorted(plain.collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        at = joined.filter("name = 'hot'").select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert at > 1
+
+
 def test_a_hot_model_is_scored_in_equal_parts_and_rows_are_made_once(spark, tmp_path):
     made = spark.sparkContext.accumulator(0)
 
