@@ -222,6 +222,39 @@ def test_of_a_long_lookup_only_hot_keys_are_repeated(spark, tmp_path):
     assert at > 1
 
 
+def test_stored_models_are_monitored_over_a_long_lookup(spark, monkeypatch):
+    from panelgate.operators import joins
+
+    monkeypatch.setattr(joins, "FEW_REPEATED", 8)
+    names = [("hot", 1), ("hot", 2)] + [(f"m{i}", v) for i in range(30) for v in (1, 2)]
+    versions = spark.createDataFrame([(n, str(v), "Production", "", n) for n, v in names], MODEL_VERSIONS)
+    rows = spark.range(0, 900, 1, 6).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 > 0, F.concat(F.lit("m"), F.col("id") % 30))
+        .alias("name"), F.col("id").cast("double").alias("x"), F.col("id").cast("double").alias("y"),
+    )
+
+    class Added:
+        def __init__(self, n):
+            self.n = n
+
+        def predict(self, frame):
+            return frame["x"] + self.n
+
+    scored = []
+
+    def score(joined):
+        scored.append(joined._jdf.queryExecution().executedPlan().toString())
+        return models.score_stored(lambda name, version: Added(int(version)), ["x"])(joined)
+
+    found = monitor(versions, rows, score).collect()
+    assert "SortMergeJoin" in scored[0]
+    seen = {r["name"] for r in rows.dropna().collect()}
+    assert len(found) == 31 and len(seen) == 21
+    for r in found:
+        expected = (4.0, 1.0, "worse") if r.name in seen else (None, None, "no examples")
+        assert (r.mse1, r.mse2, r.outcome) == expected
+
+
 def test_a_hot_model_is_scored_in_equal_parts_and_rows_are_made_once(spark, tmp_path):
     made = spark.sparkContext.accumulator(0)
 
