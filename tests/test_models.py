@@ -38,6 +38,19 @@ def test_fit_beats_the_mean_and_repeats(table, model):
     assert metrics.mse(models.predict(table, again)).collect()[0].mse == error
 
 
+def test_fit_deals_out_partitions_of_too_many_rows(table, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, rows: seen.append(rows))
+    whole = table.coalesce(1)
+    models.fit_regressor(whole, **SMALL)
+    monkeypatch.setattr(models, "FIT_TASK_BYTES", 100 * (models.FIT_ROW_BYTES + 3 * models.FIT_FEATURE_BYTES))
+    models.fit_regressor(whole, **SMALL)
+    sizes = [[len(p) for p in rows.rdd.glom().collect()] for rows in seen]
+    assert sizes[0] == [600]
+    assert sum(sizes[1]) == 600 and max(sizes[1]) <= 110
+    assert sorted(seen[1].collect()) == sorted(seen[0].collect())
+
+
 def test_defaults_of_the_learner():
     assert (models.ROUNDS, models.DEPTH, models.RATE, models.ROW_SHARE) == (1000, 8, 0.1, 1.0)
 
