@@ -190,7 +190,8 @@ def _importing(exports, as_of):
 
     def plan(versions, ledger):
         at = F.col("timestamp").alias("_exported")
-        imports = as_imported(exports, at)
+        # Found once for both tables.
+        imports = scratch_table(as_imported(exports, at), "newest")
         rows = _not_in(stamp(imports.drop("_exported"), as_of), ledger, IMPORT_KEYS)
         runs = imports.select(
             F.col("imported_model_name").alias("name"),
@@ -199,7 +200,10 @@ def _importing(exports, as_of):
             version_number("imported_model_version").alias("_number"),
         )
         new = scratch_table(runs.join(versions, ["name", "run_id"], "left_anti"), "imports")
-        added = mv.register(versions, new, ["_exported", "from_workspace", "_number"])
+        if new.isEmpty():
+            return versions.limit(0), rows
+        order = ["_exported", "from_workspace", "_number"]
+        added = scratch_table(mv.register(versions, new, order), "added")
         # Each import archives the one before it, so only the last new version stays.
         last = added.groupBy("name").agg(F.max(F.col("version").cast("bigint")).alias("_last"))
         staged = F.when(F.col("version").cast("bigint") == F.col("_last"), mv.PRODUCTION)

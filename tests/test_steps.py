@@ -164,3 +164,31 @@ def test_imports_that_only_the_ledger_has_are_registered(spark, tmp_path):
     for _ in (1, 2):
         assert steps.import_due(spark, exports, registry, imports).count() == 1
         assert stages(spark, registry, "imported_m") == {"1": "Production"}
+
+
+def test_exports_to_import_are_found_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(place):
+        made.add(1)
+        return place
+
+    exports = spark.range(0, 40, 1, 2).select(
+        F.lit("workspace_1_b").alias("from_workspace"),
+        F.concat(F.lit("m"), F.col("id") % 5).alias("exported_model_name"),
+        F.col("id").cast("string").alias("exported_model_version"),
+        counted(F.concat(F.lit("s3a://x/m/r"), F.col("id"))).alias("external_location"),
+        F.timestamp_seconds("id").alias("timestamp"),
+    )
+    versions = spark.createDataFrame([], MODEL_VERSIONS)
+    ledger = spark.createDataFrame([], IMPORT_LEDGER)
+    plan = steps._importing(exports, "2023-05-01 12:00:00")
+    changes, rows = plan(versions, ledger)
+    imported = changes.collect()
+    assert rows.count() == 40 and len(imported) == 40
+    assert sorted(r.version for r in imported if r.stage == "Production") == ["8"] * 5
+    assert made.value == 40
+    changes, rows = plan(spark.createDataFrame(imported, MODEL_VERSIONS), ledger)
+    assert changes.columns == versions.columns and changes.isEmpty()
+    assert rows.count() == 40
